@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.model import nonempty, present
+from feedspark.functions.binding import let
+from feedspark.model import nonempty, nonempty_list, present, trimmed
 
 # The entities XML itself defines.
 _XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
@@ -30,10 +31,8 @@ def collapse(value: Column) -> Column:
 
 def truncate(value: Column, limit: int) -> Column:
     """Collapse whitespace and cut to ``limit - 1`` characters plus an ellipsis."""
-    clean = collapse(value)
-    return F.when(
-        F.length(clean) > limit, F.concat(F.substring(clean, 1, limit - 1), F.lit("..."))
-    ).otherwise(clean)
+    cut = lambda s: F.concat(F.substring(s, 1, limit - 1), F.lit("..."))
+    return let(collapse(value), lambda s: F.when(F.length(s) > limit, cut(s)).otherwise(s))
 
 
 def escape_text(value: Column) -> Column:
@@ -75,7 +74,7 @@ def cell_decode(value: Column) -> Column:
     Doubled backslashes are set aside first, so that they cannot pair with the letter
     behind them; the placeholder is a private-use character that is itself protected.
     """
-    mark = ""
+    mark = "\ue000"
     hold = F.replace(value, F.lit(mark), F.lit(mark + "p"))
     hold = F.replace(hold, F.lit("\\\\"), F.lit(mark + "b"))
     hold = F.replace(hold, F.lit("\\t"), F.lit("\t"))
@@ -110,8 +109,8 @@ def slug(name: Column, ordinal: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Comma text to a list of trimmed, non-blank words; absent when none is left."""
-    words = F.filter(F.transform(F.split(text, ","), F.trim), lambda w: w != "")
-    return F.when(F.size(words) > 0, words)
+    words = F.filter(F.transform(F.split(text, ","), trimmed), lambda w: w != "")
+    return let(words, nonempty_list)
 
 
 def json_string(value: Column) -> Column:

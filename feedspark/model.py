@@ -79,9 +79,17 @@ TEMPLATE = T.StructType(
 STABLE_ID_PREFIX = "urn:nwf:"
 
 
+# Whitespace at the ends of a value.
+WHITESPACE = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(WHITESPACE))
+
+
 def present(value: Column) -> Column:
     """Trimmed text, with blank text read as absent."""
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(trimmed(value), F.lit(""))
 
 
 def nonempty(value: Column) -> Column:

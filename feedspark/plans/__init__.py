@@ -4,9 +4,9 @@ from feedspark.plans.registry import Registry
 
 
 def all_queries() -> Registry:
-    from feedspark.plans import relational
+    from feedspark.plans import documents, hierarchy, relational, scalars
 
     registry = Registry()
-    for module in (relational,):
+    for module in (relational, scalars, hierarchy, documents):
         registry.include(module.R)
     return registry
