@@ -4,9 +4,9 @@ from feedspark.plans.registry import Registry
 
 
 def all_queries() -> Registry:
-    from feedspark.plans import documents, extraction, hierarchy, relational, scalars
+    from feedspark.plans import documents, extraction, hierarchy, markup, relational, scalars
 
     registry = Registry()
-    for module in (relational, scalars, hierarchy, documents, extraction):
+    for module in (relational, scalars, hierarchy, documents, extraction, markup):
         registry.include(module.R)
     return registry

@@ -12,7 +12,7 @@ from feedspark.sinks import compact as compact_sink
 from feedspark.sinks import jsonfeed as jsonfeed_sink
 from feedspark.sinks import opml as opml_sink
 from feedspark.sinks import xmlfeeds as xml_sink
-from feedspark.sources import compact, dispatch, jsonfeed, opml, raw, xmlfeeds
+from feedspark.sources import compact, dispatch, opml, raw
 
 R = Registry()
 P = "WITH " + ",".join([v.ENTRIES, v.PAGED, v.PAGED_FEEDS])
@@ -32,6 +32,10 @@ def _docs(written):
     return written.select(F.col("feed_id").alias("final_url"), "body", F.lit("").alias("content_type"))
 
 
+def _read(fmt, docs):
+    return dispatch.read_feeds(docs, (fmt,))
+
+
 def _names(col="authors"):
     return F.array_join(F.transform(F.coalesce(F.col(col), F.array()), lambda a: a["name"]), "|")
 
@@ -70,7 +74,7 @@ def _flat_sql(published, updated, summary, authors, extra="", ids=FILLED):
     + " FROM paged",
 )
 def _(spark, d):
-    _, entries = xmlfeeds.read_rss(_docs(xml_sink.write_rss(*_paged(spark, d))))
+    _, entries, _ = _read("rss", _docs(xml_sink.write_rss(*_paged(spark, d))))
     return _flat(entries)
 
 
@@ -82,7 +86,7 @@ def _(spark, d):
     + " FROM p",
 )
 def _(spark, d):
-    _, entries = xmlfeeds.read_atom(_docs(xml_sink.write_atom(*_paged(spark, d))))
+    _, entries, _ = _read("atom", _docs(xml_sink.write_atom(*_paged(spark, d))))
     return _flat(entries)
 
 
@@ -93,7 +97,7 @@ def _(spark, d):
       'Desk & Co,https://desk.example/,desk@example.org' AS author FROM feeds""",
 )
 def _(spark, d):
-    feeds, _ = xmlfeeds.read_atom(_docs(xml_sink.write_atom(*_paged(spark, d))))
+    feeds, _, _ = _read("atom", _docs(xml_sink.write_atom(*_paged(spark, d))))
     a = F.col("authors").getItem(0)
     author = F.concat_ws(",", a["name"], a["url"], a["email"])
     return feeds.select("source_url", "feed_id", "title", "home", "self", v.ms(F.col("updated")).alias("updated_ms"), author.alias("author"))
@@ -147,7 +151,7 @@ RDF_SUMMARY = "replace(replace(replace(" + STRIP + ", '&', '&amp;'), '<', '&lt;'
     + " FROM paged",
 )
 def _(spark, d):
-    _, entries = xmlfeeds.read_rdf(_rdf(_paged(spark, d)[1]))
+    _, entries, _ = _read("rdf", _rdf(_paged(spark, d)[1]))
     return _flat(entries)
 
 
@@ -156,7 +160,7 @@ def _(spark, d):
     P + _flat_sql("published", "updated", "summary", PEOPLE) + " FROM paged",
 )
 def _(spark, d):
-    _, entries = jsonfeed.read_jsonfeed(_docs(jsonfeed_sink.write_jsonfeed(*_paged(spark, d))))
+    _, entries, _ = _read("json", _docs(jsonfeed_sink.write_jsonfeed(*_paged(spark, d))))
     return _flat(entries)
 
 

@@ -1,14 +1,12 @@
-"""JSON Feed documents."""
+"""Where JSON Feed documents keep their fields."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedspark.functions.dates import norm_date
-from feedspark.functions.text import strip_html
-from feedspark.model import nonempty, nonempty_list
-from feedspark.sources.shape import finish_entries, finish_feeds, person, some
+from feedspark.model import nonempty
+from feedspark.sources.shape import person, raw_feed, raw_item, some
 
 _AUTHOR = "struct<name:string,url:string>"
 _ITEM = (
@@ -25,47 +23,32 @@ SCHEMA = (
 def _persons(authors: Column, author: Column) -> Column:
     """Named authors; the single author counts only when there is no list."""
     listed = F.coalesce(authors, F.when(author.isNotNull(), F.array(author)))
-    return some(
-        F.transform(
-            listed,
-            lambda a: F.when(
-                nonempty(a["name"]).isNotNull(), person(a["name"], nonempty(a["url"]))
-            ),
-        )
+    named = F.filter(listed, lambda a: F.coalesce(a["name"], F.lit("")) != "")
+    return some(F.transform(named, lambda a: person(a["name"], nonempty(a["url"]))))
+
+
+def _item(i: Column) -> Column:
+    return raw_item(
+        id=i["id"],
+        title=F.coalesce(i["title"], F.lit("Untitled")),
+        href=F.coalesce(i["url"], i["external_url"]),
+        published=i["date_published"],
+        updated=i["date_modified"],
+        summary=i["summary"],
+        markup=i["content_html"],
+        plain=i["content_text"],
+        authors=_persons(i["authors"], i["author"]),
+        tags=i["tags"],
     )
 
 
-def read_jsonfeed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feeds and entries; the feed's own time always comes from its entries."""
-    rows = docs.select(
-        F.col("final_url").alias("source_url"), F.from_json("body", SCHEMA).alias("d")
+def jsonfeed(d: Column) -> tuple[Column, Column]:
+    """Feed and items; the feed's own time always comes from its entries."""
+    feed = raw_feed(
+        feed_id=d["feed_url"],
+        title=d["title"],
+        home=d["home_page_url"],
+        self=d["feed_url"],
+        authors=_persons(d["authors"], d["author"]),
     )
-    feeds = finish_feeds(
-        rows.select(
-            "source_url",
-            F.col("d.feed_url").alias("feed_id"),
-            F.col("d.title").alias("title"),
-            F.col("d.home_page_url").alias("home"),
-            F.coalesce("d.feed_url", "source_url").alias("self"),
-            F.lit(None).cast("timestamp").alias("updated"),
-            _persons(F.col("d.authors"), F.col("d.author")).alias("authors"),
-        )
-    )
-    found = rows.select("source_url", F.posexplode("d.items").alias("entry_ord", "i"))
-    entries = finish_entries(
-        found.select(
-            "source_url",
-            "entry_ord",
-            F.col("i.id").alias("id"),
-            F.coalesce("i.title", F.lit("Untitled")).alias("title"),
-            F.coalesce("i.url", "i.external_url", F.lit("")).alias("href"),
-            norm_date(F.col("i.date_published")).alias("published"),
-            norm_date(F.col("i.date_modified")).alias("updated"),
-            nonempty(
-                F.coalesce(F.col("i.summary"), strip_html(F.col("i.content_html")), F.col("i.content_text"))
-            ).alias("summary"),
-            _persons(F.col("i.authors"), F.col("i.author")).alias("authors"),
-            nonempty_list(F.col("i.tags")).alias("tags"),
-        )
-    )
-    return feeds, entries
+    return feed, F.transform(d["items"], _item)

@@ -1,4 +1,4 @@
-"""RSS 2.0, Atom and RDF documents.
+"""Where RSS 2.0, Atom and RDF documents keep their fields.
 
 Elements that may repeat are declared as lists, because a repeated single-valued
 element must read as absent, and because a lone element must still read as a list.
@@ -6,23 +6,13 @@ element must read as absent, and because a lone element must still read as a lis
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.functions.dates import norm_date
-from feedspark.functions.text import decode_entities, strip_html
-from feedspark.model import nonempty, present, trimmed
-from feedspark.sources.shape import (
-    finish_entries,
-    finish_feeds,
-    one_person,
-    one_text,
-    person,
-    some,
-)
+from feedspark.functions.text import decode_entities
+from feedspark.model import present, trimmed
+from feedspark.sources.shape import one_person, one_text, person, raw_feed, raw_item, some
 
 TEXTS = T.ArrayType(T.StringType())
 
@@ -31,51 +21,36 @@ def _record(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+def _texts(*names: str) -> list[tuple[str, T.DataType]]:
+    return [(n, TEXTS) for n in names]
+
+
 CATEGORY = T.ArrayType(_record(("_term", T.StringType()), ("_VALUE", T.StringType())))
 ITEM = _record(
-    *[
-        (n, TEXTS)
-        for n in (
-            "title",
-            "link",
-            "guid",
-            "pubDate",
-            "dc:date",
-            "description",
-            "content:encoded",
-            "dc:creator",
-            "author",
-        )
-    ],
+    *_texts("title", "link", "guid", "pubDate", "dc:date", "description"),
+    *_texts("content:encoded", "dc:creator", "author"),
     ("category", CATEGORY),
 )
-CHANNEL_TEXTS = [
-    (n, TEXTS)
-    for n in ("title", "link", "lastBuildDate", "pubDate", "dc:date", "dc:creator", "managingEditor")
-]
-RSS = _record(("channel", _record(*CHANNEL_TEXTS, ("item", T.ArrayType(ITEM)))))
-RDF = _record(("channel", _record(*CHANNEL_TEXTS)), ("item", T.ArrayType(ITEM)))
-LINK = T.ArrayType(_record(("_rel", T.StringType()), ("_href", T.StringType()), ("_VALUE", T.StringType())))
-AUTHOR = T.ArrayType(
-    _record(("name", TEXTS), ("uri", TEXTS), ("email", TEXTS), ("_VALUE", T.StringType()))
+CHANNEL = _texts(
+    "title", "link", "lastBuildDate", "pubDate", "dc:date", "dc:creator", "managingEditor"
+)
+LINK = T.ArrayType(
+    _record(("_rel", T.StringType()), ("_href", T.StringType()), ("_VALUE", T.StringType()))
 )
+AUTHOR = T.ArrayType(_record(*_texts("name", "uri", "email"), ("_VALUE", T.StringType())))
+ENTRY = _record(
+    *_texts("id", "title", "published", "updated", "summary"),
+    ("link", LINK),
+    ("author", AUTHOR),
+    ("category", CATEGORY),
+)
+RSS = _record(("channel", _record(*CHANNEL, ("item", T.ArrayType(ITEM)))))
+RDF = _record(("channel", _record(*CHANNEL)), ("item", T.ArrayType(ITEM)))
 ATOM = _record(
-    ("id", TEXTS),
-    ("title", TEXTS),
-    ("updated", TEXTS),
+    *_texts("id", "title", "updated"),
     ("link", LINK),
     ("author", AUTHOR),
-    (
-        "entry",
-        T.ArrayType(
-            _record(
-                *[(n, TEXTS) for n in ("id", "title", "published", "updated", "summary")],
-                ("link", LINK),
-                ("author", AUTHOR),
-                ("category", CATEGORY),
-            )
-        ),
-    ),
+    ("entry", T.ArrayType(ENTRY)),
 )
 CORRUPT = "_corrupt_record"
 
@@ -85,21 +60,11 @@ def xml_body(body: Column) -> Column:
     return decode_entities(trimmed(body))
 
 
-def _ddl(schema: T.StructType) -> str:
-    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]).simpleString()
-
-
-@lru_cache
-def _fields(schema: T.StructType) -> list[str]:
-    return schema.fieldNames()
-
-
-def parse(docs: DataFrame, schema: T.StructType) -> DataFrame:
-    """``source_url`` and the parsed document as ``d``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+def parse(body: Column, schema: T.StructType) -> Column:
+    """The document; one that is not well-formed has its ``_corrupt_record`` set."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_xml(xml_body(F.col("body")), full, options)
-    return docs.select(F.col("final_url").alias("source_url"), parsed.alias("d"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return F.from_xml(body, full, options)
 
 
 def categories(nodes: Column) -> Column:
@@ -108,65 +73,37 @@ def categories(nodes: Column) -> Column:
     )
 
 
-def _field(prefix: str, name: str) -> Column:
-    return F.col(f"{prefix}.`{name}`")
-
-
-def _items(rows: DataFrame) -> DataFrame:
-    """Entries of RSS and RDF items, given source_url, entry_ord and ``i``."""
-    t = lambda name: one_text(_field("i", name))
-    guid = t("guid")
-    return finish_entries(
-        rows.select(
-            "source_url",
-            "entry_ord",
-            guid.alias("id"),
-            F.coalesce(t("title"), F.lit("Untitled")).alias("title"),
-            F.coalesce(t("link"), guid, F.lit("")).alias("href"),
-            norm_date(F.coalesce(t("pubDate"), t("dc:date"))).alias("published"),
-            strip_html(F.coalesce(t("description"), t("content:encoded"))).alias("summary"),
-            one_person(F.coalesce(t("dc:creator"), t("author"))).alias("authors"),
-            categories(F.col("i.category")).alias("tags"),
-        )
+def _rss_item(i: Column) -> Column:
+    guid = one_text(i["guid"])
+    return raw_item(
+        id=guid,
+        title=F.coalesce(one_text(i["title"]), F.lit("Untitled")),
+        href=F.coalesce(one_text(i["link"]), guid),
+        published=F.coalesce(one_text(i["pubDate"]), one_text(i["dc:date"])),
+        markup=F.coalesce(one_text(i["description"]), one_text(i["content:encoded"])),
+        authors=one_person(F.coalesce(one_text(i["dc:creator"]), one_text(i["author"]))),
+        tags=categories(i["category"]),
     )
 
 
-def _channel(rows: DataFrame, updated: Column, authors: Column) -> DataFrame:
-    t = lambda name: one_text(_field("d.channel", name))
-    return finish_feeds(
-        rows.select(
-            "source_url",
-            t("link").alias("feed_id"),
-            t("title").alias("title"),
-            t("link").alias("home"),
-            F.col("source_url").alias("self"),
-            norm_date(updated).alias("updated"),
-            authors.alias("authors"),
-        )
-    )
+def _channel(c: Column, updated: Column, author: Column | None) -> Column:
+    given = {} if author is None else {"authors": one_person(author)}
+    link = one_text(c["link"])
+    return raw_feed(feed_id=link, title=one_text(c["title"]), home=link, updated=updated, **given)
 
 
-def read_rss(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feeds and entries of RSS 2.0 documents."""
-    rows = parse(docs, RSS)
-    t = lambda name: one_text(_field("d.channel", name))
-    feeds = _channel(
-        rows,
-        F.coalesce(t("lastBuildDate"), t("pubDate")),
-        one_person(F.coalesce(t("dc:creator"), t("managingEditor"))),
-    )
-    items = rows.select("source_url", F.posexplode("d.channel.item").alias("entry_ord", "i"))
-    return feeds, _items(items)
+def rss(d: Column) -> tuple[Column, Column]:
+    """Feed and items of an RSS 2.0 document."""
+    c = d["channel"]
+    updated = F.coalesce(one_text(c["lastBuildDate"]), one_text(c["pubDate"]))
+    author = F.coalesce(one_text(c["dc:creator"]), one_text(c["managingEditor"]))
+    return _channel(c, updated, author), F.transform(c["item"], _rss_item)
 
 
-def read_rdf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feeds and entries of RSS 1.0 documents, whose items stand beside the channel."""
-    rows = parse(docs, RDF)
-    feeds = _channel(
-        rows, one_text(_field("d.channel", "dc:date")), one_person(F.lit(None).cast("string"))
-    )
-    items = rows.select("source_url", F.posexplode("d.item").alias("entry_ord", "i"))
-    return feeds, _items(items)
+def rdf(d: Column) -> tuple[Column, Column]:
+    """Feed and items of an RSS 1.0 document, whose items stand beside the channel."""
+    c = d["channel"]
+    return _channel(c, one_text(c["dc:date"]), None), F.transform(d["item"], _rss_item)
 
 
 def _href(links: Column, rel: str) -> Column:
@@ -188,44 +125,28 @@ def _persons(nodes: Column) -> Column:
     )
 
 
-def read_atom(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feeds and entries of Atom documents."""
-    rows = parse(docs, ATOM)
-    t = lambda name: one_text(_field("d", name))
-    feeds = finish_feeds(
-        rows.select(
-            "source_url",
-            t("id").alias("feed_id"),
-            t("title").alias("title"),
-            _href(F.col("d.link"), "alternate").alias("home"),
-            F.coalesce(_href(F.col("d.link"), "self"), "source_url").alias("self"),
-            norm_date(t("updated")).alias("updated"),
-            _persons(F.col("d.author")).alias("authors"),
-        )
+def _atom_entry(e: Column) -> Column:
+    first = present(F.get(e["link"], F.lit(0))["_href"])
+    return raw_item(
+        id=one_text(e["id"]),
+        title=F.coalesce(one_text(e["title"]), F.lit("Untitled")),
+        href=F.coalesce(_href(e["link"], "alternate"), first, one_text(e["id"])),
+        published=one_text(e["published"]),
+        updated=one_text(e["updated"]),
+        markup=one_text(e["summary"]),
+        authors=_persons(e["author"]),
+        tags=categories(e["category"]),
     )
-    found = rows.select("source_url", F.posexplode("d.entry").alias("entry_ord", "i"))
-    e = lambda name: one_text(_field("i", name))
-    links = F.col("i.link")
-    entries = finish_entries(
-        found.select(
-            "source_url",
-            "entry_ord",
-            e("id").alias("id"),
-            F.coalesce(e("title"), F.lit("Untitled")).alias("title"),
-            F.coalesce(
-                _href(links, "alternate"),
-                present(F.get(links, F.lit(0))["_href"]),
-                e("id"),
-                F.lit(""),
-            ).alias("href"),
-            norm_date(e("published")).alias("published"),
-            norm_date(e("updated")).alias("updated"),
-            strip_html(e("summary")).alias("summary"),
-            _persons(F.col("i.author")).alias("authors"),
-            categories(F.col("i.category")).alias("tags"),
-        )
-    )
-    return feeds, entries
 
 
-__all__ = ["nonempty", "parse", "read_atom", "read_rdf", "read_rss"]
+def atom(d: Column) -> tuple[Column, Column]:
+    """Feed and items of an Atom document."""
+    feed = raw_feed(
+        feed_id=one_text(d["id"]),
+        title=one_text(d["title"]),
+        home=_href(d["link"], "alternate"),
+        self=_href(d["link"], "self"),
+        updated=one_text(d["updated"]),
+        authors=_persons(d["author"]),
+    )
+    return feed, F.transform(d["entry"], _atom_entry)
