@@ -4,9 +4,9 @@ from feedspark.plans.registry import Registry
 
 
 def all_queries() -> Registry:
-    from feedspark.plans import documents, extraction, hierarchy, markup, relational, scalars
+    from feedspark.plans import documents, extraction, hierarchy, markup, relational, scalars, watching
 
     registry = Registry()
-    for module in (relational, scalars, hierarchy, documents, extraction, markup):
+    for module in (relational, scalars, hierarchy, documents, extraction, markup, watching):
         registry.include(module.R)
     return registry

@@ -282,7 +282,18 @@ def _(spark, d):
     return entries.groupBy("source_url", "strategy").agg(F.count("*").alias("n"))
 
 
-@R.query("template_propose")
+@R.query(
+    "template_propose",
+    "WITH "
+    + LINES
+    + """, h AS (SELECT 's' || (doc_id % 50) || '.example' AS host, doc_id, url, pos, line FROM lines),
+    top AS (SELECT host, string_agg(line, ' | ' ORDER BY pos) AS sample_titles FROM (
+      SELECT *, row_number() OVER (PARTITION BY host ORDER BY url, pos) AS k FROM (
+        SELECT * FROM h WHERE line <> '' QUALIFY url = min(url) OVER (PARTITION BY host))) WHERE k <= 5 GROUP BY host)
+    SELECT host, 'Page' AS feedTitle, 'article.post' AS item, 'h2' AS title, 'h2 a' AS link, 'time' AS date,
+      count(*) FILTER (line <> '') AS matched, count(DISTINCT doc_id) AS pages, any_value(sample_titles) AS sample_titles
+    FROM h JOIN top USING (host) GROUP BY host""",
+)
 def _(spark, d):
     pages = _pages(spark, d, _articles()).unionByName(
         v.raw_documents(spark, d).select("final_url", "body", "content_type")
