@@ -52,6 +52,16 @@ def _decode_named(bodies: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _decode_all(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def decode_text(markup: Column) -> Column:
+    """Decode every HTML entity of a text; rows without one stay out of Python."""
+    return F.coalesce(_decode_all(F.when(F.contains(markup, F.lit("&")), markup)), markup)
+
+
 def decode_entities(body: Column) -> Column:
     """Decode named HTML entities other than the five of XML, ahead of XML parsing.
 

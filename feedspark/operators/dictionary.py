@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.text import cell_encode
 from feedspark.model import ORDINALS
-from feedspark.operators.ranking import positions
+from feedspark.operators.ranking import peak_size, positions
 
 # Sub-field separator and line kinds of the compact format.
 UNIT = "\x1f"
@@ -64,7 +64,13 @@ def feed_mentions(feeds: DataFrame) -> DataFrame:
     ).select("feed_id", *ORDINALS, "_m.*")
 
 
-def intern(found: DataFrame) -> DataFrame:
+def peak_mentions(entries: DataFrame) -> int:
+    """Bound on entries plus mentions of one feed, from list sizes alone."""
+    weight = F.lit(2) + F.greatest(F.size("authors"), F.lit(0)) + F.greatest(F.size("tags"), F.lit(0))
+    return peak_size(entries, ["feed_id"], weight)
+
+
+def intern(found: DataFrame, peak: int | None = None) -> DataFrame:
     """Distinct values numbered by first appearance: feed_id, kind, cell, ref.
 
     Mentions are reduced to one row per value on the map side before numbering.
@@ -72,7 +78,7 @@ def intern(found: DataFrame) -> DataFrame:
     first = found.groupBy("feed_id", "kind", "cell").agg(
         F.min(F.struct(*ORDINALS, "idx")).alias("first_seen")
     )
-    ranked = positions(first, ["feed_id", "kind"], [F.col("first_seen")], "ref")
+    ranked = positions(first, ["feed_id", "kind"], [F.col("first_seen")], "ref", peak)
     return ranked.drop("first_seen")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.session import materialize, small_side
@@ -39,20 +39,28 @@ def spread_positions(df: DataFrame, keys: list[str], order: list, name: str) ->
     )
 
 
-def has_group_beyond(df: DataFrame, keys: list[str], rows: int) -> bool:
-    """Whether any group holds more than ``rows`` rows; reads the key columns only."""
-    return not df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).isEmpty()
+def peak_size(df: DataFrame, keys: list[str], weight: Column | None = None) -> int:
+    """Largest group size (or summed weight); partially aggregated, keys and weight only."""
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = df.groupBy(*keys).agg(size.alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
 
 
 def positions(
-    df: DataFrame, keys: list[str], order: list, name: str, group_rows: int = GROUP_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    name: str,
+    peak: int | None = None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Zero-based position inside each group.
 
-    A window does it while every group is small enough for one task; the sizes are
-    checked, and larger groups take the spread form.
+    A window does it while every group is small enough for one task. ``peak`` is a known
+    bound on the group size; without one the sizes are counted. Larger groups take the
+    spread form.
     """
-    if has_group_beyond(df, keys, group_rows):
+    if (peak_size(df, keys) if peak is None else peak) > group_rows:
         return spread_positions(df, keys, order, name)
     window = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window).cast("long") - 1)

@@ -385,7 +385,7 @@ def _(spark, d):
 @R.query(
     "page_title",
     """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN 'Site ' || page_id
-      ELSE trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) END AS title FROM pages""",
+      ELSE trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g')) END AS title FROM pages""",
 )
 def _(spark, d):
     key = F.col("page_id")

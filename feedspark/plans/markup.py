@@ -50,7 +50,7 @@ def _(spark, d):
 
 @R.query(
     "template_feeds",
-    """SELECT url AS source_url, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title FROM pages""",
+    """SELECT url AS source_url, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g')) AS title FROM pages""",
 )
 def _(spark, d):
     return html.template_feeds(html.scan_pages(v.raw_documents(spark, d), _nav_templates(spark, d)))

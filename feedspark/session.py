@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPLIT_BYTES = 64 << 20
 BROADCAST_ROWS = 50_000
 """A side is broadcast only when it is known to hold at most this many rows."""
 
@@ -38,6 +39,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give Python work all cores when the input is too small to be split by itself.
+
+    Only an input whose size cannot fill the cores is shuffled; a large one keeps the
+    partitions of its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a join side for broadcast after checking its row count; a larger one is left alone.
 

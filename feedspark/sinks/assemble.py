@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.operators.ranking import has_group_beyond, spread_positions
+from feedspark.operators.ranking import peak_size, spread_positions
 
 CHUNK_ROWS = 50_000
 HEAD, ITEMS, TAIL = 0, 10, 20
@@ -30,15 +30,21 @@ def fragment(keys: list[str], section: int, text: Column, a=None, b=None) -> lis
 
 
 def assemble(
-    fragments: DataFrame, keys: list[str], separator: str = "", chunk_rows: int = CHUNK_ROWS
+    fragments: DataFrame,
+    keys: list[str],
+    separator: str = "",
+    peak: int | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """``keys``, ``chunk_no`` and ``body``; ``separator`` goes between items only.
 
-    Group sizes are checked first. Groups beyond ``chunk_rows`` are numbered by the
-    spread ranking and cut into chunks, so no task ever holds more than one chunk.
+    Group sizes are checked first (``peak`` is a known bound on them). Groups beyond
+    ``chunk_rows`` are numbered by the spread ranking and cut into chunks, so no task
+    ever holds more than one chunk.
     """
+    chunk_rows = chunk_rows or CHUNK_ROWS
     whole = fragments.withColumn("chunk_no", F.lit(0).cast("long"))
-    if has_group_beyond(fragments, keys, chunk_rows):
+    if (peak_size(fragments, keys) if peak is None else peak) > chunk_rows:
         sizes = fragments.groupBy(*keys).agg(F.count("*").alias("_n"))
         large = sizes.filter(F.col("_n") > chunk_rows).select(*keys)
         numbered = spread_positions(

@@ -15,6 +15,7 @@ from feedspark.operators.dictionary import (
     intern,
     link_base,
     mentions,
+    peak_mentions,
 )
 from feedspark.sinks.assemble import HEAD, ITEMS, TAIL, assemble, fragment
 
@@ -39,7 +40,9 @@ def write_compact(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     """
     c = F.col
     found = mentions(entries).unionByName(feed_mentions(feeds))
-    dictionary = intern(found)
+    authors = F.max(F.greatest(F.size("authors"), F.lit(0)))
+    peak = peak_mentions(entries) + (feeds.agg(authors).first()[0] or 0) + 3
+    dictionary = intern(found, peak)
     refs = (
         found.join(dictionary, ["feed_id", "kind", "cell"])
         .groupBy("feed_id", *ORDINALS)
@@ -94,4 +97,4 @@ def write_compact(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     )
     items = joined.select(*fragment(KEYS, ITEMS, line, c("part_ord"), c("entry_ord")))
     parts = heads.unionByName(words).unionByName(bases).unionByName(items).unionByName(tails)
-    return assemble(parts, KEYS)
+    return assemble(parts, KEYS, peak=peak)

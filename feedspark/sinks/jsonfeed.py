@@ -9,6 +9,7 @@ from feedspark.functions.dates import rfc3339
 from feedspark.functions.text import json_string
 from feedspark.model import nonempty, nonempty_list
 from feedspark.sinks.assemble import HEAD, ITEMS, TAIL, assemble, fragment
+from feedspark.sinks.xmlfeeds import peak
 
 KEYS = ["feed_id"]
 SEPARATOR = ",\n"
@@ -78,4 +79,4 @@ def write_jsonfeed(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     heads = counted.select(*fragment(KEYS, HEAD, head))
     tails = counted.select(*fragment(KEYS, TAIL, tail))
     items = entries.select(*fragment(KEYS, ITEMS, item(), c("part_ord"), c("entry_ord")))
-    return assemble(heads.unionByName(items).unionByName(tails), KEYS, separator=SEPARATOR)
+    return assemble(heads.unionByName(items).unionByName(tails), KEYS, separator=SEPARATOR, peak=peak(entries))

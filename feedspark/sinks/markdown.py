@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.binding import let
 from feedspark.model import nonempty, nonempty_list
 from feedspark.sinks.assemble import HEAD, ITEMS, TAIL, assemble, fragment
+from feedspark.sinks.xmlfeeds import peak
 
 KEYS = ["feed_id"]
 DOT = " · "
@@ -50,4 +51,4 @@ def write_markdown(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     heads = feeds.select(*fragment(KEYS, HEAD, head))
     tails = feeds.select(*fragment(KEYS, TAIL, F.lit("\n")))
     items = entries.select(*fragment(KEYS, ITEMS, entry, c("part_ord"), c("entry_ord")))
-    return assemble(heads.unionByName(items).unionByName(tails), KEYS)
+    return assemble(heads.unionByName(items).unionByName(tails), KEYS, peak=peak(entries))

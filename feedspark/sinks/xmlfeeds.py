@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from feedspark.functions.dates import epoch, merge_time, refine_time, rfc822, rfc3339
 from feedspark.functions.text import escape_attr, escape_text
 from feedspark.model import nonempty
+from feedspark.operators.ranking import peak_size
 from feedspark.sinks.assemble import HEAD, ITEMS, TAIL, assemble, fragment
 
 KEYS = ["feed_id"]
+
+
+def peak(entries: DataFrame) -> int:
+    """Most fragments of one document: its entries, a head and a tail."""
+    return peak_size(entries, KEYS) + 2
+
+
 DECLARATION = '<?xml version="1.0" encoding="utf-8"?>\n'
 
 
@@ -90,7 +98,7 @@ def write_atom(feeds: DataFrame, entries: DataFrame) -> DataFrame:
         F.lit("  </entry>\n"),
     )
     items = dated.select(*fragment(KEYS, ITEMS, item, c("part_ord"), c("entry_ord")))
-    return assemble(heads.unionByName(items).unionByName(tails), KEYS)
+    return assemble(heads.unionByName(items).unionByName(tails), KEYS, peak=peak(entries))
 
 
 def write_rss(feeds: DataFrame, entries: DataFrame) -> DataFrame:
@@ -150,4 +158,4 @@ def write_rss(feeds: DataFrame, entries: DataFrame) -> DataFrame:
         F.lit("    </item>\n"),
     )
     items = entries.select(*fragment(KEYS, ITEMS, item, c("part_ord"), c("entry_ord")))
-    return assemble(heads.unionByName(items).unionByName(tails), KEYS)
+    return assemble(heads.unionByName(items).unionByName(tails), KEYS, peak=peak(entries))

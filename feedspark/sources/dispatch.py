@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedspark.session import spread
 from feedspark.sources import xmlfeeds
 from feedspark.sources.jsonfeed import SCHEMA, jsonfeed
 from feedspark.sources.shape import explode_list, finish_entries, finish_feeds
@@ -36,7 +37,7 @@ def parse_feeds(docs: DataFrame, formats: tuple[str, ...] = FORMATS) -> DataFram
     are scanned once. Persist the result when both feeds and entries are needed.
     """
     kind, body = F.col("format"), F.col("body")
-    marked = docs.select(
+    marked = spread(docs).select(
         F.col("final_url").alias("source_url"), "body", body_format(body).alias("format")
     )
     texts = marked.withColumn("xml", xmlfeeds.xml_body(F.when(kind.isin(*XML), body)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.functions.binding import let
-from feedspark.functions.text import decode_entities, strip_html
+from feedspark.functions.text import decode_text
 from feedspark.model import RAW_DOCUMENT, present
 
 SNIFFED = 2000
@@ -78,23 +78,19 @@ def carry_forward(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def _first_tag_text(html: Column, tag: str) -> Column:
-    inner = F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
-    return inner
+    return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
 
 
 def plain_text(markup: Column) -> Column:
     """Text of inline markup: tags dropped, entities decoded, ends trimmed."""
-    text = F.regexp_replace(markup, r"<[^>]*>", "")
-    named = decode_entities(text)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("amp", "&")):
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    return present(named)
+    return present(decode_text(F.regexp_replace(markup, r"<[^>]*>", "")))
 
 
 def page_title(html: Column, url: Column) -> Column:
     """Site name of the page, else its title, else its URL."""
     meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:site_name\b[^>]*>", 0)
-    site = F.regexp_extract(meta, r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    quoted = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    site = F.concat(F.regexp_extract(meta, quoted, 1), F.regexp_extract(meta, quoted, 2))
     return F.coalesce(
         plain_text(site), plain_text(_first_tag_text(html, "title")), url
     )
@@ -106,15 +102,3 @@ def listing_title(html: Column) -> Column:
         plain_text(_first_tag_text(html, "title")), plain_text(_first_tag_text(html, "h1"))
     )
 
-
-__all__ = [
-    "KINDS",
-    "carry_forward",
-    "detect_kind",
-    "listing_title",
-    "page_title",
-    "plain_text",
-    "scan_files",
-    "scan_table",
-    "strip_html",
-]
