@@ -10,8 +10,8 @@ from feedspark.model import nonempty
 
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _HIERARCHICAL = r"(?i)^(https?|ftp|wss?):"
-# Characters a path, query or fragment keeps as they are.
-_KEPT = "!$%&'()*+,-./:;=?@[]_~|#\\^`{}"
+# Characters a path, query or fragment keeps as they are (a character class).
+_KEPT = r"\x21\x23-\x3b\x3d\x3f-\x7e"
 # Characters a component encoding keeps besides letters and digits.
 _COMPONENT_KEPT = "!'()*-._~"
 
@@ -29,13 +29,18 @@ def encode_component(value: Column) -> Column:
 
 
 def _encode_non_ascii(url: Column) -> Column:
-    """Percent-encode blanks, quotes, angle brackets and non-ASCII text, nothing else."""
-    out = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
-    for char in _KEPT:
-        if char != "%":
-            out = F.replace(out, F.lit(_hex(char)), F.lit(char))
-    out = F.replace(out, F.lit("%25"), F.lit("%"))
-    return F.when(url.rlike(r"[^\x21-\x7e]|[\"<>]"), out).otherwise(url)
+    """Percent-encode blanks, quotes, angle brackets and non-ASCII text, nothing else.
+
+    The text is cut into runs of kept and of other characters; only the latter are encoded.
+    """
+    runs = F.regexp_extract_all(url, F.lit(f"([{_KEPT}]+|[^{_KEPT}]+)"))
+    encoded = F.transform(
+        runs,
+        lambda r: F.when(r.rlike(f"^[{_KEPT}]"), r).otherwise(
+            F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
+        ),
+    )
+    return F.when(url.rlike(f"[^{_KEPT}]"), F.array_join(encoded, "")).otherwise(url)
 
 
 def _remove_dots(path: Column) -> Column:

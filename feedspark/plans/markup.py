@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.text import escape_text
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
+from feedspark.session import materialize
 from feedspark.sources import cascade, html, propose
 
 R = Registry()
@@ -278,7 +279,8 @@ def _(spark, d):
     )
     hosts = v.table(spark, d, "documents").select(F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string"), F.lit(".example")).alias("host"))
     templates = _template(hosts, F.col("host"), item="section.post", title="h2", link="h2 a", date="time")
-    entries, _ = cascade.extract(pages.unionByName(feeds), templates)
+    documents = materialize(pages.unionByName(feeds))
+    entries, _ = cascade.extract(documents, templates)
     return entries.groupBy("source_url", "strategy").agg(F.count("*").alias("n"))
 
 

@@ -7,8 +7,10 @@ Supported selectors: tag, ``.class``, ``#id``, ``[a]``, ``[a=v]``, ``[a^=v]``, `
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from html.parser import HTMLParser
+from operator import attrgetter
 
 # Elements without content, and what an opening tag closes implicitly.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,6 +23,9 @@ CLOSES |= {"tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table select article section div nav body html".split())
 
 
+_index = attrgetter("index")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "index", "end", "text_from", "text_to")
 
@@ -36,6 +41,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
+        self._by_tag: dict[str, list[Node]] = {}
         self.texts: list[str] = []
         self._open: list[Node] = []
         self.feed(html)
@@ -62,6 +68,7 @@ class Page(HTMLParser):
         # The first of repeated attributes counts.
         node = Node(tag, dict(reversed(attrs)), parent, len(self.nodes), len(self.texts))
         self.nodes.append(node)
+        self._by_tag.setdefault(tag, []).append(node)
         self._open.append(node)
         if tag in VOID:
             self._close_down_to(len(self._open) - 1)
@@ -75,6 +82,10 @@ class Page(HTMLParser):
                 self._close_down_to(depth)
                 return
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
+
     def handle_data(self, data):
         self.texts.append(data)
 
@@ -82,9 +93,22 @@ class Page(HTMLParser):
         return "".join(self.texts[node.text_from : node.text_to]).strip() if node else ""
 
     def select(self, selector: str, within: Node | None = None):
-        """Matching nodes in document order, below ``within`` if given."""
-        inside = self.nodes[within.index + 1 : within.end] if within else self.nodes
-        chains = compile_selector(selector)
+        """Matching nodes in document order, below ``within`` if given.
+
+        When every alternative names a tag, only nodes of these tags are looked at.
+        """
+        chains, tags = compile_selector(selector)
+        low, high = (within.index + 1, within.end) if within else (0, len(self.nodes))
+        if tags is None:
+            inside = self.nodes[low:high]
+        else:
+            inside = []
+            for tag in tags:
+                named = self._by_tag.get(tag, [])
+                start = bisect_left(named, low, key=_index)
+                inside += named[start : bisect_left(named, high, start, key=_index)]
+            if len(tags) > 1:
+                inside.sort(key=_index)
         return (n for n in inside if any(_matches(n, chain) for chain in chains))
 
     def first(self, selector: str, within: Node | None = None) -> Node | None:
@@ -108,14 +132,15 @@ OPERATORS = {
 
 
 def _compound(text: str, at: int):
-    """Tests of one compound selector and where it ends."""
-    tests = []
+    """Tests of one compound selector, where it ends, and the tag it names."""
+    tests, tag = [], None
     while match := _SIMPLE.match(text, at):
         at = match.end()
         g = match.groupdict()
         if g["tag"]:
             if g["tag"] != "*":
-                tests.append(lambda n, t=g["tag"].lower(): n.tag == t)
+                tag = g["tag"].lower()
+                tests.append(lambda n, t=tag: n.tag == t)
         elif g["cls"]:
             tests.append(lambda n, c=g["cls"]: c in (n.attrs.get("class") or "").split())
         elif g["id"]:
@@ -128,21 +153,24 @@ def _compound(text: str, at: int):
             else:
                 tests.append(lambda n, a=name: a in n.attrs)
         else:
-            inner, end = _compound(g["not"].strip(), 0)
+            inner, end, _ = _compound(g["not"].strip(), 0)
             if end != len(g["not"].strip()):
                 raise ValueError(f'unsupported selector "{text}"')
             tests.append(lambda n, inner=inner: not all(t(n) for t in inner))
-    return tests, at
+    return tests, at, tag
 
 
 @lru_cache(maxsize=4096)
 def compile_selector(selector: str):
-    """Alternatives of (compound, combinator to its left) pairs, rightmost first."""
-    chains = []
+    """Alternatives of (compound, combinator to its left) pairs, rightmost first.
+
+    The tags of the rightmost compounds come along, or None if one of them names no tag.
+    """
+    chains, tags = [], set()
     for part in re.split(r",(?![^\[(]*[\])])", selector):
         text, at, steps, combinator = part.strip(), 0, [], None
         while True:
-            tests, end = _compound(text, at)
+            tests, end, tag = _compound(text, at)
             if end == at:
                 raise ValueError(f'unsupported selector "{selector}"')
             steps.append((tests, combinator))
@@ -153,7 +181,8 @@ def compile_selector(selector: str):
         if end != len(text):
             raise ValueError(f'unsupported selector "{selector}"')
         chains.append(steps[::-1])
-    return chains
+        tags.add(tag)
+    return chains, None if None in tags else sorted(tags)
 
 
 def _matches(node: Node, chain, step: int = 0) -> bool:
