@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.functions.dates import epoch, merge_time
 from feedspark.functions.ids import merge_key, merged_feed_id
-from feedspark.model import ENTRY_COLUMNS, GENERATOR, ORDINALS, nonempty
+from feedspark.functions.urls import resolve_url
+from feedspark.model import ENTRY_COLUMNS, GENERATOR, ORDINALS, nonempty, present
+from feedspark.operators.ranking import top_rows
 
 ID_NAMESPACE = "urn:feed:mesh:"
 """Default prefix of merged-feed ids; pass another to keep ids of an earlier deployment."""
@@ -36,14 +38,13 @@ def newest_first(*first: str) -> list[Column]:
     return [F.col(c) for c in first] + [time.desc()] + [F.col(c) for c in ORDINALS]
 
 
-def dedup_first(entries: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
+def dedup_first(entries: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Keep the first row per key in the given order.
 
     The rank-one window is cut down to one row per key and partition before the shuffle,
     so a key shared by a third of all rows sends one row per task.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return entries.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+    return top_rows(entries, keys, order, 1)
 
 
 def merge_entries(entries: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -58,9 +59,7 @@ def newest(entries: DataFrame, limit: int | None, groups: list[str] | None = Non
         return entries
     if not groups:
         return entries.orderBy(*newest_first()).limit(limit)
-    window = Window.partitionBy(*groups).orderBy(*newest_first())
-    ranked = entries.withColumn("_rank", F.row_number().over(window))
-    return ranked.filter(F.col("_rank") <= limit).drop("_rank")
+    return top_rows(entries, groups, newest_first(), limit)
 
 
 def merge_feeds(entries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -119,8 +118,8 @@ def flatten_construct(grouped: DataFrame, limit: int | None = None) -> DataFrame
     flat = dedup_first(keyed, ["construct", "_key"], order).drop("_key", "_time")
     if limit:
         time = merge_time(F.col("published"), F.col("updated"))
-        window = Window.partitionBy("construct").orderBy(time.desc(), "mesh_ord", *ORDINALS)
-        flat = flat.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
+        newest_of_all = [time.desc(), *[F.col(c) for c in ("mesh_ord", *ORDINALS)]]
+        flat = top_rows(flat, ["construct"], newest_of_all, limit)
     return flat
 
 
@@ -134,9 +133,6 @@ def finalize_feeds(feeds: DataFrame, entries: DataFrame, now: datetime) -> DataF
 
     Entry dates are reduced to one row per feed before the join.
     """
-    from feedspark.functions.urls import resolve_url
-    from feedspark.model import present
-
     dated = newest_entry(entries, ["source_url"])
     joined = feeds.join(dated, "source_url", "left")
     return joined.select(

@@ -39,6 +39,20 @@ def spread_positions(df: DataFrame, keys: list[str], order: list, name: str) ->
     )
 
 
+def top_rows(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group.
+
+    Up to the planner's threshold every task cuts its rows to the limit before the
+    shuffle. A larger limit could leave a hot group whole, so positions are used there.
+    """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if limit > threshold:
+        return positions(df, keys, order, "_rank").filter(F.col("_rank") < limit).drop("_rank")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    ranked = df.withColumn("_rank", F.row_number().over(window))
+    return ranked.filter(F.col("_rank") <= limit).drop("_rank")
+
+
 def peak_size(df: DataFrame, keys: list[str], weight: Column | None = None) -> int:
     """Largest group size (or summed weight); partially aggregated, keys and weight only."""
     size = F.count("*") if weight is None else F.sum(weight)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.operators.ranking import peak_size, spread_positions
+from feedspark.session import materialize
 
 CHUNK_ROWS = 50_000
 HEAD, ITEMS, TAIL = 0, 10, 20
@@ -46,7 +47,7 @@ def assemble(
     whole = fragments.withColumn("chunk_no", F.lit(0).cast("long"))
     if (peak_size(fragments, keys) if peak is None else peak) > chunk_rows:
         sizes = fragments.groupBy(*keys).agg(F.count("*").alias("_n"))
-        large = sizes.filter(F.col("_n") > chunk_rows).select(*keys)
+        large = materialize(sizes.filter(F.col("_n") > chunk_rows).select(*keys))
         numbered = spread_positions(
             fragments.join(large, keys, "left_semi"), keys, [F.col(c) for c in ORDER], "_pos"
         )

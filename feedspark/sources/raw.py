@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.binding import let
 from feedspark.functions.text import decode_text
 from feedspark.model import RAW_DOCUMENT, present
+from feedspark.operators.merge import dedup_first
 
 SNIFFED = 2000
 # Document kinds.
@@ -62,12 +63,14 @@ def carry_forward(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Fill documents that were not modified from the latest earlier snapshot.
 
     Status 304 takes body, content type and final URL of the previous document of the
-    same requested URL; other rows stay as fetched.
+    same requested URL; other rows stay as fetched. Only documents that are asked for
+    leave the previous snapshots, and each task keeps its latest one before the shuffle.
     """
     kept = ["final_url", "content_type", "body", "etag", "last_modified"]
-    latest = previous.filter(F.col("body").isNotNull()).groupBy("requested_url").agg(
-        F.max_by(F.struct(*kept), F.col("snapshot_ts")).alias("_previous")
-    )
+    wanted = current.filter(F.col("http_status") == 304).select("requested_url").distinct()
+    stored = previous.filter(F.col("body").isNotNull()).join(wanted, "requested_url", "left_semi")
+    newest = dedup_first(stored, ["requested_url"], [F.col("snapshot_ts").desc()])
+    latest = newest.select("requested_url", F.struct(*kept).alias("_previous"))
     joined = current.join(latest, "requested_url", "left")
     unchanged = (F.col("http_status") == 304) & F.col("_previous").isNotNull()
     filled = [

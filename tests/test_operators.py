@@ -50,6 +50,7 @@ def test_rules_table_agrees_with_the_spec(spark, mixed):
         "kind string, field string, pattern string, regex boolean",
     )
     assert column(filters.filter_by_rules_table(mixed, rules), "entry_ord") == [3]
+    assert column(filters.filter_by_rules_table(mixed, rules, block_rules=1), "entry_ord") == [3]
     assert filters.filter_by_rules_table(mixed, rules.limit(0)).count() == 4
 
 
@@ -188,6 +189,15 @@ def test_spread_positions_equal_the_window(spark):
     assert total.agg(F.min("pos"), F.max("pos")).first() == (0, 4999)
 
 
+def test_top_rows_beyond_the_planner_threshold(spark):
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id")]
+    few = ranking.top_rows(rows, ["k"], order, 900)
+    many = ranking.top_rows(rows, ["k"], order, 1500)
+    assert (few.count(), many.count()) == (1800, 3000)
+    assert few.join(many, "id", "left_anti").count() == 0
+
+
 def test_palette_cycles(spark):
     rows = entries(spark, *[{"source": (f"s{i % 8}", None)} for i in range(16)])
     got = dict(overview.source_palette(rows, F.col("source.name")).collect())
