@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedspark.functions.dates import rfc3339
 from feedspark.functions.text import escape_attr, escape_text
+from feedspark.model import RAW_DOCUMENT
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
+from feedspark.session import shared_dir
 from feedspark.sinks import compact as compact_sink
 from feedspark.sinks import jsonfeed as jsonfeed_sink
 from feedspark.sinks import opml as opml_sink
@@ -347,7 +351,16 @@ def _(spark, d):
     "SELECT url AS requested_url, md5(html) AS etag, length(html) AS n_chars, md5(substr(html, 1, 200)) AS head_md5 FROM pages",
 )
 def _(spark, d):
-    docs = v.raw_documents(spark, d)
+    absent = lambda t: F.lit(None).cast(t)
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    stored = v.raw_documents(spark, d).select(
+        *[c for c in RAW_DOCUMENT.fieldNames() if c not in ("last_modified", "error", "snapshot_ts")],
+        absent("string").alias("last_modified"),
+        absent("string").alias("error"),
+        absent("timestamp").alias("snapshot_ts"),
+    )
+    stored.write.parquet(path)
+    docs = raw.scan_table(spark, path)
     return docs.select(
         "requested_url",
         "etag",

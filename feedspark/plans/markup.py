@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import escape_text
+from feedspark.plans import pipeline
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
 from feedspark.session import materialize
@@ -302,3 +303,28 @@ def _(spark, d):
     )
     out = propose.propose_templates(pages)
     return out.withColumn("sample_titles", F.array_join("sample_titles", " | "))
+
+
+@R.query(
+    "mesh_pipeline",
+    "WITH "
+    + NAV
+    + f""", e AS (SELECT page_id % 10 AS mesh_ord, page_id // 10 AS part_ord, pos, title, origin || {ENC} AS link FROM nav WHERE page_id % 9 <> 0),
+    m AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY mesh_ord, link ORDER BY part_ord, pos) = 1)
+    SELECT mesh_ord, title, link, 'source ' || part_ord AS source_name FROM m
+    QUALIFY row_number() OVER (PARTITION BY mesh_ord ORDER BY part_ord, pos) <= 40""",
+)
+def _(spark, d):
+    docs = v.raw_documents(spark, d)
+    key = F.col("page_id")
+    documents = docs.withColumn("error", F.when(key % 9 == 0, F.lit("timeout")))
+    sources = docs.select(
+        F.lit("all").alias("construct"),
+        (key % 10).alias("mesh_ord"),
+        F.concat(F.lit("mesh "), (key % 10).cast("string")).alias("mesh_name"),
+        F.floor(key / 10).alias("source_ord"),
+        F.concat(F.lit("source "), F.floor(key / 10).cast("string")).alias("source_name"),
+        F.col("requested_url").alias("source_url"),
+    )
+    fetched = pipeline.fetch_meshes(sources, documents, _nav_templates(spark, d), limit=40)
+    return fetched.entries.select("mesh_ord", "title", "link", F.col("source.name").alias("source_name"))
