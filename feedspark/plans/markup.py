@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import escape_text
-from feedspark.plans import pipeline
+from feedspark.plans import meshes
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
 from feedspark.session import materialize
@@ -306,7 +306,7 @@ def _(spark, d):
 
 
 @R.query(
-    "mesh_pipeline",
+    "fetch_meshes",
     "WITH "
     + NAV
     + f""", e AS (SELECT page_id % 10 AS mesh_ord, page_id // 10 AS part_ord, pos, title, origin || {ENC} AS link FROM nav WHERE page_id % 9 <> 0),
@@ -326,5 +326,5 @@ def _(spark, d):
         F.concat(F.lit("source "), F.floor(key / 10).cast("string")).alias("source_name"),
         F.col("requested_url").alias("source_url"),
     )
-    fetched = pipeline.fetch_meshes(sources, documents, _nav_templates(spark, d), limit=40)
+    fetched = meshes.fetch_meshes(sources, documents, _nav_templates(spark, d), limit=40)
     return fetched.entries.select("mesh_ord", "title", "link", F.col("source.name").alias("source_name"))

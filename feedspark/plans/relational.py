@@ -198,7 +198,7 @@ def _(spark, d):
 
 
 @R.query(
-    "refine_pipeline",
+    "refine_entries",
     E1
     + _rank_sql(
         f"{REFINE_TIME} DESC NULLS LAST, part_ord, entry_ord",
