@@ -348,7 +348,7 @@ def _(spark, d):
 
 @R.query(
     "raw_scan",
-    "SELECT url AS requested_url, md5(html) AS etag, length(html) AS n_chars, md5(substr(html, 1, 200)) AS head_md5 FROM pages",
+    "SELECT url AS requested_url, md5(html) AS etag, length(html) AS n_chars, md5(html) AS body_md5 FROM pages",
 )
 def _(spark, d):
     absent = lambda t: F.lit(None).cast(t)
@@ -365,7 +365,7 @@ def _(spark, d):
         "requested_url",
         "etag",
         F.length("body").cast("long").alias("n_chars"),
-        F.md5(F.substring("body", 1, 200)).alias("head_md5"),
+        F.md5("body").alias("body_md5"),
     )
 
 

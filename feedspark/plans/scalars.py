@@ -89,7 +89,7 @@ def _(spark, d):
 
 @R.query(
     "strip_html",
-    """SELECT page_id, length(t) AS n, md5(t) AS plain_md5, substr(t, 1, 80) AS head FROM (SELECT page_id,
+    """SELECT page_id, length(t) AS n, md5(t) AS plain_md5 FROM (SELECT page_id,
       trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)""",
 )
 def _(spark, d):
@@ -99,7 +99,6 @@ def _(spark, d):
         "page_id",
         F.length("t").cast("long").alias("n"),
         F.md5("t").alias("plain_md5"),
-        F.substring("t", 1, 80).alias("head"),
     )
 
 

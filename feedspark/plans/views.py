@@ -44,7 +44,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(
             doc % 3 == 0, F.timestamp_add("SECOND", F.floor("value").cast("int"), ts)
         ).alias("updated"),
-        F.when(F.col("n_chars") >= 60, F.substring("text", 1, 200)).alias("summary"),
+        F.when(F.col("n_chars") >= 60, F.col("text")).alias("summary"),
         F.when(doc % 5 == 0, F.concat(users, editors)).otherwise(users).cast(
             f"array<{PERSON.simpleString()}>"
         ).alias("authors"),
@@ -67,7 +67,7 @@ entries AS (
     CASE WHEN doc_id % 11 <> 0 THEN date_trunc('millisecond', ts) END AS published,
     CASE WHEN doc_id % 3 = 0
       THEN date_trunc('millisecond', ts) + to_seconds(CAST(floor(value) AS BIGINT)) END AS updated,
-    CASE WHEN n_chars >= 60 THEN substr(text, 1, 200) END AS summary,
+    CASE WHEN n_chars >= 60 THEN text END AS summary,
     CASE WHEN doc_id % 5 = 0 THEN ['user ' || user_id, 'editor ' || lang]
       ELSE ['user ' || user_id] END AS authors,
     CASE WHEN doc_id % 7 = 0 THEN [] ELSE [lang, event_type] END AS tags,

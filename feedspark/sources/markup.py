@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import lru_cache
 from html.parser import HTMLParser
 from operator import attrgetter
 
@@ -160,8 +159,20 @@ def _compound(text: str, at: int):
     return tests, at, tag
 
 
-@lru_cache(maxsize=4096)
+_COMPILED: dict[str, tuple] = {}
+
+
 def compile_selector(selector: str):
+    """Compiled selectors are kept, up to a bound; functions travel by value, so the
+    cache is a plain dictionary."""
+    if selector not in _COMPILED:
+        if len(_COMPILED) >= 4096:
+            _COMPILED.clear()
+        _COMPILED[selector] = _compile(selector)
+    return _COMPILED[selector]
+
+
+def _compile(selector: str):
     """Alternatives of (compound, combinator to its left) pairs, rightmost first.
 
     The tags of the rightmost compounds come along, or None if one of them names no tag.
