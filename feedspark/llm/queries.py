@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import ngram_join, quality
+from feedspark.llm import decontam, ngram_join, quality
 from feedspark.llm.common import table
 from feedspark.llm.sql import jaccard_sql, quality_sql
 from feedspark.plans.registry import Registry
@@ -31,3 +31,8 @@ def op4_quality(spark, sf_dir):
 @R.query("op3_ngram_join", jaccard_sql())
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@R.query("op10_decontam")
+def op10_decontam(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
