@@ -32,6 +32,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def row_key() -> Column:
+    """A 64-bit hash of a row's id and text, for joins that must not trust the id alone."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of("text"))
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     spelled = F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -56,3 +61,10 @@ def dropped(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

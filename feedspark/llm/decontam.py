@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import text_of
+from feedspark.llm.common import row_key, text_of
 
 # The masks; 1 looks at a token, 0 ignores it.
 MASKS = ("1110101011", "11010001101", "110011000011")
@@ -101,7 +101,7 @@ def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) ->
     bitmap = _bitmap(seeds.select("seed"), bits)
 
     read = docs.select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of("text")).alias("row_key"),
+        row_key().alias("row_key"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         token_hashes(text_of("text")).alias("hashes"),
     )
@@ -130,3 +130,10 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE
         .agg(F.max("matched_tokens").alias("matched_tokens"))
         .withColumn("share", F.col("matched_tokens") / F.col("item_tokens"))
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, all their columns untouched."""
+    bad = overlaps(docs, items, min_share).select("row_key").distinct()
+    rows = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(bad, "row_key", "left_anti").select("row.*")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import UPPER_TO_LOWER, dropped, stored
+from feedspark.llm.common import UPPER_TO_LOWER, dropped, row_key, stored, text_of
 from feedspark.llm.components import components
 from feedspark.session import materialize
 
@@ -130,7 +130,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Da
         cache = _WordHashes()
         for batch in batches:
             sizes, marks, firsts = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 grams = _grams(text, n, cache)
                 size = len(grams)
                 last = _is_in(grams, sent.value)
@@ -144,15 +144,17 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(marks, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                ["doc_id", "n_shingles", "sig", "prefix"],
+                ["row_key", "doc_id", "n_shingles", "sig", "prefix"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, sig bigint, prefix array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, schema)
+    schema = "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint, prefix array<bigint>"
+    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text"))
+    return rows.mapInArrow(cut, schema)
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -262,13 +264,13 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
-def _hub_pairs(prefixes: DataFrame) -> DataFrame:
+def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """Each set with the hub that most of its prefix names: the smallest set that holds an n-gram."""
     hubs = prefixes.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"), F.max("sig").alias("other"))
     hubs = hubs.filter("hub.sig <> other").drop("other")
     named = (
         prefixes.join(hubs, "gram")
-        .filter("sig <> hub.sig AND 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+        .filter(f"sig <> hub.sig AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
         .groupBy("sig", "n", "hub")
         .count()
     )
@@ -309,23 +311,33 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     ).distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
-    docs = docs.select("doc_id", "text")
+def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The stored sets of all rows, and ``node, root`` of the signatures that are linked."""
+    docs = docs.select("doc_id", text_of("text").alias("text"))
     frequent = _frequent(docs, n)
     sets = stored(_prefixes(docs, n, percent, frequent))
     prefixes = stored(_shared(sets))
-    hub_pairs = stored(_hub_pairs(prefixes))
-    ends = hub_pairs.select(F.col("a").alias("sig")).unionByName(hub_pairs.select(F.col("b").alias("sig")))
-    segments = stored(_segments(docs, n, frequent, _bitmap(ends, FILTER_BITS)))
-    first = materialize(_linked(hub_pairs, segments, percent))
+
+    hub_pairs = stored(_hub_pairs(prefixes, percent))
+    first_segments = stored(_segments(docs, n, frequent, _bitmap(_ends(hub_pairs), FILTER_BITS)))
+    first = materialize(_linked(hub_pairs, first_segments, percent))
+    dropped(first_segments)
     roots = components(first)
     open_pairs = stored(_open_pairs(prefixes, roots, percent))
-    ends = open_pairs.select(F.col("a").alias("sig")).unionByName(open_pairs.select(F.col("b").alias("sig")))
-    more = stored(_segments(docs, n, frequent, _bitmap(ends, FILTER_BITS)))
-    second = materialize(_linked(open_pairs, more, percent))
-    roots = components(first.unionByName(second))
+    more_segments = stored(_segments(docs, n, frequent, _bitmap(_ends(open_pairs), FILTER_BITS)))
+    second = materialize(_linked(open_pairs, more_segments, percent))
+    for used in (prefixes, hub_pairs, open_pairs, more_segments):
+        dropped(used)
+    return sets.drop("prefix"), components(first.unionByName(second))
 
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+
+
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
+    sets, roots = _grouped(docs, n, percent)
     lone = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "sig")
     lowest = full.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
@@ -334,7 +346,26 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     )
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("sig", "component_id")
-    out = full.join(named, "sig").select("doc_id", "n_shingles", "component_id")
-    for used in (prefixes, hub_pairs, segments, open_pairs, more):
-        dropped(used)
-    return out.unionByName(lone)
+    return full.join(named, "sig").select("doc_id", "n_shingles", "component_id").unionByName(lone)
+
+
+def deduplicated(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that with the smallest id; columns untouched.
+
+    Texts without words are linked with nothing and all stay. Of repeated rows one stays.
+    """
+    sets, roots = _grouped(docs, n, percent)
+    rows = sets.filter("n_shingles > 0").groupBy("sig", "row_key").agg(
+        F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("rank")
+    )
+    placed = rows.join(roots, rows.sig == roots.node, "left").withColumn("root", F.coalesce("root", "sig"))
+    best = placed.groupBy("root").agg(F.min("rank").alias("best"), F.sum("copies").alias("size")).filter("size > 1")
+    surplus = placed.join(best, "root").select(
+        "row_key", (F.col("row_key") == F.col("best.row_key")).alias("stays"), "copies"
+    )
+    touched = materialize(surplus.filter("NOT stays OR copies > 1"))
+    keyed = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("row"))
+    others = keyed.join(touched, "row_key", "left_anti")
+    repeated = keyed.join(touched.filter("stays").select("row_key"), "row_key", "left_semi")
+    single = repeated.groupBy("row_key").agg(F.first("row").alias("row"))
+    return others.unionByName(single).select("row.*")

@@ -154,3 +154,9 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
         .withColumn("broken_rules", compiled(rules))
         .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
     )
+
+
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, all their columns untouched, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return judged(rows).filter("kept").select("row.*")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import decontam, ngram_join, quality
-from feedspark.llm.common import table
+from feedspark.llm import decontam, ngram_join, packing, pii, quality
+from feedspark.llm.common import table, tokenizer_path
 from feedspark.llm.sql import jaccard_sql, quality_sql
 from feedspark.plans.registry import Registry
 
@@ -36,3 +36,20 @@ def op3_ngram_join(spark, sf_dir):
 @R.query("op10_decontam")
 def op10_decontam(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@R.query("op1_pii")
+def op1_pii(spark, sf_dir):
+    docs = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(list(kinds)))
+    return docs.select(
+        "doc_id",
+        *[F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(of(pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@R.query("op6_packing")
+def op6_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
