@@ -196,25 +196,30 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("spans", F.concat(*[spans_of(t, kind) for kind in KINDS]))
 
 
+def _mask(text: Column, kind: Kind) -> Column:
+    def join(parts: Column) -> Column:
+        shown = F.zip_with(
+            parts["gaps"],
+            parts["hits"],
+            lambda gap, hit: F.concat(
+                gap,
+                F.when(hit.isNull(), "")
+                .when(_score(kind, hit, gap) >= THRESHOLD, f"[{kind.name.upper()}]")
+                .otherwise(hit),
+            ),
+        )
+        return F.array_join(shown, "")
+
+    return let(text, lambda t: F.when(t.rlike(kind.needs), _cut(t, kind, join)).otherwise(t))
+
+
 def masked(text: Column) -> Column:
     """The text with every confirmed span replaced by its kind, as in ``[EMAIL]``.
 
     Kinds are masked one after the other, so of overlapping spans the first kind's stands.
     """
     for kind in KINDS:
-
-        def join(parts: Column, kind=kind) -> Column:
-            mask = f"[{kind.name.upper()}]"
-            shown = F.zip_with(
-                parts["gaps"],
-                parts["hits"],
-                lambda gap, hit: F.concat(
-                    gap, F.when(hit.isNull(), "").when(_score(kind, hit, gap) >= THRESHOLD, mask).otherwise(hit)
-                ),
-            )
-            return F.array_join(shown, "")
-
-        text = let(text, lambda t, kind=kind, join=join: F.when(t.rlike(kind.needs), _cut(t, kind, join)).otherwise(t))
+        text = _mask(text, kind)
     return text
 
 
