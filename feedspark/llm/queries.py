@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import decontam, ngram_join, packing, pii, quality
+from feedspark.llm import chat, decontam, linkgraph, ngram_join, packing, pii, quality
 from feedspark.llm.common import table, tokenizer_path
-from feedspark.llm.sql import jaccard_sql, quality_sql
+from feedspark.llm.sql import chat_sql, jaccard_sql, quality_sql
 from feedspark.plans.registry import Registry
 
 R = Registry()
@@ -53,3 +53,20 @@ def op1_pii(spark, sf_dir):
 @R.query("op6_packing")
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@R.query("op7_chat", chat_sql())
+def op7_chat(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    added = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :t), (-1L, 1L, 'assistant', :t) AS x(conv_id, turn, role, text)",
+        {"t": own},
+    )
+    return chat.digests(chat.examples(given.unionByName(added)))
+
+
+@R.query("op8_urltrust")
+def op8_urltrust(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return linkgraph.filtered(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")

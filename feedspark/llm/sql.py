@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedspark.llm import quality
+from feedspark.llm import chat, quality
 
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
@@ -73,3 +73,24 @@ jc AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(coalesce(component_id
 
 def jaccard_sql() -> str:
     return f"WITH RECURSIVE {jaccard_ctes()}\nSELECT * FROM jc"
+
+
+def chat_sql() -> str:
+    """Sizes follow from the template: every example holds all turns up to its own."""
+    q = lambda t: "'" + t + "'"
+    body = "replace(text, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        body = f"replace({body}, {q(control)}, {q(control[0] + chr(92) + control[1:])})"
+    frame = len(chat.OPEN + chat.MIDDLE + chat.CLOSE)
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+s AS (SELECT *, length(role) + length({body}) + {frame} AS size,
+        sum(length(role) + length({body}) + {frame}) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS upto,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  coalesce(sum(upto) FILTER (role = 'assistant' OR back = 1), 0)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
+FROM s GROUP BY conv_id"""
