@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.functions.binding import let  # noqa: F401
 from feedspark.session import shared_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,11 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, whatever the optimizer inlines."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def text_of(name: str) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -68,3 +65,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of one of the library's classes; tasks need not have the library installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

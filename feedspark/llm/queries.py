@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import chat, decontam, linkgraph, ngram_join, packing, pii, quality
+from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, ngram_join, packing, pii, quality
 from feedspark.llm.common import table, tokenizer_path
 from feedspark.llm.sql import chat_sql, jaccard_sql, quality_sql
 from feedspark.plans.registry import Registry
@@ -70,3 +70,14 @@ def op7_chat(spark, sf_dir):
 def op8_urltrust(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return linkgraph.filtered(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@R.query("op2_brown_lm")
+def op2_brown_lm(spark, sf_dir):
+    return brown_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@R.query("op5_langmix")
+def op5_langmix(spark, sf_dir):
+    answers = langmix.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return answers.select("doc_id", "held_out", "lang_pred", "score", "languages")
