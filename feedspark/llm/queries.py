@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, ngram_join, packing, pii, quality
+from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, ngram_join, packing, pii, quality, toxicity
 from feedspark.llm.common import table, tokenizer_path
 from feedspark.llm.sql import chat_sql, jaccard_sql, quality_sql
 from feedspark.plans.registry import Registry
@@ -81,3 +81,9 @@ def op2_brown_lm(spark, sf_dir):
 def op5_langmix(spark, sf_dir):
     answers = langmix.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return answers.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@R.query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
