@@ -96,33 +96,40 @@ class Meter:
             return zstandard.ZstdCompressor(compression_params=params, dict_data=book)
 
         self.compressors = compressor(self.toxic), compressor(self.ordinary)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, tuple] = {}
+        self.windows: dict[str, float] = {}
 
     def saved(self, window: str) -> float:
-        plain = _spread(window)
-        toxic, ordinary = (len(c.compress(plain)) for c in self.compressors)
-        return (ordinary - toxic) / ordinary
+        got = self.windows.get(window)
+        if got is None:
+            if len(self.windows) > REMEMBERED:
+                self.windows.clear()
+            plain = _spread(window)
+            toxic, ordinary = (len(c.compress(plain)) for c in self.compressors)
+            got = self.windows[window] = (ordinary - toxic) / ordinary
+        return got
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Windows, windows above each edge, and the largest difference."""
+    def of_word(self, word: str) -> tuple:
+        """Windows, the largest difference, and windows above each edge, None if none is."""
         got = self.known.get(word)
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            values = np.array([self.saved(w) for w in windows(word)])
-            over = [(values > edge).sum() for edge in EDGES]
-            got = self.known[word] = np.array([len(values), *over, values.max()], np.float32)
+            values = [self.saved(w) for w in windows(word)]
+            most = max(values)
+            over = np.array([sum(v > e for v in values) for e in EDGES], float) if most > EDGES[0] else None
+            got = self.known[word] = (len(values), most, over)
         return got
 
     def features(self, text: str | None) -> np.ndarray:
-        counted = Counter(words(text))
-        if not counted:
-            return np.zeros(2 * len(EDGES) + 2)
-        rows = np.stack([self.of_word(w) for w in counted])
-        times = np.fromiter(counted.values(), np.float64, len(counted))
-        sums = times @ rows[:, :-1]
-        over = sums[1:]
-        return np.concatenate([over / sums[0] * 20, np.log1p(over), [np.log1p(sums[0]), max(0.0, rows[:, -1].max())]])
+        total, most, over = 0, 0.0, np.zeros(len(EDGES))
+        for word, times in Counter(words(text)).items():
+            n, largest, above = self.of_word(word)
+            total += n * times
+            if above is not None:
+                over += above * times
+                most = max(most, largest)
+        return np.concatenate([over / max(1, total) * 20, np.log1p(over), [np.log1p(total), most]])
 
 
 @dataclass
