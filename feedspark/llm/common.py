@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +72,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def shipped(spark: SparkSession, value) -> Broadcast:
     """Broadcast a value of one of the library's classes; tasks need not have the library installed."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    """A numeric column of a collected table of bounded size."""
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import UPPER_TO_LOWER, remainder, shipped
+from feedspark.llm.common import UPPER_TO_LOWER, column, remainder, shipped
 
 GRAMS = 1 << 16
 SMOOTHING = 0.5
@@ -78,11 +78,13 @@ def trained(labelled: DataFrame) -> Model:
 
     read = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string"))
     counted = read.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()
-    languages = tuple(sorted(table["lang"].unique()))
+    table = counted.toArrow()
+    names = table.column("lang").to_pylist()
+    languages = tuple(sorted(set(names)))
     numbers = np.zeros((GRAMS, len(languages)))
     at = {lang: k for k, lang in enumerate(languages)}
-    numbers[table["gram"].to_numpy(dtype=np.int64), table["lang"].map(at).to_numpy(dtype=np.int64)] = table["n"]
+    if names:
+        numbers[column(table, "gram"), [at[x] for x in names]] = column(table, "n")
     smooth = numbers + SMOOTHING
     return Model(languages, smooth / smooth.sum(axis=0))
 

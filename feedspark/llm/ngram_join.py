@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import UPPER_TO_LOWER, dropped, row_key, stored, text_of
+from feedspark.llm.common import UPPER_TO_LOWER, column, dropped, row_key, stored, text_of
 from feedspark.llm.components import components
 from feedspark.session import materialize
 
@@ -39,33 +39,38 @@ FREQUENT_MOST = 500_000
 CHUNK = 4_000_000
 WORDS_CACHED = 1_000_000
 FILTER_BITS = 1 << 23
-GRAM_BITS = 1 << 26
+GRAM_BITS = 1 << 24
 
 
 class _WordHashes(dict):
     def __missing__(self, word):
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_digest(word)
         return value
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+# Odd factors, one for each place in an n-gram, from powers of a fixed odd number.
+def _factors(n: int) -> np.ndarray:
+    return np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(n)], np.uint64)
 
 
-def _grams(text: str | None, n: int, cache: _WordHashes) -> np.ndarray:
+def _grams(text: bytes | None, n: int, cache: _WordHashes) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text."""
-    words = text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split() if text else []
+    words = text.translate(UPPER_TO_LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     if len(cache) > WORDS_CACHED:
         cache.clear()
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint64)
     width = min(n, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        total = _mixed(total * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - width + 1 + k])
-    return np.unique(total)
+    factors = _factors(width)
+    total = h[: len(h) - width + 1] * factors[0]
+    for k in range(1, width):
+        total += h[k : len(h) - width + 1 + k] * factors[k]
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _signature(grams: np.ndarray) -> int:
@@ -112,7 +117,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
         .orderBy(F.desc("texts"), "gram")
         .limit(FREQUENT_MOST)
     )
-    return np.sort(top.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    return np.sort(column(top.toArrow(), "gram").view(np.uint64))
 
 
 def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -153,7 +158,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Da
             )
 
     schema = "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint, prefix array<bigint>"
-    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text"))
+    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(cut, schema)
 
 
@@ -164,10 +169,10 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
         keys.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("ones"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["ones"].to_numpy(dtype=np.int64)
+    out[column(rows, "word")] = column(rows, "ones")
     return out
 
 
@@ -313,28 +318,22 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The stored sets of all rows, and ``node, root`` of the signatures that are linked."""
-    docs = docs.select("doc_id", text_of("text").alias("text"))
+    docs = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
     frequent = _frequent(docs, n)
     sets = stored(_prefixes(docs, n, percent, frequent))
     prefixes = stored(_shared(sets))
 
-    hub_pairs = stored(_hub_pairs(prefixes, percent))
-    first_segments = stored(_segments(docs, n, frequent, _bitmap(_ends(hub_pairs), FILTER_BITS)))
-    first = materialize(_linked(hub_pairs, first_segments, percent))
-    dropped(first_segments)
+    # Every set that shares a prefix n-gram may become part of a pair; all are cut in one pass.
+    segments = stored(_segments(docs, n, frequent, _bitmap(prefixes.select("sig").distinct(), FILTER_BITS)))
+
+    first = materialize(_linked(_hub_pairs(prefixes, percent), segments, percent))
     roots = components(first)
-    open_pairs = stored(_open_pairs(prefixes, roots, percent))
-    more_segments = stored(_segments(docs, n, frequent, _bitmap(_ends(open_pairs), FILTER_BITS)))
-    second = materialize(_linked(open_pairs, more_segments, percent))
-    for used in (prefixes, hub_pairs, open_pairs, more_segments):
-        dropped(used)
+    second = materialize(_linked(_open_pairs(prefixes, roots, percent), segments, percent))
+    dropped(prefixes)
+    dropped(segments)
     return sets.drop("prefix"), components(first.unionByName(second))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-
-
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
     sets, roots = _grouped(docs, n, percent)
