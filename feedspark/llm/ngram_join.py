@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm.common import UPPER_TO_LOWER, column, dropped, row_key, stored, text_of
@@ -77,7 +77,40 @@ def _signature(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))))
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """Per row: key, id, set size, the set's signature and the sorted n-grams. Texts are read here only."""
+
+    def cut(batches):
+        cache = _WordHashes()
+        for batch in batches:
+            held = [_grams(text, n, cache) for text in batch.column(2).to_pylist()]
+            sizes = [len(g) for g in held]
+            marks = [_signature(g) if len(g) else None for g in held]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), _lists(held)],
+                ["row_key", "doc_id", "n_shingles", "sig", "grams"],
+            )
+
+    rows = docs.select(
+        row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").cast("binary")
+    )
+    schema = "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint, grams array<bigint>"
+    return rows.mapInArrow(cut, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _parted(lists: pa.ListArray) -> list[np.ndarray]:
+    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    at = lists.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
     """The n-grams that many texts share, as far as texts of one task share them.
 
     Each task counts its own rows, every different text once, and passes on what two or more
@@ -85,7 +118,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches):
-        cache, seen, held, size = _WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -95,9 +128,8 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
             )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = _grams(text, n, cache)
-                if not len(grams) or (mark := _signature(grams)) in seen:
+            for mark, grams in zip(batch.column(0).to_pylist(), _parted(batch.column(1)), strict=True):
+                if mark in seen or not len(grams):
                     continue
                 seen.add(mark)
                 held.append(grams)
@@ -109,7 +141,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "gram bigint, texts bigint")
+    counted = sets.select("sig", "grams").mapInArrow(count, "gram bigint, texts bigint")
     top = (
         counted.groupBy("gram")
         .agg(F.sum("texts").alias("texts"))
@@ -117,7 +149,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
         .orderBy(F.desc("texts"), "gram")
         .limit(FREQUENT_MOST)
     )
-    return np.sort(column(top.toArrow(), "gram").view(np.uint64))
+    return np.sort(column(top.select("gram").toArrow(), "gram").view(np.uint64))
 
 
 def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -127,39 +159,31 @@ def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per row: id, set size, the set's signature, and its first n-grams in the global order."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``gram, sig, n``: the first n-grams of every set in the global order, those with a bit if a bitmap is given."""
+    context = sets.sparkSession.sparkContext
+    sent, bits = context.broadcast(frequent), context.broadcast(bitmap)
 
     def cut(batches):
-        cache = _WordHashes()
         for batch in batches:
-            sizes, marks, firsts = [], [], []
-            for text in batch.column(2).to_pylist():
-                grams = _grams(text, n, cache)
-                size = len(grams)
+            firsts, counts = [], []
+            for grams in _parted(batch.column(2)):
                 last = _is_in(grams, sent.value)
-                ordered = np.concatenate([grams[~last], grams[last]])
-                keep = size - -(-percent * size // 100) + 1 if size else 0
-                sizes.append(size)
-                marks.append(_signature(grams) if size else None)
-                firsts.append(ordered[:keep].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
-            flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
+                keep = len(grams) - -(-percent * len(grams) // 100) + 1
+                first = np.concatenate([grams[~last], grams[last]])[:keep]
+                if bits.value is not None:
+                    first = first[_has_bit(bits.value, first.view(np.int64))]
+                firsts.append(first)
+                counts.append(len(first))
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(marks, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                ["row_key", "doc_id", "n_shingles", "sig", "prefix"],
+                [pa.array(flat.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner).cast(pa.int32())],
+                ["gram", "sig", "n"],
             )
 
-    schema = "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint, prefix array<bigint>"
-    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, schema)
+    full = sets.filter("n_shingles > 0").select("sig", "n_shingles", "grams")
+    return full.mapInArrow(cut, "gram bigint, sig bigint, n int")
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -181,78 +205,48 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at // 64] >> (at % 64)) & 1 == 1
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """``gram, sig, n, pos`` of the prefix n-grams that two or more sets have in their prefixes.
+def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """``gram, sig, n`` of the prefix n-grams that two or more sets have in their prefixes.
 
     Most n-grams occur once. A bitmap of the others, of fixed size, keeps them out of the
     second shuffle; a full bitmap would only let more rows through to the exact test.
     """
-    grams = sets.filter("n_shingles > 0").select(F.explode("prefix").alias("gram"))
-    sent = sets.sparkSession.sparkContext.broadcast(
-        _bitmap(grams.groupBy("gram").count().filter("count > 1").select("gram"), GRAM_BITS)
-    )
-
-    def keep(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            lengths = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            hit = np.nonzero(_has_bit(sent.value, flat))[0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat[hit]),
-                    batch.column(0).take(pa.array(owner[hit])),
-                    batch.column(1).take(pa.array(owner[hit])).cast(pa.int32()),
-                    pa.array(pos[hit].astype(np.int32)),
-                ],
-                ["gram", "sig", "n", "pos"],
-            )
-
-    rows = (
-        sets.filter("n_shingles > 0")
-        .select("sig", "n_shingles", "prefix")
-        .mapInArrow(keep, "gram bigint, sig bigint, n int, pos int")
-        .distinct()
-    )
-    rows = stored(rows)
+    grams = _prefix_grams(sets, percent, frequent).select("gram")
+    bitmap = _bitmap(grams.groupBy("gram").count().filter("count > 1").select("gram"), GRAM_BITS)
+    rows = stored(_prefix_grams(sets, percent, frequent, bitmap).distinct())
     several = rows.groupBy("gram").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y")
     return rows.join(several.select("gram"), "gram")
 
 
-def _segments(docs: DataFrame, n: int, frequent: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """The wanted sets, cut by fragments of the global order: rare n-grams by hash range, then frequent ones."""
-    context = docs.sparkSession.sparkContext
-    sent, bits = context.broadcast(frequent), context.broadcast(wanted)
+def _segments(sets: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The sets of some pairs, cut by fragments of the global order: rare n-grams by hash range, then frequent ones.
+
+    The bitmap of the pairs' ends has a fixed size; what it lets through beyond them is not joined.
+    """
+    context = sets.sparkSession.sparkContext
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+    sent, bits = context.broadcast(frequent), context.broadcast(_bitmap(ends, FILTER_BITS))
 
     def cut(batches):
-        cache = _WordHashes()
         for batch in batches:
-            marks, numbers, parts = [], [], []
-            for text in batch.column(0).to_pylist():
-                grams = _grams(text, n, cache)
-                if not len(grams):
-                    continue
-                mark = _signature(grams)
-                if not _has_bit(bits.value, np.array([mark]))[0]:
+            marks = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = _has_bit(bits.value, marks)
+            out, numbers, parts = [], [], []
+            for mark, wanted, grams in zip(marks.tolist(), hit.tolist(), _parted(batch.column(1)), strict=True):
+                if not wanted:
                     continue
                 zone = (grams >> np.uint64(56)).astype(np.int64) * (FRAGMENTS - 1) // 256
                 zone[_is_in(grams, sent.value)] = FRAGMENTS - 1
                 for k in np.unique(zone).tolist():
-                    marks.append(mark)
+                    out.append(mark)
                     numbers.append(k)
-                    parts.append(grams[zone == k].view(np.int64))
+                    parts.append(grams[zone == k])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(marks, pa.int64()),
-                    pa.array(numbers, pa.int32()),
-                    pa.array(parts, pa.list_(pa.int64())),
-                ],
-                ["sig", "fragment", "grams"],
+                [pa.array(out, pa.int64()), pa.array(numbers, pa.int32()), _lists(parts)], ["sig", "fragment", "grams"]
             )
 
-    rows = docs.select("text").mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
+    full = sets.filter("n_shingles > 0").select("sig", "grams")
+    rows = full.mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
     return rows.groupBy("sig", "fragment").agg(F.first("grams").alias("grams"))
 
 
@@ -269,27 +263,37 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
+def _least_shared(percent: int) -> Column:
+    """How many n-grams two sets above the threshold have in common within both prefixes, at least."""
+    whole = lambda n: F.ceil(F.col(n) * percent / 100)
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    return F.greatest(F.lit(1), overlap + 1 - F.greatest(whole("na"), whole("nb")))
+
+
 def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Each set with the hub that most of its prefix names: the smallest set that holds an n-gram."""
-    hubs = prefixes.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"), F.max("sig").alias("other"))
-    hubs = hubs.filter("hub.sig <> other").drop("other")
+    """Each set with the hub that most of its prefix names: the smallest set that holds an n-gram.
+
+    Hubs are a shortcut; pairs that they miss are found among the open pairs.
+    """
+    hubs = prefixes.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"))
     named = (
         prefixes.join(hubs, "gram")
         .filter(f"sig <> hub.sig AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-        .groupBy("sig", "n", "hub")
+        .groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
         .count()
+        .filter(F.col("count") * 2 >= _least_shared(percent))
     )
-    best = named.groupBy("sig", "n").agg(F.max_by("hub", F.struct("count", "hub.sig")).alias("hub"))
-    return best.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+    best = named.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("count", "b")).alias("hub"))
+    return best.select("a", "hub.b", "na", "hub.nb")
 
 
 def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a prefix n-gram and can still reach the threshold.
+    """All pairs of different components that share enough of their prefixes to reach the threshold.
 
     Of each n-gram's texts, those outside its largest component are compared with all.
     """
     placed = prefixes.join(roots, prefixes.sig == roots.node, "left").select(
-        "gram", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")
+        "gram", "sig", "n", F.coalesce("root", "sig").alias("root")
     )
     sizes = placed.groupBy("gram", "root").count()
     mains = sizes.groupBy("gram").agg(
@@ -297,41 +301,38 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     )
     live = placed.join(mains.filter("parts > 1").drop("parts"), "gram")
     x = live.filter("root <> main").select(
-        "gram", "main", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra")
+        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")
     )
-    y = live.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = x.join(y, "gram").filter(
-        (F.col("ra") != F.col("rb"))
-        & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    y = live.select("gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    met = x.join(y, "gram").filter(
+        (F.col("rx") != F.col("ry"))
+        & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y")))
+        & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
     )
-    ends = lambda big: (F.greatest if big else F.least)("a", "b")
-    return pairs.select(
-        ends(False).alias("a"),
-        ends(True).alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-    ).distinct()
+    first = F.col("x") < F.col("y")
+    pairs = met.groupBy(
+        F.least("x", "y").alias("a"),
+        F.greatest("x", "y").alias("b"),
+        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+        F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
+    ).count()
+    return pairs.filter(F.col("count") >= _least_shared(percent)).drop("count")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The stored sets of all rows, and ``node, root`` of the signatures that are linked."""
-    docs = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
-    frequent = _frequent(docs, n)
-    sets = stored(_prefixes(docs, n, percent, frequent))
-    prefixes = stored(_shared(sets))
-
-    # Every set that shares a prefix n-gram may become part of a pair; all are cut in one pass.
-    segments = stored(_segments(docs, n, frequent, _bitmap(prefixes.select("sig").distinct(), FILTER_BITS)))
-
-    first = materialize(_linked(_hub_pairs(prefixes, percent), segments, percent))
-    roots = components(first)
-    second = materialize(_linked(_open_pairs(prefixes, roots, percent), segments, percent))
+    sets = stored(_sets(docs, n))
+    frequent = _frequent(sets)
+    prefixes = stored(_shared(sets, percent, frequent))
+    hubs = materialize(_hub_pairs(prefixes, percent))
+    first = materialize(_linked(hubs, _segments(sets, hubs, frequent), percent))
+    roots = materialize(components(first))
+    others = materialize(_open_pairs(prefixes, roots, percent))
+    second = materialize(_linked(others, _segments(sets, others, frequent), percent))
     dropped(prefixes)
-    dropped(segments)
-    return sets.drop("prefix"), components(first.unionByName(second))
+    small = materialize(sets.drop("grams"))
+    dropped(sets)
+    return small, components(first.unionByName(second))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
