@@ -36,8 +36,9 @@ FREQUENT_AT = 8
 """An n-gram found in so many texts comes last in the global order."""
 FREQUENT_MOST = 500_000
 """Only the most frequent ones are sent to the tasks; the order of the rest changes no result."""
-CHUNK = 4_000_000
-WORDS_CACHED = 1_000_000
+CHUNK = 1_000_000
+WORDS_CACHED = 200_000
+ROWS_AT_ONCE = 1_000
 FILTER_BITS = 1 << 23
 GRAM_BITS = 1 << 24
 
@@ -82,7 +83,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def cut(batches):
         cache = _WordHashes()
-        for batch in batches:
+        for batch in _sliced(batches):
             held = [_grams(text, n, cache) for text in batch.column(2).to_pylist()]
             sizes = [len(g) for g in held]
             marks = [_signature(g) if len(g) else None for g in held]
@@ -98,6 +99,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
+def _sliced(batches):
+    """Smaller batches, so that a task's arrays stay small beside the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -105,6 +113,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _parted(lists: pa.ListArray) -> list[np.ndarray]:
+    # Offsets of a slice count from the start of all values.
     flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
     at = lists.offsets.to_numpy()
     return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
@@ -165,7 +174,7 @@ def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: n
     sent, bits = context.broadcast(frequent), context.broadcast(bitmap)
 
     def cut(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             firsts, counts = [], []
             for grams in _parted(batch.column(2)):
                 last = _is_in(grams, sent.value)
@@ -206,7 +215,9 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``gram, sig, n`` of the prefix n-grams that two or more sets have in their prefixes.
+    """``gram, sig, n, hub`` of the prefix n-grams that two or more sets have in their prefixes.
+
+    The hub of an n-gram is the smallest of its sets.
 
     Most n-grams occur once. A bitmap of the others, of fixed size, keeps them out of the
     second shuffle; a full bitmap would only let more rows through to the exact test.
@@ -214,8 +225,10 @@ def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     grams = _prefix_grams(sets, percent, frequent).select("gram")
     bitmap = _bitmap(grams.groupBy("gram").count().filter("count > 1").select("gram"), GRAM_BITS)
     rows = stored(_prefix_grams(sets, percent, frequent, bitmap).distinct())
-    several = rows.groupBy("gram").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y")
-    return rows.join(several.select("gram"), "gram")
+    hubs = rows.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"), F.max("sig").alias("most"))
+    out = stored(rows.join(hubs.filter("hub.sig <> most").select("gram", "hub"), "gram"))
+    dropped(rows)
+    return out
 
 
 def _segments(sets: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -275,10 +288,8 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
     Hubs are a shortcut; pairs that they miss are found among the open pairs.
     """
-    hubs = prefixes.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"))
     named = (
-        prefixes.join(hubs, "gram")
-        .filter(f"sig <> hub.sig AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        prefixes.filter(f"sig <> hub.sig AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
         .groupBy(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
         .count()
         .filter(F.col("count") * 2 >= _least_shared(percent))
@@ -323,7 +334,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     """The stored sets of all rows, and ``node, root`` of the signatures that are linked."""
     sets = stored(_sets(docs, n))
     frequent = _frequent(sets)
-    prefixes = stored(_shared(sets, percent, frequent))
+    prefixes = _shared(sets, percent, frequent)
     hubs = materialize(_hub_pairs(prefixes, percent))
     first = materialize(_linked(hubs, _segments(sets, hubs, frequent), percent))
     roots = materialize(components(first))
