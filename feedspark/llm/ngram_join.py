@@ -169,30 +169,41 @@ def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``gram, sig, n``: the first n-grams of every set in the global order, those with a bit if a bitmap is given."""
+    """``gram, sig, n, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
+
+    ``rank`` tells how many of a thousand have a bit: an original shares more with its altered
+    copies than they share with each other.
+    """
     context = sets.sparkSession.sparkContext
     sent, bits = context.broadcast(frequent), context.broadcast(bitmap)
 
     def cut(batches):
         for batch in _sliced(batches):
-            firsts, counts = [], []
+            firsts, counts, ranks = [], [], []
             for grams in _parted(batch.column(2)):
                 last = _is_in(grams, sent.value)
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
                 first = np.concatenate([grams[~last], grams[last]])[:keep]
+                whole = len(first)
                 if bits.value is not None:
                     first = first[_has_bit(bits.value, first.view(np.int64))]
                 firsts.append(first)
                 counts.append(len(first))
+                ranks.append(1000 * len(first) // whole)
             owner = pa.array(np.repeat(np.arange(len(counts)), counts))
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner).cast(pa.int32())],
-                ["gram", "sig", "n"],
+                [
+                    pa.array(flat.view(np.int64)),
+                    batch.column(0).take(owner),
+                    batch.column(1).take(owner).cast(pa.int32()),
+                    pa.array(np.repeat(np.array(ranks, np.int32), counts)),
+                ],
+                ["gram", "sig", "n", "rank"],
             )
 
     full = sets.filter("n_shingles > 0").select("sig", "n_shingles", "grams")
-    return full.mapInArrow(cut, "gram bigint, sig bigint, n int")
+    return full.mapInArrow(cut, "gram bigint, sig bigint, n int, rank int")
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -217,7 +228,7 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     """``gram, sig, n, hub`` of the prefix n-grams that two or more sets have in their prefixes.
 
-    The hub of an n-gram is the smallest of its sets.
+    The hub of an n-gram is the one of its sets whose prefix is shared most.
 
     Most n-grams occur once. A bitmap of the others, of fixed size, keeps them out of the
     second shuffle; a full bitmap would only let more rows through to the exact test.
@@ -225,8 +236,11 @@ def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     grams = _prefix_grams(sets, percent, frequent).select("gram")
     bitmap = _bitmap(grams.groupBy("gram").count().filter("count > 1").select("gram"), GRAM_BITS)
     rows = stored(_prefix_grams(sets, percent, frequent, bitmap).distinct())
-    hubs = rows.groupBy("gram").agg(F.min(F.struct("sig", "n")).alias("hub"), F.max("sig").alias("most"))
-    out = stored(rows.join(hubs.filter("hub.sig <> most").select("gram", "hub"), "gram"))
+    hubs = rows.groupBy("gram").agg(
+        F.max(F.struct("rank", "sig", "n")).alias("hub"), F.min("sig").alias("least"), F.max("sig").alias("most")
+    )
+    several = hubs.filter("least <> most").select("gram", F.struct("hub.sig", "hub.n").alias("hub"))
+    out = stored(rows.drop("rank").join(several, "gram"))
     dropped(rows)
     return out
 
@@ -284,7 +298,7 @@ def _least_shared(percent: int) -> Column:
 
 
 def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Each set with the hub that most of its prefix names: the smallest set that holds an n-gram.
+    """Each set with the hub that most of its prefix names: the set of each n-gram that shares most.
 
     Hubs are a shortcut; pairs that they miss are found among the open pairs.
     """
