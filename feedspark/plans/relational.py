@@ -171,7 +171,7 @@ def _(spark, d):
     return brief(overview.ranked_list(df, refine.sort_keys("date", "asc")), "rank")
 
 
-@R.query("sort_title")
+@R.query("sort_title", E1 + _rank_sql("icu_sort_key(title, 'und'), part_ord, entry_ord"))
 def _(spark, d):
     df = v.entries(spark, d)
     return brief(overview.ranked_list(df, refine.sort_keys("title")), "rank")

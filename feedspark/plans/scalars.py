@@ -76,7 +76,7 @@ def _(spark, d):
     rows = pages.select(
         "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'))).alias("n", "href")
     ).withColumn("n", F.col("n").cast("long") + 1)
-    word = F.substring("href", 2, 1000)
+    word = F.substring(F.col("href"), F.lit(2), F.length("href"))
     given = (
         F.when(F.col("n") % 5 == 0, F.col("href"))
         .when(F.col("n") % 5 == 1, word)
