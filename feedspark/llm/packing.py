@@ -29,7 +29,8 @@ MOST_DOCUMENTS = 1024
 ATTENTION = CAPACITY * CAPACITY
 BLOCK_TOKENS = 8_000_000
 BLOCK_PIECES = 60_000
-CACHE = 300_000
+CACHE = 700_000
+WORDS_AT_ONCE = 4_000
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -57,10 +58,22 @@ class Tokenizer:
         if len(known) > CACHE:
             known.clear()
             new = list(set(words))
-        for word, code in zip(new, self.file.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(code.ids, "<u4").tobytes()
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            self.learn(new[at : at + WORDS_AT_ONCE])
         return b"".join([known[w] for w in words])
 
+    def learn(self, words: list[str]) -> None:
+        """Encode many words in one call; each takes the tokens that start within it."""
+        code = self.file.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.fromiter((start for start, _ in code.offsets), np.int64, len(code.ids))
+        cuts = np.searchsorted(starts, ends) * 4
+        ids = np.asarray(code.ids, "<u4").tobytes()
+        before = 0
+        for word, cut in zip(words, cuts.tolist(), strict=True):
+            self.known[word] = ids[before:cut]
+            before = cut
+
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Tokenize and cut: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
