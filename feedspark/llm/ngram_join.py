@@ -39,8 +39,9 @@ FREQUENT_MOST = 500_000
 CHUNK = 1_000_000
 WORDS_CACHED = 200_000
 ROWS_AT_ONCE = 1_000
-FILTER_BITS = 1 << 23
-GRAM_BITS = 1 << 24
+FILTER_BITS = 1 << 26
+GRAM_BITS = 1 << 27
+"""Sizes of the two bitmaps: 8 and 16 MB in every task, whatever the input."""
 
 
 class _WordHashes(dict):
@@ -119,8 +120,10 @@ def _parted(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The n-grams that many texts share, as far as texts of one task share them.
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that many texts share, sorted, and the place of each by its count, least first.
+
+    Only texts of one task are seen to share an n-gram.
 
     Each task counts its own rows, every different text once, and passes on what two or more
     of them share. The counts steer the order only, never the result.
@@ -158,18 +161,24 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         .orderBy(F.desc("texts"), "gram")
         .limit(FREQUENT_MOST)
     )
-    return np.sort(column(top.select("gram").toArrow(), "gram").view(np.uint64))
+    values = column(top.select("gram").toArrow(), "gram").view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(values) - 1 - order).astype(np.int32)
+
 
+def _place(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where n-grams stand in the global order: -1 for all that are not frequent, which follow their hashes."""
+    known, places = frequent
+    if not len(known):
+        return np.full(len(values), -1, np.int32)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, places[at], np.int32(-1))
 
-def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
-    return sorted_set[at] == values
 
+def _prefix_grams(sets: DataFrame, percent: int, frequent, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``gram, sig, n, at, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
 
-def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``gram, sig, n, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
+    ``at`` is the n-gram's place in its set, from 0.
 
     ``rank`` tells how many of a thousand have a bit: an original shares more with its altered
     copies than they share with each other.
@@ -179,15 +188,17 @@ def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: n
 
     def cut(batches):
         for batch in _sliced(batches):
-            firsts, counts, ranks = [], [], []
+            firsts, spots, counts, ranks = [], [], [], []
             for grams in _parted(batch.column(2)):
-                last = _is_in(grams, sent.value)
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
-                first = np.concatenate([grams[~last], grams[last]])[:keep]
+                first = grams[np.argsort(_place(grams, sent.value), kind="stable")[:keep]]
                 whole = len(first)
+                spot = np.arange(whole, dtype=np.int32)
                 if bits.value is not None:
-                    first = first[_has_bit(bits.value, first.view(np.int64))]
+                    hit = _has_bit(bits.value, first.view(np.int64))
+                    first, spot = first[hit], spot[hit]
                 firsts.append(first)
+                spots.append(spot)
                 counts.append(len(first))
                 ranks.append(1000 * len(first) // whole)
             owner = pa.array(np.repeat(np.arange(len(counts)), counts))
@@ -197,13 +208,14 @@ def _prefix_grams(sets: DataFrame, percent: int, frequent: np.ndarray, bitmap: n
                     pa.array(flat.view(np.int64)),
                     batch.column(0).take(owner),
                     batch.column(1).take(owner).cast(pa.int32()),
+                    pa.array(np.concatenate(spots) if spots else np.empty(0, np.int32)),
                     pa.array(np.repeat(np.array(ranks, np.int32), counts)),
                 ],
-                ["gram", "sig", "n", "rank"],
+                ["gram", "sig", "n", "at", "rank"],
             )
 
     full = sets.filter("n_shingles > 0").select("sig", "n_shingles", "grams")
-    return full.mapInArrow(cut, "gram bigint, sig bigint, n int, rank int")
+    return full.mapInArrow(cut, "gram bigint, sig bigint, n int, at int, rank int")
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -225,8 +237,8 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at // 64] >> (at % 64)) & 1 == 1
 
 
-def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``gram, sig, n, hub`` of the prefix n-grams that two or more sets have in their prefixes.
+def _shared(sets: DataFrame, percent: int, frequent) -> DataFrame:
+    """``gram, sig, n, at, hub`` of the prefix n-grams that two or more sets have in their prefixes.
 
     The hub of an n-gram is the one of its sets whose prefix is shared most.
 
@@ -245,7 +257,7 @@ def _shared(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     return out
 
 
-def _segments(sets: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _segments(sets: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
     """The sets of some pairs, cut by fragments of the global order: rare n-grams by hash range, then frequent ones.
 
     The bitmap of the pairs' ends has a fixed size; what it lets through beyond them is not joined.
@@ -263,7 +275,7 @@ def _segments(sets: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFr
                 if not wanted:
                     continue
                 zone = (grams >> np.uint64(56)).astype(np.int64) * (FRAGMENTS - 1) // 256
-                zone[_is_in(grams, sent.value)] = FRAGMENTS - 1
+                zone[_place(grams, sent.value) >= 0] = FRAGMENTS - 1
                 for k in np.unique(zone).tolist():
                     out.append(mark)
                     numbers.append(k)
@@ -281,8 +293,10 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs above the threshold: overlaps counted by fragment, summed by pair."""
     left = segments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("gb"))
+    # One exchange of the segments serves their sum and both joins: all three go by set and fragment.
+    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     partial = (
-        pairs.join(left, "a")
+        cut.join(left, ["a", "fragment"])
         .join(right, ["b", "fragment"])
         .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
     )
@@ -290,11 +304,25 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
-def _least_shared(percent: int) -> Column:
+def _overlap(na: str, nb: str, percent: int) -> Column:
+    """The least overlap of two sets above the threshold; whole numbers only, so nothing is rounded."""
+    over = 100 + percent
+    return F.expr(f"(({na} + {nb}) * {percent}L + {over - 1}L) div {over}L")
+
+
+def _least_shared(percent: int, na: str = "na", nb: str = "nb") -> Column:
     """How many n-grams two sets above the threshold have in common within both prefixes, at least."""
-    whole = lambda n: F.ceil(F.col(n) * percent / 100)
-    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    return F.greatest(F.lit(1), overlap + 1 - F.greatest(whole("na"), whole("nb")))
+    larger = F.expr(f"(greatest({na}, {nb}) * {percent}L + 99L) div 100L")
+    return F.greatest(F.lit(1), _overlap(na, nb, percent) + 1 - larger)
+
+
+def _needed(percent: int, na: str = "na", nb: str = "nb") -> Column:
+    """The number ``k`` of common n-grams that a pair must show: half of the least, and one at least.
+
+    Two sets with overlap ``o`` have ``k`` of it among the first ``n - o + k`` of each, so
+    nothing beyond these places needs to be met.
+    """
+    return F.greatest(F.lit(1), F.floor(_least_shared(percent, na, nb) / 2))
 
 
 def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -318,7 +346,7 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     Of each n-gram's texts, those outside its largest component are compared with all.
     """
     placed = prefixes.join(roots, prefixes.sig == roots.node, "left").select(
-        "gram", "sig", "n", F.coalesce("root", "sig").alias("root")
+        "gram", "sig", "n", "at", F.coalesce("root", "sig").alias("root")
     )
     sizes = placed.groupBy("gram", "root").count()
     mains = sizes.groupBy("gram").agg(
@@ -326,13 +354,21 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     )
     live = placed.join(mains.filter("parts > 1").drop("parts"), "gram")
     x = live.filter("root <> main").select(
-        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")
+        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx")
+    )
+    y = live.select(
+        "gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry")
     )
-    y = live.select("gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    overlap, needed = _overlap("nx", "ny", percent), _needed(percent, "nx", "ny")
+    # What stands before and behind the common n-gram bounds the overlap of both sets.
+    most = F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
     met = x.join(y, "gram").filter(
         (F.col("rx") != F.col("ry"))
         & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y")))
         & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+        & (F.col("ax") < F.col("nx") - overlap + needed)
+        & (F.col("ay") < F.col("ny") - overlap + needed)
+        & (most >= overlap)
     )
     first = F.col("x") < F.col("y")
     pairs = met.groupBy(
@@ -341,7 +377,7 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
         F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
         F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
     ).count()
-    return pairs.filter(F.col("count") >= _least_shared(percent)).drop("count")
+    return pairs.filter(F.col("count") >= _needed(percent)).drop("count")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
