@@ -79,25 +79,33 @@ def _signature(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_of("text").cast("binary").alias("text"))
+
+
+def _cut(batches, n: int, at: int = 0):
+    """For some rows at a time: the batch, and the n-grams of each text (column ``at``)."""
+    cache = _WordHashes()
+    for batch in _sliced(batches):
+        yield batch, [_grams(text, n, cache) for text in batch.column(at).to_pylist()]
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, id, set size, the set's signature and the sorted n-grams. Texts are read here only."""
+    """Per row: key, id, set size and the set's signature; null for an empty set."""
 
     def cut(batches):
-        cache = _WordHashes()
-        for batch in _sliced(batches):
-            held = [_grams(text, n, cache) for text in batch.column(2).to_pylist()]
+        for batch, held in _cut(batches, n, 2):
             sizes = [len(g) for g in held]
             marks = [_signature(g) if len(g) else None for g in held]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), _lists(held)],
-                ["row_key", "doc_id", "n_shingles", "sig", "grams"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())],
+                ["row_key", "doc_id", "n_shingles", "sig"],
             )
 
     rows = docs.select(
         row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").cast("binary")
     )
-    schema = "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint, grams array<bigint>"
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint")
 
 
 def _sliced(batches):
@@ -113,14 +121,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _parted(lists: pa.ListArray) -> list[np.ndarray]:
-    # Offsets of a slice count from the start of all values.
-    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    at = lists.offsets.to_numpy()
-    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-
-
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that many texts share, sorted, and the place of each by its count, least first.
 
     Only texts of one task are seen to share an n-gram.
@@ -139,8 +140,9 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 [pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["gram", "texts"]
             )
 
-        for batch in batches:
-            for mark, grams in zip(batch.column(0).to_pylist(), _parted(batch.column(1)), strict=True):
+        for _, sets in _cut(batches, n):
+            for grams in sets:
+                mark = _signature(grams)
                 if mark in seen or not len(grams):
                     continue
                 seen.add(mark)
@@ -153,7 +155,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    counted = sets.select("sig", "grams").mapInArrow(count, "gram bigint, texts bigint")
+    counted = _texts(docs).mapInArrow(count, "gram bigint, texts bigint")
     top = (
         counted.groupBy("gram")
         .agg(F.sum("texts").alias("texts"))
@@ -175,7 +177,7 @@ def _place(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.where(known[at] == values, places[at], np.int32(-1))
 
 
-def _prefix_grams(sets: DataFrame, percent: int, frequent, bitmap: np.ndarray | None = None) -> DataFrame:
+def _prefix_grams(docs: DataFrame, n: int, percent: int, frequent, bitmap: np.ndarray | None = None) -> DataFrame:
     """``gram, sig, n, at, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
 
     ``at`` is the n-gram's place in its set, from 0.
@@ -183,13 +185,14 @@ def _prefix_grams(sets: DataFrame, percent: int, frequent, bitmap: np.ndarray |
     ``rank`` tells how many of a thousand have a bit: an original shares more with its altered
     copies than they share with each other.
     """
-    context = sets.sparkSession.sparkContext
+    context = docs.sparkSession.sparkContext
     sent, bits = context.broadcast(frequent), context.broadcast(bitmap)
 
     def cut(batches):
-        for batch in _sliced(batches):
+        for _, sets in _cut(batches, n):
             firsts, spots, counts, ranks = [], [], [], []
-            for grams in _parted(batch.column(2)):
+            sets = [grams for grams in sets if len(grams)]
+            for grams in sets:
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
                 first = grams[np.argsort(_place(grams, sent.value), kind="stable")[:keep]]
                 whole = len(first)
@@ -201,21 +204,21 @@ def _prefix_grams(sets: DataFrame, percent: int, frequent, bitmap: np.ndarray |
                 spots.append(spot)
                 counts.append(len(first))
                 ranks.append(1000 * len(first) // whole)
-            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            marks = np.array([_signature(grams) for grams in sets], np.int64)
+            sizes = np.array([len(grams) for grams in sets], np.int32)
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(flat.view(np.int64)),
-                    batch.column(0).take(owner),
-                    batch.column(1).take(owner).cast(pa.int32()),
+                    pa.array(np.repeat(marks, counts)),
+                    pa.array(np.repeat(sizes, counts)),
                     pa.array(np.concatenate(spots) if spots else np.empty(0, np.int32)),
                     pa.array(np.repeat(np.array(ranks, np.int32), counts)),
                 ],
                 ["gram", "sig", "n", "at", "rank"],
             )
 
-    full = sets.filter("n_shingles > 0").select("sig", "n_shingles", "grams")
-    return full.mapInArrow(cut, "gram bigint, sig bigint, n int, at int, rank int")
+    return _texts(docs).mapInArrow(cut, "gram bigint, sig bigint, n int, at int, rank int")
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -237,7 +240,7 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at // 64] >> (at % 64)) & 1 == 1
 
 
-def _shared(sets: DataFrame, percent: int, frequent) -> DataFrame:
+def _shared(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     """``gram, sig, n, at, hub`` of the prefix n-grams that two or more sets have in their prefixes.
 
     The hub of an n-gram is the one of its sets whose prefix is shared most.
@@ -245,9 +248,9 @@ def _shared(sets: DataFrame, percent: int, frequent) -> DataFrame:
     Most n-grams occur once. A bitmap of the others, of fixed size, keeps them out of the
     second shuffle; a full bitmap would only let more rows through to the exact test.
     """
-    grams = _prefix_grams(sets, percent, frequent).select("gram")
+    grams = _prefix_grams(docs, n, percent, frequent).select("gram")
     bitmap = _bitmap(grams.groupBy("gram").count().filter("count > 1").select("gram"), GRAM_BITS)
-    rows = stored(_prefix_grams(sets, percent, frequent, bitmap).distinct())
+    rows = stored(_prefix_grams(docs, n, percent, frequent, bitmap).distinct())
     hubs = rows.groupBy("gram").agg(
         F.max(F.struct("rank", "sig", "n")).alias("hub"), F.min("sig").alias("least"), F.max("sig").alias("most")
     )
@@ -257,22 +260,22 @@ def _shared(sets: DataFrame, percent: int, frequent) -> DataFrame:
     return out
 
 
-def _segments(sets: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
+def _segments(docs: DataFrame, n: int, pairs: DataFrame, frequent) -> DataFrame:
     """The sets of some pairs, cut by fragments of the global order: rare n-grams by hash range, then frequent ones.
 
     The bitmap of the pairs' ends has a fixed size; what it lets through beyond them is not joined.
     """
-    context = sets.sparkSession.sparkContext
+    context = docs.sparkSession.sparkContext
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
     sent, bits = context.broadcast(frequent), context.broadcast(_bitmap(ends, FILTER_BITS))
 
     def cut(batches):
-        for batch in batches:
-            marks = batch.column(0).to_numpy(zero_copy_only=False)
+        for _, sets in _cut(batches, n):
+            marks = np.array([_signature(grams) for grams in sets], np.int64)
             hit = _has_bit(bits.value, marks)
             out, numbers, parts = [], [], []
-            for mark, wanted, grams in zip(marks.tolist(), hit.tolist(), _parted(batch.column(1)), strict=True):
-                if not wanted:
+            for mark, wanted, grams in zip(marks.tolist(), hit.tolist(), sets, strict=True):
+                if not wanted or not len(grams):
                     continue
                 zone = (grams >> np.uint64(56)).astype(np.int64) * (FRAGMENTS - 1) // 256
                 zone[_place(grams, sent.value) >= 0] = FRAGMENTS - 1
@@ -284,8 +287,7 @@ def _segments(sets: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
                 [pa.array(out, pa.int64()), pa.array(numbers, pa.int32()), _lists(parts)], ["sig", "fragment", "grams"]
             )
 
-    full = sets.filter("n_shingles > 0").select("sig", "grams")
-    rows = full.mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
+    rows = _texts(docs).mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
     return rows.groupBy("sig", "fragment").agg(F.first("grams").alias("grams"))
 
 
@@ -381,19 +383,21 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The stored sets of all rows, and ``node, root`` of the signatures that are linked."""
-    sets = stored(_sets(docs, n))
-    frequent = _frequent(sets)
-    prefixes = _shared(sets, percent, frequent)
+    """``row_key, doc_id, n_shingles, sig`` of all rows, and ``node, root`` of the signatures that are linked.
+
+    The n-grams of all texts take more room than the texts. They are cut anew for each of
+    the five passes and never stored; ``docs`` should be a table that is cheap to read.
+    """
+    sets = materialize(_sets(docs, n))
+    frequent = _frequent(docs, n)
+    prefixes = _shared(docs, n, percent, frequent)
     hubs = materialize(_hub_pairs(prefixes, percent))
-    first = materialize(_linked(hubs, _segments(sets, hubs, frequent), percent))
+    first = materialize(_linked(hubs, _segments(docs, n, hubs, frequent), percent))
     roots = materialize(components(first))
     others = materialize(_open_pairs(prefixes, roots, percent))
-    second = materialize(_linked(others, _segments(sets, others, frequent), percent))
+    second = materialize(_linked(others, _segments(docs, n, others, frequent), percent))
     dropped(prefixes)
-    small = materialize(sets.drop("grams"))
-    dropped(sets)
-    return small, components(first.unionByName(second))
+    return sets, components(first.unionByName(second))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
