@@ -269,33 +269,33 @@ def _(spark, d):
 
 # One small document per row of the documents table, broken in a way its id decides.
 BROKEN = [
-    (["NWF2"], [(1, "error", "header", 'expected "NWF1" header, got "NWF2"')]),
+    (["NWF2"], [(1, "error", "header", 'first line is not the format\'s mark: "NWF2"')]),
     (["NWF1", "F\tid\ttitle"], [
-        (2, "error", "feed_cells", "F line needs at least 6 cells, got 3"),
-        (2, "error", "feed_epoch", 'F updatedEpoch must be an integer, got ""'),
-        (1, "warning", "no_entries", "feed has no entries"),
+        (2, "error", "feed_cells", "feed line too short: 3 of 6 cells"),
+        (2, "error", "feed_epoch", 'feed time is no whole number: ""'),
+        (1, "warning", "no_entries", "no entry line"),
     ]),
     (["NWF1", "F\tid\tt\t\t\t12x\t0,z", "A\tann", "E\t{id}\t5\tl\t0,3\tq\ttitle\t\t0"], [
-        (2, "error", "feed_epoch", 'F updatedEpoch must be an integer, got "12x"'),
-        (2, "error", "feed_refs", 'F authorRefs: "z" is not an integer index'),
-        (4, "error", "entry_refs", "E authorRefs: index 3 is out of range (dictionary has 1)"),
-        (4, "error", "entry_refs", 'E tagRefs: "q" is not an integer index'),
-        (4, "error", "entry_source", "E sourceRef 0 is out of range (S has 0)"),
+        (2, "error", "feed_epoch", 'feed time is no whole number: "12x"'),
+        (2, "error", "feed_refs", 'feed author reference is not a number: "z"'),
+        (4, "error", "entry_refs", "author reference 3 points past the 1 listed values"),
+        (4, "error", "entry_refs", 'tag reference is not a number: "q"'),
+        (4, "error", "entry_source", "source reference 0 points past the 0 listed values"),
     ]),
     (["NWF1", "F\tid\tt\t\t\t1\t", "B\t", "E\t\t1x\t\t\t\ttitle", "X\t1", "E\tshort"], [
-        (3, "warning", "base", "B line has no base URL"),
-        (4, "error", "entry_id", "E entry has an empty id"),
-        (4, "error", "entry_delta", 'E delta must be "-" or an integer, got "1x"'),
-        (4, "warning", "entry_link", "E entry has an empty link"),
-        (5, "error", "kind", 'unknown line kind "X"'),
-        (6, "error", "entry_cells", "E line needs at least 7 cells, got 2"),
+        (3, "warning", "base", "base line without an address"),
+        (4, "error", "entry_id", "entry id is blank"),
+        (4, "error", "entry_delta", 'entry time is neither a dash nor a whole number: "1x"'),
+        (4, "warning", "entry_link", "entry link is blank"),
+        (5, "error", "kind", 'line of no known kind: "X"'),
+        (6, "error", "entry_cells", "entry line too short: 2 of 7 cells"),
     ]),
     (["NWF1", "E\t{id}\t-\tl\t\t\ttitle\t\tone"], [
-        (1, "error", "feed_missing", "missing the required F (feed header) line"),
-        (2, "error", "entry_source", 'E sourceRef must be an integer index, got "one"'),
+        (1, "error", "feed_missing", "no feed line"),
+        (2, "error", "entry_source", 'source reference is not a number: "one"'),
     ]),
     (["NWF1", "F\tid\tt\t\t\t1\t", "F\tid\tt\t\t\t1\t", "T\tx\ty", "S\ts", "E\t{id}\t-7\tl\t\t1,0\ttitle\ts\t0"], [
-        (1, "error", "feed_repeated", "expected exactly one F line, found 2"),
+        (1, "error", "feed_repeated", "feed line given 2 times"),
     ]),
     (["NWF1", "F\tid\tt\t\t\t1\t", "E\t{id}\t-7\tl\t\t\ttitle\t{line}"], []),
 ]

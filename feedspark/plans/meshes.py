@@ -14,7 +14,7 @@ from feedspark.operators.filters import FilterSpec
 from feedspark.operators.refine import Select, refine
 from feedspark.session import materialize
 from feedspark.sinks.formats import serialize
-from feedspark.sources.cascade import extract
+from feedspark.sources.cascade import extract, final_urls
 
 GROUPS = ["construct", "mesh_ord", "mesh_name"]
 
@@ -40,11 +40,14 @@ def fetch_meshes(
     source_name, source_url. A document used by several meshes is extracted once.
     """
     # Documents that are no source themselves may still be the declared feed of one.
-    entries, failed = extract(documents.filter(F.col("error").isNull()), templates)
-    entries = entries.withColumnRenamed("entry_ord", "_pos")
+    fetched = documents.filter(F.col("error").isNull())
+    entries, failed = extract(fetched, templates)
+    entries = entries.withColumnRenamed("entry_ord", "_pos").withColumnRenamed("source_url", "final_url")
 
     listed = sources.select(*GROUPS, "source_ord", "source_name", "source_url")
-    tagged = listed.join(entries.drop("source"), "source_url").select(
+    # Sources name requested URLs, entries the URLs where their documents were found.
+    arrived = final_urls(fetched).withColumnRenamed("requested_url", "source_url")
+    tagged = listed.join(arrived, "source_url").join(entries.drop("source"), "final_url").select(
         *GROUPS,
         F.col("source_ord").alias("part_ord"),
         F.col("_pos").alias("entry_ord"),
@@ -55,9 +58,9 @@ def fetch_meshes(
     )
     merged = merge.newest(merge.merge_entries(tagged, ["construct", "mesh_ord"]), limit, ["construct", "mesh_ord"])
 
-    problems = failed.select(F.col("key").alias("source_url"), F.col("reason").alias("problem"))
+    problems = failed.select(F.col("key").alias("final_url"), F.col("reason").alias("problem"))
     fanned = defs.fan_out(listed, documents.select("requested_url", "final_url", "error"))
-    checked = fanned.join(problems, "source_url", "left").withColumn(
+    checked = fanned.join(problems, "final_url", "left").withColumn(
         "error", F.coalesce("error", "problem")
     )
     checked = materialize(checked)

@@ -65,12 +65,30 @@ def _outcomes(entries: DataFrame, strategy: str) -> DataFrame:
     return entries.select("source_url").distinct().withColumn("outcome", F.lit(strategy))
 
 
+def _arrived(state: DataFrame, documents: DataFrame) -> DataFrame:
+    """Declared links name requested URLs; each is replaced by the URL where its document was found."""
+    moved = final_urls(documents).filter("requested_url <> final_url")
+    linked, bare = state.filter("feed_url IS NOT NULL"), state.filter("feed_url IS NULL")
+    found = linked.join(moved, linked.feed_url == moved.requested_url, "left")
+    return found.select(
+        "source_url", F.coalesce("final_url", "feed_url").alias("feed_url"), "outcome"
+    ).unionByName(bare)
+
+
+def final_urls(documents: DataFrame) -> DataFrame:
+    """One final URL for each requested one."""
+    known = documents.filter("requested_url IS NOT NULL AND final_url IS NOT NULL")
+    return known.groupBy("requested_url").agg(F.min("final_url").alias("final_url"))
+
+
 def extract(documents: DataFrame, templates: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Entries of every document by its best strategy, and rejects.
 
     Documents are split by kind, so feeds never reach the HTML reader. The page scan is
     the expensive step and feeds four strategies: it is checkpointed once. A document
     with an ``explicit_template`` is read by it alone and its links are not followed.
+    Documents go by ``final_url``; where there is a ``requested_url``, declared links are
+    looked up by it.
     """
     explicit = "explicit_template" in documents.columns
     kinds = documents.withColumn("kind", detect_kind(F.col("content_type"), F.col("body")))
@@ -103,6 +121,8 @@ def extract(documents: DataFrame, templates: DataFrame | None) -> tuple[DataFram
         .join(read, "source_url", "left")
         .select("source_url", "feed_url", F.coalesce("outcome", "feed_outcome").alias("outcome"))
     )
+    if "requested_url" in documents.columns:
+        state = _arrived(state, documents)
     chosen = follow_links(state)
     if explicit:
         forced = pages.filter("explicit_template IS NOT NULL").select(F.col("final_url").alias("origin"))

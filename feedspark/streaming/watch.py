@@ -107,7 +107,7 @@ class Watch:
         """Run on an interval, or ``once`` over what is available."""
         span = parse_duration(interval)
         if span is None:
-            raise ValueError(f'invalid interval "{interval}" (use e.g. 30m, 6h, 1d)')
+            raise ValueError(f"{interval!r} is no interval: write a number and a unit")
         writer = stream.writeStream.foreachBatch(self.tick).option(
             "checkpointLocation", self.path("checkpoint")
         )

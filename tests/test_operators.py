@@ -56,7 +56,7 @@ def test_rules_table_agrees_with_the_spec(spark, mixed):
 
 @pytest.mark.parametrize("text", ["nope:x", "", "Title:x"])
 def test_unknown_field_names_the_token(text):
-    with pytest.raises(ValueError, match="bad filter"):
+    with pytest.raises(ValueError, match="does not start with a field"):
         filters.parse_rule(text)
 
 
