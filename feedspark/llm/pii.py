@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 All work is done by column expressions inside the row. A pattern is applied to the whole
-text twice, once for the matches and once for what lies between them; the running sum of the
-lengths gives the places. Patterns start only where a match can start and give nothing back,
-so their time grows with the length of the text, however it is made.
+text for the matches, for what lies between them and, where a kind's end is found by its
+checksum, for what follows; the running sum of the lengths gives the places. Patterns start
+only where a match can start and give nothing back, so their time grows with the length of
+the text, however it is made. Context is read around the span from the text as given.
 
 Defined results. A null or empty text has no spans. Repeated rows are searched one by one.
 Offsets count code points, ends are exclusive. Spans of different kinds may overlap. Other
@@ -26,7 +27,10 @@ CONTEXT_CHARS = 40
 
 @dataclass(frozen=True)
 class Kind:
-    """``certainty`` of a confirmed match; ``bonus`` if a context word stands before it."""
+    """``certainty`` of a confirmed match; ``bonus`` if a context word stands near it.
+
+    ``ahead``, if given, is what the end is looked for in: the match is then only the head.
+    """
 
     name: str
     pattern: str
@@ -34,6 +38,7 @@ class Kind:
     certainty: float
     bonus: float
     context: str
+    ahead: str = ""
 
 
 # Patterns and context words by kind. The first four are the base kinds. Each is
@@ -73,11 +78,12 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}",
         r"[A-Z]{2}[0-9]{2}",
         0.6,
         0.4,
         r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b",
+        r"(?:\x20?[A-Z0-9]){11,30}+[\s\S]?",
     ),
     Kind(
         "ssn",
@@ -98,6 +104,29 @@ KINDS = (
 )
 
 
+# The lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -127,6 +156,27 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
 
 
+def account(run: Column) -> Column:
+    """The account number a run starts with, or null.
+
+    ``run`` holds one character more than may belong to the number. Every place at which a
+    word ends is tried: first the country's length, then from the longest down.
+    """
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+    ends = F.filter(
+        F.sequence(F.lit(15), F.greatest(F.lit(15), F.length(run))),
+        lambda k: F.substring(run, k, F.lit(2)).rlike(r"^[A-Z0-9](?![A-Za-z0-9])"),
+    )
+    known = lengths[F.substring(run, 1, 2)]
+    tried = F.transform(ends, lambda k: F.substring(run, F.lit(1), k))
+    size = lambda v: F.length(F.regexp_replace(v, r"\x20", ""))
+    good = F.filter(tried, lambda v: size(v).between(15, 34) & mod97(v))
+    ranked = F.transform(
+        good, lambda v: F.struct(F.coalesce(size(v) == known, F.lit(False)).alias("own"), size(v).alias("n"), v.alias("v"))
+    )
+    return F.array_max(ranked)["v"]
+
+
 def confirmed(kind: str, value: Column) -> Column:
     """The test that a match of a kind must pass."""
     if kind == "ip":
@@ -136,8 +186,6 @@ def confirmed(kind: str, value: Column) -> Column:
         return let(_digits(value), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
-    if kind == "iban":
-        return mod97(value)
     if kind == "ssn":
         return ~value.rlike(r"^(?:000|666|9..)|-00-|0000$")
     return F.lit(True)
@@ -146,81 +194,122 @@ def confirmed(kind: str, value: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
-def _cut(text: Column, kind: Kind, use) -> Column:
-    """Hand the gaps between a kind's matches and the matches themselves to ``use``."""
+def confirmed_of(text: Column, kind: Kind) -> Column:
+    """All confirmed spans of one kind, from left to right, scored without their context."""
     parts = F.struct(
         F.split(text, kind.pattern, -1).alias("gaps"),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hits"),
     )
-    return let(parts, use)
-
-
-def _score(kind: Kind, value: Column, before: Column) -> Column:
-    near = F.right(before, F.lit(CONTEXT_CHARS)).rlike(kind.context)
-    return F.when(confirmed(kind.name, value), F.when(near, kind.certainty + kind.bonus).otherwise(kind.certainty)).otherwise(0.0)
-
-
-def spans_of(text: Column, kind: Kind) -> Column:
-    """All confirmed spans of one kind, from left to right."""
+    if kind.ahead:
+        pattern = F.lit(f"{kind.pattern}(?=({kind.ahead}|))")
+        parts = parts.withField("ahead", F.regexp_extract_all(text, pattern, F.lit(1)))
+    none = F.array().cast(SPAN)
 
     def placed(parts: Column) -> Column:
-        pairs = F.zip_with(
+        pairs = F.transform(
             parts["hits"],
-            F.slice(parts["gaps"], 1, F.size(parts["hits"])),
-            lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")),
+            lambda hit, k: F.struct(
+                hit.alias("hit"),
+                F.get(parts["gaps"], k).alias("gap"),
+                (account(F.concat(hit, F.get(parts["ahead"], k))) if kind.ahead else F.when(confirmed(kind.name, hit), hit)).alias("value"),
+            ),
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out"))
 
         def add(state: Column, pair: Column) -> Column:
             begin = state["at"] + F.length(pair["gap"])
-            end = begin + F.length(pair["hit"])
-            score = _score(kind, pair["hit"], pair["gap"])
+            end = begin + F.length(pair["value"])
             span = F.struct(
                 F.lit(kind.name).alias("kind"),
                 begin.alias("start"),
                 end.alias("end"),
-                score.cast("double").alias("score"),
-                pair["hit"].alias("value"),
+                F.lit(kind.certainty).cast("double").alias("score"),
+                pair["value"].alias("value"),
+            )
+            new = pair["value"].isNotNull() & (begin >= state["free"])
+            return F.struct(
+                (begin + F.length(pair["hit"])).alias("at"),
+                F.when(new, end).otherwise(state["free"]).alias("free"),
+                F.when(new, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
             )
-            kept = F.when(score >= THRESHOLD, F.array(span)).otherwise(F.array().cast(SPAN))
-            return F.struct(end.alias("at"), F.concat(state["out"], kept).alias("out"))
 
         return F.aggregate(pairs, start, add, lambda state: state["out"])
 
-    return F.when(text.rlike(kind.needs), _cut(text, kind, placed)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(kind.needs), let(parts, placed)).otherwise(none)
+
+
+def _piece(signs: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(signs, start + 1, end - start), "")
+
+
+def _weighed(signs: Column, spans: Column) -> Column:
+    """The spans whose score, with the words on both sides of each, reaches the threshold."""
+
+    def weigh(span: Column) -> Column:
+        before = _piece(signs, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["start"])
+        after = _piece(signs, span["end"], span["end"] + CONTEXT_CHARS)
+        bonus = F.lit(0.0)
+        for kind in KINDS:
+            near = (span["kind"] == kind.name) & (before.rlike(kind.context) | after.rlike(kind.context))
+            bonus = F.when(near, kind.bonus).otherwise(bonus)
+        return span.withField("score", span["score"] + bonus)
+
+    return F.filter(F.transform(spans, weigh), lambda s: s["score"] >= THRESHOLD)
+
+
+def _with_spans(text: Column, use, otherwise: Column) -> Column:
+    """Hand the text's characters and its spans to ``use``; texts without a confirmed match are ``otherwise``."""
+    spans = F.concat(*[confirmed_of(text, kind) for kind in KINDS])
+    return let(
+        spans,
+        lambda s: F.when(F.size(s) > 0, let(F.split(text, ""), lambda c: let(_weighed(c, s), lambda w: use(c, w)))).otherwise(otherwise),
+    )
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``spans``: every confirmed span with its score and value, by kind and place."""
-    t = text_of(text)
-    return docs.withColumn("spans", F.concat(*[spans_of(t, kind) for kind in KINDS]))
+    return docs.withColumn("spans", _with_spans(text_of(text), lambda signs, spans: spans, F.array().cast(SPAN)))
 
 
-def _mask(text: Column, kind: Kind) -> Column:
-    def join(parts: Column) -> Column:
-        shown = F.zip_with(
-            parts["gaps"],
-            parts["hits"],
-            lambda gap, hit: F.concat(
-                gap,
-                F.when(hit.isNull(), "")
-                .when(_score(kind, hit, gap) >= THRESHOLD, f"[{kind.name.upper()}]")
-                .otherwise(hit),
-            ),
+def _areas(spans: Column) -> Column:
+    """The parts of a text that spans cover, from left to right: ``start, end, label``.
+
+    Spans that overlap are one area under the label of the first kind.
+    """
+    rank = F.create_map(*[F.lit(x) for n, kind in enumerate(KINDS) for x in (kind.name, n)])
+    area = lambda start, end, label: F.struct(start.alias("start"), end.alias("end"), label.alias("label"))
+    label = lambda s: F.struct(rank[s["kind"]].alias("rank"), F.upper(s["kind"]).alias("name"))
+    ordered = F.array_sort(F.transform(spans, lambda s: area(s["start"], s["end"], label(s))))
+
+    def add(areas: Column, x: Column) -> Column:
+        last = F.get(areas, F.size(areas) - 1)
+        wider = area(last["start"], F.greatest(last["end"], x["end"]), F.least(last["label"], x["label"]))
+        return F.when(last["end"] > x["start"], F.concat(F.slice(areas, F.lit(1), F.size(areas) - 1), F.array(wider))).otherwise(
+            F.concat(areas, F.array(x))
+        )
+
+    empty = F.array().cast("array<struct<start:int,end:int,label:struct<rank:int,name:string>>>")
+    return F.aggregate(ordered, empty, add)
+
+
+def _hidden(signs: Column, spans: Column) -> Column:
+    def shown(areas: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(areas, k)["end"], F.lit(0))
+        parts = F.transform(
+            areas, lambda a, k: F.concat(_piece(signs, end(k - 1), a["start"]), F.lit("["), a["label"]["name"], F.lit("]"))
         )
-        return F.array_join(shown, "")
+        return F.concat(F.array_join(parts, ""), _piece(signs, end(F.size(areas) - 1), F.size(signs)))
 
-    return let(text, lambda t: F.when(t.rlike(kind.needs), _cut(t, kind, join)).otherwise(t))
+    return let(_areas(spans), shown)
 
 
 def masked(text: Column) -> Column:
     """The text with every confirmed span replaced by its kind, as in ``[EMAIL]``.
 
-    Kinds are masked one after the other, so of overlapping spans the first kind's stands.
+    Spans are those of ``found``, sought in the text as given. Overlapping spans are masked
+    together, under the first kind.
     """
-    for kind in KINDS:
-        text = _mask(text, kind)
-    return text
+    return let(text, lambda t: _with_spans(t, _hidden, t))
 
 
 def listed(spans: Column) -> Column:

@@ -176,6 +176,39 @@ def test_pii(spark):
     assert shown[2].startswith("mail [EMAIL]. or a@b..c")
 
 
+IBANS = ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["{} Bank", "{} Please", "{} BIC COBADEFF", "{} 12 items", "{} A", "{}", "😀 {} X1 Y2 {} Z", "({}), {} GB29 {} é", "{} {} {}"],
+)
+def test_pii_ibans_before_capitals_and_numbers(spark, text):
+    texts = [text.replace("{}", iban) for iban in IBANS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "iban"] for r in pii.found(docs).collect()}
+    shown = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    for k, iban in enumerate(IBANS):
+        want = [(m.start(), m.end()) for m in re.finditer(iban, texts[k])]
+        assert [(s["start"], s["end"]) for s in spans[k]] == want and {s["value"] for s in spans[k]} == {iban}
+        assert not re.search(iban, shown[k]) and shown[k].count("[IBAN]") + shown[k].count("[CARD]") == len(want)
+
+
+def test_pii_context_on_both_sides(spark):
+    texts = {
+        "call 555-123-4567 or 555-765-4321": "call [LOCAL_PHONE] or [LOCAL_PHONE]",
+        "555-123-4567 is my mobile": "[LOCAL_PHONE] is my mobile",
+        "123-45-6789, 123-45-6780 (social)": "[SSN], [SSN] (social)",
+        "phone@x.org 555-123-4567": "[EMAIL] [LOCAL_PHONE]",
+        "+1 (555) 010-0123, 555-123-4567": "[PHONE], 555-123-4567",
+        "555-123-4567 " + "far " * 20 + "phone": None,
+        "é😀 a@b.de 1.2.3.4 x": "é😀 [EMAIL] [IP] x",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    shown = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert shown == {k: want or text for k, (text, want) in enumerate(texts.items())}
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
