@@ -4,7 +4,11 @@ A mask looks at some of the tokens in a window and ignores the rest, so a copy w
 replaced still agrees with the test item wherever a replaced word falls on an ignored place.
 Seeds of the corpus are tested against a bitmap of all test seeds while the text is read;
 only those that pass are joined with the test seeds. Each hit fixes an alignment of item and
-text, and the tokens of the whole item are compared along it.
+text. The hit is extended along it in both directions, while tokens that disagree do not
+outweigh those that agree, into a local overlap. Overlaps that follow each other in item and
+text, as around an inserted word, form a chain. A text holds an item if a chain has
+``OVERLAP`` agreeing tokens, however long the item is, or if all overlaps together, or the
+best alignment of the whole item, reach the least share of the item.
 
 Defined results. A null or empty text or item has no tokens and matches nothing. An item
 shorter than a mask is sought whole, by a mask of its own length without ignored places. One
@@ -17,13 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import row_key, text_of
+from feedspark.llm.common import let, row_key, text_of
 
 # The masks; 1 looks at a token, 0 ignores it.
 MASKS = ("1110101011", "11010001101", "110011000011")
 MIN_SHARE = 0.5
-"""Least share of an item's tokens that agree along one alignment."""
+"""Least share of an item's tokens that agree, over all alignments."""
 MIN_TOKENS = 6
+OVERLAP = 13
+"""Agreeing tokens in one place that are enough whatever the item's length."""
+DROP = 3
+"""An extension ends where it has lost so many points, one for each token, from its best."""
+GAP = 4
+"""Tokens that may lie between two overlaps of a chain."""
 BITS_PER_SEED = 64
 MOST_BITS = 1 << 26
 BROADCAST_SEEDS = 1_000_000
@@ -82,9 +92,54 @@ def _may_hold(bitmap: Column, seed: Column, bits: int) -> Column:
     return probe(F.pmod(seed, F.lit(bits))) & probe(F.pmod(F.shiftright(seed, 32), F.lit(bits)))
 
 
+def _reach(agree: Column) -> Column:
+    """How many tokens an extension over ``agree``, ones and zeros outward from a seed, takes in."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("at"))
+
+    def add(state: Column, one: Column) -> Column:
+        score = state["score"] + one * 2 - 1
+        more = state["score"] >= state["best"] - DROP
+        better = more & (score > state["best"])
+        return F.struct(
+            (state["n"] + 1).alias("n"),
+            F.when(more, score).otherwise(state["score"]).alias("score"),
+            F.when(better, score).otherwise(state["best"]).alias("best"),
+            F.when(better, state["n"] + 1).otherwise(state["at"]).alias("at"),
+        )
+
+    return F.aggregate(agree, start, add, lambda state: state["at"])
+
+
+CHAIN = "struct<doc_to:int,item_to:int,held:array<int>,longest:int>"
+
+
+def _longest_chain(found: Column) -> Column:
+    """The most agreeing tokens of an item in overlaps that follow each other in item and text."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).alias("doc_to"), F.lit(None).alias("item_to"), none.alias("held"), F.lit(0).alias("longest"))
+
+    def add(state: Column, x: Column) -> Column:
+        near = (x["doc_from"] <= state["doc_to"] + GAP + 1) & (x["item_from"] <= state["item_to"] + GAP + 1)
+        on = F.coalesce(near, F.lit(False))
+        held = F.when(on, F.array_union(state["held"], x["held"])).otherwise(x["held"])
+        return let(
+            held,
+            lambda h: F.struct(
+                F.when(on, F.greatest(state["doc_to"], x["doc_to"])).otherwise(x["doc_to"]).alias("doc_to"),
+                F.when(on, F.greatest(state["item_to"], x["item_to"])).otherwise(x["item_to"]).alias("item_to"),
+                h.alias("held"),
+                F.greatest(state["longest"], F.size(h)).alias("longest"),
+            ),
+        )
+
+    return F.aggregate(F.array_sort(found), start.cast(CHAIN), add, lambda state: state["longest"])
+
+
 def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """``row_key, doc_id, item_id, item_tokens, matched_tokens, share`` of contaminated pairs.
 
+    ``matched_tokens`` are the item's places that agree in any overlap, or along the best
+    alignment of the whole item if these are more.
     ``row_key`` is a hash of id and text, for callers whose ids may be null or repeated.
     """
     tested = items.select(F.col("item_id").cast("bigint").alias("item_id"), token_hashes(text_of("text")).alias("hashes"))
@@ -112,14 +167,47 @@ def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) ->
     skip = F.greatest(-F.col("start"), F.lit(0))
     there = F.slice("hashes", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len") - skip)
     here = F.slice("item", skip + 1, F.col("len") - skip)
-    agree = F.aggregate(
-        F.zip_with(there, here, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x
+    agree = F.zip_with(there, here, lambda a, b: F.when(a == b, 1).otherwise(0))
+    wide = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
+    kept = ("row_key", "doc_id", "item_id", "len", "start")
+    # Places count from the first token of the item that lies within the text.
+    along = hits.select(*kept, skip.alias("skip"), (F.col("item_pos") - skip).alias("first"), wide.alias("wide"), agree.alias("agree"))
+    left = _reach(F.reverse(F.slice("agree", F.lit(1), F.col("first"))))
+    right = _reach(F.slice("agree", F.col("first") + F.col("wide") + 1, F.size("agree")))
+    # Seeds of one overlap extend to the same ends as a rule, and are then one element of the set.
+    ends = along.withColumn("begin", F.col("first") - left).withColumn("end", F.col("first") + F.col("wide") - 1 + right)
+    places = F.filter(F.sequence(F.col("begin"), F.col("end")), lambda k: F.get("agree", k) == 1)
+    overlap = F.struct(
+        (F.col("start") + F.col("skip") + F.col("begin")).alias("doc_from"),
+        (F.col("start") + F.col("skip") + F.col("end")).alias("doc_to"),
+        (F.col("skip") + F.col("begin")).alias("item_from"),
+        (F.col("skip") + F.col("end")).alias("item_to"),
+        F.transform(places, lambda k: k + F.col("skip")).alias("held"),
+    )
+    matched = ends.select(
+        "row_key",
+        "doc_id",
+        "item_id",
+        F.col("len").alias("item_tokens"),
+        F.aggregate("agree", F.lit(0), lambda n, x: n + x).alias("aligned"),
+        overlap.alias("overlap"),
+    )
+    best = matched.groupBy("row_key", "doc_id", "item_id", "item_tokens").agg(
+        F.max("aligned").alias("aligned"), F.collect_set("overlap").alias("found")
+    )
+    every = F.size(F.array_distinct(F.flatten(F.transform("found", lambda x: x["held"]))))
+    total = best.select(
+        "row_key",
+        "doc_id",
+        "item_id",
+        "item_tokens",
+        F.greatest("aligned", every).alias("matched_tokens"),
+        _longest_chain(F.col("found")).alias("longest"),
     )
-    matched = hits.select("row_key", "doc_id", "item_id", F.col("len").alias("item_tokens"), agree.alias("matched"))
-    best = matched.groupBy("row_key", "doc_id", "item_id", "item_tokens").agg(F.max("matched").alias("matched_tokens"))
     share = F.col("matched_tokens") / F.col("item_tokens")
     needed = F.least(F.col("item_tokens"), F.lit(MIN_TOKENS))
-    return best.withColumn("share", share).filter((share >= min_share) & (F.col("matched_tokens") >= needed))
+    whole = (share >= min_share) & (F.col("matched_tokens") >= needed)
+    return total.withColumn("share", share).filter(whole | (F.col("longest") >= OVERLAP)).drop("longest")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:

@@ -125,6 +125,30 @@ def test_decontam(spark, docs, none):
     assert decontam.contaminated(given, items.limit(0)).count() == 0
 
 
+def test_decontam_of_passages_and_shifted_copies(spark):
+    item = [f"token{k}" for k in range(59)]
+    other = [f"plain{k}" for k in range(40)]
+    short = [f"s{k}" for k in range(45)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string")
+    texts = {
+        1: other + item[20:45] + other,  # a passage of 25 of 59
+        2: other[:3] + item[:20] + ["new"] + item[20:40] + ["new", "er"] + item[40:] + other,  # words inserted
+        3: short[:15] + short[16:30] + short[31:],  # words left out
+        4: other + item[30:43],  # at the end of the text
+        5: item[:6] + ["z"] + item[7:15] + other,  # a passage with a word replaced
+        6: other + item[10:20] + ["new"] + item[20:30] + other,  # 10 and 10 around an inserted word
+        7: other + item[10:22] + other,  # 12 tokens
+        8: item[:11] + other + item[30:41] + other,  # 11 and 11, apart, 22 of 59
+        9: short[:12] + other + short[30:42],  # 12 and 12, apart, 24 of 45
+        10: (item[:11] + other) * 30,  # the same 11 again and again
+        11: other,
+    }
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in texts.items()], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_tokens"] for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 1): 25, (2, 1): 59, (3, 2): 43, (4, 1): 13, (5, 1): 14, (6, 1): 20, (9, 2): 24}
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, items).collect()) == [7, 8, 10, 11]
+
+
 # The base patterns of the four kinds.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
