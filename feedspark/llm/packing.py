@@ -1,10 +1,12 @@
-"""Packing by vector best-fit.
+"""Packing by best fit of tokens, under two slack capacities.
 
 Texts are tokenized where they are read; only the lengths of the pieces are shuffled. Pieces
 are dealt to blocks of bounded size, and each block is packed by itself: in order of length,
 a piece goes to the open sequence that it fills best. A sequence has three capacities, tokens,
 documents and attention cost (the sum of squared lengths); no piece enters one that any of the
-three forbids. At most the last sequence of a block is badly filled.
+three forbids. At the values below the attention capacity admits whatever the tokens admit, and
+the number of documents binds only for pieces of under four tokens on average. At most the last
+sequence of a block is badly filled.
 
 Defined results. A null or empty text is the closing token alone. Repeated rows and repeated
 ids are packed row by row. A text is cut only if it is longer than a sequence. Other columns
