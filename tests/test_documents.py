@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,15 @@ def test_messages(spark):
     content = {r["kind"]: r["body"] for r in payloads.chat_payloads(feed(spark), long).collect()}["discord"]
     assert len(content) == len('{"content":""}') + 2000 + content.count("\\n")
     assert payloads.webhook_payloads(feed(spark), rows.limit(0)).count() == 0
+
+
+def test_webhook_bodies_are_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "CHUNK_ROWS", 10)
+    rows = entries(spark, *[{} for _ in range(25)])
+    bodies = payloads.webhook_payloads(feed(spark), rows).collect()
+    assert [len(json.loads(b["body"])["items"]) for b in bodies] == [25]
+    parts = payloads.webhook_payloads(feed(spark), rows, most=10).orderBy("chunk_no").collect()
+    assert [p["chunk_no"] for p in parts] == [0, 1, 2]
+    read = [json.loads(p["body"]) for p in parts]
+    assert {d["title"] for d in read} == {"Feed"}
+    assert [i["id"] for d in read for i in d["items"]] == [f"id{k}" for k in range(25)]
