@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, ngram_join, packing, pii, quality, toxicity
-from feedspark.llm.common import table, tokenizer_path
-from feedspark.llm.sql import chat_sql, jaccard_sql, quality_sql
+from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, mixing, ngram_join, packing, pii, quality, toxicity
+from feedspark.llm.common import stored, table, tokenizer_path
+from feedspark.llm.sql import chat_sql, jaccard_sql, mixing_sql, quality_sql
 from feedspark.plans.registry import Registry
 
 R = Registry()
@@ -87,3 +87,9 @@ def op5_langmix(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@R.query("op11_mixing", mixing_sql())
+def op11_mixing(spark, sf_dir):
+    rows = stored(mixing.drawn(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return mixing.mixed(rows, mixing.planned(rows))

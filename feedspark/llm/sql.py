@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedspark.llm import chat, quality
+from feedspark.llm import chat, mixing, quality
 
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
@@ -94,3 +94,39 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(upto) FILTER (role = 'assistant' OR back = 1), 0)::BIGINT AS formatted_chars,
   count(*) FILTER (role = 'assistant') AS n_examples
 FROM s GROUP BY conv_id"""
+
+
+def mixing_sql() -> str:
+    """The same draws and phases, walked row by row; the level by rounds until it stays."""
+    listed = ", ".join(str(w) for w in mixing.WEIGHTS)
+    cap = f"size * {mixing.MOST_EPOCHS}"
+    return rf"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE_SQL}'), lambda x: x <> ''))::BIGINT AS size,
+    ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:{mixing.DIGITS}])::BIGINT AS draw
+  FROM documents),
+s AS (SELECT *, list_value({listed})[(rank - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS weight
+      FROM (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)),
+levels AS (
+  SELECT (SELECT sum(size) FROM s) * {mixing.SHARE} / (SELECT sum(weight) FROM s) AS found
+  UNION
+  SELECT ((SELECT sum(size) FROM s) * {mixing.SHARE} - coalesce(sum(size) FILTER ({cap} < weight * found), 0) * {mixing.MOST_EPOCHS})
+    / sum(weight) FILTER (NOT {cap} < weight * found)
+  FROM levels, s GROUP BY found),
+aims AS (SELECT *, least({cap}, weight * (SELECT max(found) FROM levels)) AS target FROM s),
+plan AS (SELECT *, CASE WHEN size > 0 THEN floor(target / size) ELSE 0 END::BIGINT AS whole FROM aims),
+units AS (SELECT rank, draw, sum(d.size)::BIGINT AS unit, max(d.size) AS longest,
+            row_number() OVER (PARTITION BY rank ORDER BY draw) AS k
+          FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source WHERE d.size > 0 GROUP BY rank, draw),
+walk AS (
+  SELECT rank, target, 0::BIGINT AS k, NULL::BIGINT AS draw, false AS taken, floor(target)::BIGINT - whole * size AS room,
+    floor(target)::BIGINT - whole * size AS most, floor(target)::BIGINT - whole * size > target * {mixing.NEAR} AS live
+  FROM plan
+  UNION ALL
+  SELECT w.rank, w.target, u.k, u.draw, w.live AND longest <= most AND unit <= room,
+    CASE WHEN w.live AND longest <= most AND unit <= room THEN room - unit ELSE room END,
+    CASE WHEN longest <= most AND unit > room THEN room ELSE most END,
+    w.live AND NOT (longest <= most AND unit > room AND room <= w.target * {mixing.NEAR})
+  FROM walk w JOIN units u ON u.rank = w.rank AND u.k = w.k + 1)
+SELECT d.doc_id, d.size, p.size AS source_size, p.target,
+  whole + coalesce(taken, false)::BIGINT AS copies, (whole + coalesce(taken, false)::BIGINT) * d.size AS taken
+FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN walk w ON w.rank = p.rank AND w.draw = d.draw AND d.size > 0"""
