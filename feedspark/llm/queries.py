@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, mixing, ngram_join, packing, pii, quality, toxicity
+from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, mixing, ngram_join, packing, pii, quality, spelling, toxicity
 from feedspark.llm.common import stored, table, tokenizer_path
-from feedspark.llm.sql import chat_sql, jaccard_sql, mixing_sql, quality_sql
+from feedspark.llm.sql import chat_sql, jaccard_sql, mixing_sql, quality_sql, spelling_sql
 from feedspark.plans.registry import Registry
 
 R = Registry()
@@ -93,3 +93,8 @@ def op9_toxicity(spark, sf_dir):
 def op11_mixing(spark, sf_dir):
     rows = stored(mixing.drawn(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return mixing.mixed(rows, mixing.planned(rows))
+
+
+@R.query("op12_spelling", spelling_sql())
+def op12_spelling(spark, sf_dir):
+    return spelling.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))

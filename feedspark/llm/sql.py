@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedspark.llm import chat, mixing, quality
+from feedspark.llm import chat, mixing, quality, spelling
 
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
@@ -130,3 +130,50 @@ walk AS (
 SELECT d.doc_id, d.size, p.size AS source_size, p.target,
   whole + coalesce(taken, false)::BIGINT AS copies, (whole + coalesce(taken, false)::BIGINT) * d.size AS taken
 FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN walk w ON w.rank = p.rank AND w.draw = d.draw AND d.size > 0"""
+
+
+def crc32_ctes() -> str:
+    """``crc``: the table of the checksum with the polynomial that zip files use."""
+    return """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text of code points below U+0100; ``entries`` is that of ``crc``."""
+    octets = f"""flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+          ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))"""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}),
+          lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
+def spelling_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    least = spelling.LEAST_CHARS
+    return rf"""WITH RECURSIVE {crc32_ctes()},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS name, unnest(regexp_extract_all({lower}, '{spelling.LETTERS}')) AS run FROM documents),
+tokens AS (SELECT name, run, count(*) AS k FROM runs WHERE length(run) >= {least} GROUP BY name, run),
+hashed AS (SELECT run, k, {crc32_sql("name || ':' || run")} AS h FROM tokens, crc),
+words AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0
+            THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, k FROM hashed),
+vocab AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= {least}
+          GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
+holes AS (SELECT word, n, i, word[1:i - 1] AS front, word[i + 1:] AS back
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.front = b.front AND a.back = b.back
+    WHERE a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM holes a JOIN vocab b ON b.word = a.front || a.back
+  UNION
+  SELECT b.word, a.word, a.n FROM holes a JOIN vocab b ON b.word = a.front || a.back),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+             row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM pairs),
+formed AS (SELECT v.word, v.n, coalesce(r.n_near, 0)::BIGINT AS n_near,
+             CASE WHEN r.near_n >= {spelling.RATIO} * v.n THEN r.near END AS form,
+             CASE WHEN r.near_n >= {spelling.RATIO} * v.n THEN r.near_n END AS form_n
+           FROM vocab v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+chain AS (SELECT word, word AS root FROM formed UNION ALL
+          SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word"""
