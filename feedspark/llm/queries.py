@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, mixing, ngram_join, packing, pii, quality, spelling, toxicity
+from feedspark.llm import brown_lm, chat, decontam, langmix, linkgraph, mixing, ngram_join, packing, pii, quality, repair, spelling, toxicity
 from feedspark.llm.common import stored, table, tokenizer_path
-from feedspark.llm.sql import chat_sql, jaccard_sql, mixing_sql, quality_sql, spelling_sql
+from feedspark.llm.sql import chat_sql, jaccard_sql, mixing_sql, quality_sql, repair_sql, spelling_sql
 from feedspark.plans.registry import Registry
 
 R = Registry()
@@ -98,3 +98,9 @@ def op11_mixing(spark, sf_dir):
 @R.query("op12_spelling", spelling_sql())
 def op12_spelling(spark, sf_dir):
     return spelling.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@R.query("op13_repair", repair_sql())
+def op13_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.reported(conversations, repair.damaged(conversations))

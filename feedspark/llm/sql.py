@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedspark.llm import chat, mixing, quality, spelling
+from feedspark.llm import chat, mixing, quality, repair, spelling
 
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
@@ -177,3 +177,56 @@ chain AS (SELECT word, word AS root FROM formed UNION ALL
           SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
 ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
 SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word"""
+
+
+def repair_sql() -> str:
+    """The cheapest repair by steps over the rows; weights compare as padded cost and audit."""
+    spelled = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    nxt = "CASE WHEN {0} = 'u' THEN 'a' ELSE 'u' END"
+    return rf"""WITH RECURSIVE {crc32_ctes()},
+given AS (SELECT conv_id, turn, {spelled("role")} AS role, {spelled("text")} AS text,
+            {crc32_sql(f"{spelled('conv_id')} || ':' || {spelled('turn')}")} % {repair.DAMAGE} AS kind FROM conversations, crc),
+harmed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+           FROM given, (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS pos FROM harmed),
+marked AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS ini_before FROM placed),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+sums AS (SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pos > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(pos) AS rows
+         FROM convs c LEFT JOIN marked m ON c.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY c.conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS used, '' AS state, printf('%012d', 0) AS weight FROM convs
+  UNION ALL
+  SELECT conv_id, used + 1, state_after, min(printf('%012d', cost) || audit)
+  FROM (SELECT w.conv_id, used, weight[1:12]::BIGINT + 3 * k + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+            + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+          weight[13:] || repeat('I', k) || edit AS audit,
+          CASE edit WHEN 'D' THEN st WHEN 'K' THEN ini ELSE {nxt.format("st")} END AS state_after
+        FROM (SELECT *, CASE k WHEN 0 THEN state WHEN 1 THEN {nxt.format("state")}
+                ELSE CASE WHEN state = 'u' THEN 'u' ELSE 'a' END END AS st
+              FROM walk, (SELECT unnest([0, 1, 2]) AS k)) w
+          JOIN marked m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.pos = w.used + 1,
+          (SELECT unnest(['D', 'K', 'R']) AS edit)
+        WHERE edit = 'D' OR (fault NOT IN ('blank', 'duplicate')
+          AND (edit = 'R' OR st || ini IN ('su', 'ua', 'au') OR st = '' AND ini IN ('s', 'u'))))
+  GROUP BY conv_id, used + 1, state_after),
+ends AS (SELECT w.conv_id, min(printf('%012d', weight[1:12]::BIGINT + 3 * k) || weight[13:] || repeat('I', k)) AS weight
+         FROM (SELECT *, CASE state WHEN 'u' THEN 1 WHEN 's' THEN 2 ELSE 0 END AS k FROM walk) w
+           JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.rows = w.used GROUP BY w.conv_id),
+steps AS (SELECT conv_id, weight[13:] AS audit, unnest(range(1, length(weight) - 11)) AS j FROM ends),
+edits AS (SELECT conv_id, j, audit[j] AS edit, length(replace(audit[1:j], 'I', '')) AS pos FROM steps),
+live AS (SELECT e.conv_id, j, edit, m.role, coalesce(m.text, '') AS text,
+           row_number() OVER (PARTITION BY e.conv_id ORDER BY j) AS place,
+           first_value(edit = 'K' AND ini = 's') OVER (PARTITION BY e.conv_id ORDER BY j) AS led
+         FROM edits e LEFT JOIN marked m ON edit <> 'I' AND e.conv_id IS NOT DISTINCT FROM m.conv_id AND e.pos = m.pos WHERE edit <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+            || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS whole FROM live GROUP BY conv_id)
+SELECT s.conv_id, gaps, blank, duplicate, truncated, illegal, weight[1:12]::BIGINT AS cost, weight[13:] AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM sums s JOIN ends e ON s.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN lines l ON s.conv_id IS NOT DISTINCT FROM l.conv_id"""
