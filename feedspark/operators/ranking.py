@@ -39,6 +39,37 @@ def spread_positions(df: DataFrame, keys: list[str], order: list, name: str) ->
     )
 
 
+def running_sums(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    sums: dict[str, Column],
+    peak: int | None = None,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """Add sums over the rows before each row of its group; keys must not be null.
+
+    A window does it while every group is small enough for one task (``peak`` is a known
+    bound on the rows of a group). Larger groups are range-partitioned on (keys, order), and
+    only one total per group and partition is accumulated.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if (peak_size(df, keys) if peak is None else peak) <= group_rows:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({name: zero(F.sum(weight).over(before)) for name, weight in sums.items()})
+    by = [F.col(k) for k in keys] + order
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_block", F.shiftright("_row", 33))
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(w).alias(f"_{n}") for n, w in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_block", *[zero(F.sum(f"_{n}").over(earlier)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({n: zero(F.sum(w).over(inside)) for n, w in sums.items()})
+    out = local.join(small_side(offsets), [*keys, "_block"])
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_row", "_block", *[f"_{n}" for n in sums])
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of each group.
 

@@ -1,4 +1,4 @@
-"""Writers over paged feeds; each document is compared as a whole."""
+"""Writers over the feeds of whole sources; documents are compared part by part."""
 
 from __future__ import annotations
 
@@ -10,20 +10,20 @@ from feedspark.plans.registry import Registry
 from feedspark.sinks import compact, jsonfeed, markdown, opml, payloads, xmlfeeds
 
 R = Registry()
-P = "WITH " + ",".join([v.ENTRIES, v.PAGED, v.PAGED_FEEDS])
+P = "WITH " + ",".join([v.ENTRIES, v.headers_sql("entries")])
 ESC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 ATTR = lambda x: f"replace({ESC(x)}, '\"', '&quot;')"
 STAMP = lambda x: f"strftime({x}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 MAIL = lambda x: f"strftime({x}, '%a, %d %b %Y %H:%M:%S') || ' GMT'"
 
 
-def _paged(spark, d):
-    pages = v.paged(v.entries(spark, d))
-    return v.paged_feeds(pages), pages
+def _sources(spark, d):
+    entries = v.entries(spark, d)
+    return v.headers(entries), entries
 
 
 def _doc(df):
-    return df.select("feed_id", "chunk_no", "body")
+    return df.select("feed_id", "part_no", "body")
 
 
 @R.query(
@@ -41,9 +41,11 @@ def _doc(df):
 '), '') || array_to_string(list_transform(tags, lambda t: '    <category term="' || t || '"/>
 '), '') || coalesce('    <summary type="text">' || {ESC("summary")} || '</summary>
 ', '') || '  </entry>
-' AS item FROM paged p JOIN feeds f USING (feed_id)),
-    bodies AS (SELECT feed_id, string_agg(item, '' ORDER BY entry_ord) AS items FROM items GROUP BY feed_id)
-    SELECT feed_id, 0 AS chunk_no, '<?xml version="1.0" encoding="utf-8"?>
+' AS item FROM entries p JOIN feeds f USING (feed_id)),
+    frag AS (SELECT feed_id, 10 AS section, 0 AS a, entry_ord AS b, item AS text FROM items
+    UNION ALL SELECT feed_id, 20, 0, 0, '</feed>
+' FROM feeds
+    UNION ALL SELECT feed_id, 0, 0, 0, '<?xml version="1.0" encoding="utf-8"?>
 <feed xmlns="http://www.w3.org/2005/Atom">
   <id>' || feed_id || '</id>
   <title>' || title || '</title>
@@ -56,11 +58,10 @@ def _doc(df):
     <email>desk@example.org</email>
   </author>
   <generator version="0.1.0">feedspark</generator>
-' || items || '</feed>
-' AS body FROM feeds JOIN bodies USING (feed_id)""",
+' FROM feeds) {v.parts_sql()}""",
 )
 def _(spark, d):
-    return _doc(xmlfeeds.write_atom(*_paged(spark, d)))
+    return _doc(xmlfeeds.write_atom(*_sources(spark, d)))
 
 
 @R.query(
@@ -76,9 +77,12 @@ def _(spark, d):
 '), '') || coalesce('      <description>' || {ESC("summary")} || '</description>
 ', '') || '      <source url="' || source_url || '">' || source_name || '</source>
     </item>
-' AS item FROM paged),
-    bodies AS (SELECT feed_id, string_agg(item, '' ORDER BY entry_ord) AS items FROM items GROUP BY feed_id)
-    SELECT feed_id, 0 AS chunk_no, '<?xml version="1.0" encoding="utf-8"?>
+' AS item FROM entries),
+    frag AS (SELECT feed_id, 10 AS section, 0 AS a, entry_ord AS b, item AS text FROM items
+    UNION ALL SELECT feed_id, 20, 0, 0, '  </channel>
+</rss>
+' FROM feeds
+    UNION ALL SELECT feed_id, 0, 0, 0, '<?xml version="1.0" encoding="utf-8"?>
 <rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:dc="http://purl.org/dc/elements/1.1/">
   <channel>
     <title>' || title || '</title>
@@ -87,12 +91,10 @@ def _(spark, d):
     <atom:link href="' || self || '" rel="self" type="application/rss+xml"/>
     <lastBuildDate>' || {MAIL("updated")} || '</lastBuildDate>
     <generator>feedspark 0.1.0</generator>
-' || items || '  </channel>
-</rss>
-' AS body FROM feeds JOIN bodies USING (feed_id)""",
+' FROM feeds) {v.parts_sql()}""",
 )
 def _(spark, d):
-    return _doc(xmlfeeds.write_rss(*_paged(spark, d)))
+    return _doc(xmlfeeds.write_rss(*_sources(spark, d)))
 
 
 JSON_ITEM = f"""'    {{
@@ -118,10 +120,15 @@ JSON_ITEM = f"""'    {{
 @R.query(
     "write_jsonfeed",
     P
-    + f""", items AS (SELECT feed_id, entry_ord, {JSON_ITEM} AS item FROM paged),
-    bodies AS (SELECT feed_id, string_agg(item, ',
-' ORDER BY entry_ord) AS items FROM items GROUP BY feed_id)
-    SELECT feed_id, 0 AS chunk_no, '{{
+    + f""", items AS (SELECT feed_id, entry_ord, {JSON_ITEM} AS item FROM entries),
+    frag AS (SELECT feed_id, 10 AS section, 0 AS a, entry_ord AS b,
+      CASE WHEN row_number() OVER (PARTITION BY feed_id ORDER BY entry_ord) > 1 THEN ',
+' ELSE '' END || item AS text FROM items
+    UNION ALL SELECT feed_id, 20, 0, 0, '
+  ]
+}}
+' FROM feeds
+    UNION ALL SELECT feed_id, 0, 0, 0, '{{
   "version": "https://jsonfeed.org/version/1.1",
   "title": ' || to_json(title) || ',
   "home_page_url": ' || to_json(home) || ',
@@ -133,13 +140,10 @@ JSON_ITEM = f"""'    {{
     }}
   ],
   "items": [
-' || items || '
-  ]
-}}
-' AS body FROM feeds JOIN bodies USING (feed_id)""",
+' FROM feeds) {v.parts_sql()}""",
 )
 def _(spark, d):
-    return _doc(jsonfeed.write_jsonfeed(*_paged(spark, d)))
+    return _doc(jsonfeed.write_jsonfeed(*_sources(spark, d)))
 
 
 @R.query(
@@ -153,15 +157,17 @@ def _(spark, d):
       CASE WHEN len(tags) > 0 THEN array_to_string(list_transform(tags, lambda t: '`' || t || '`'), ' ') END)
     || coalesce('
 
-' || summary, '') AS item FROM paged),
-    bodies AS (SELECT feed_id, string_agg(item, '' ORDER BY entry_ord) AS items FROM items GROUP BY feed_id)
-    SELECT feed_id, 0 AS chunk_no, '# ' || title || '
+' || summary, '') AS item FROM entries),
+    frag AS (SELECT feed_id, 10 AS section, 0 AS a, entry_ord AS b, item AS text FROM items
+    UNION ALL SELECT feed_id, 20, 0, 0, '
+' FROM feeds
+    UNION ALL SELECT feed_id, 0, 0, 0, '# ' || title || '
 
-Updated ' || strftime(updated, '%Y-%m-%d') || ' · [Home](' || home || ') · [Feed](' || self || ')' || items || '
-' AS body FROM feeds JOIN bodies USING (feed_id)""",
+Updated ' || strftime(updated, '%Y-%m-%d') || ' · [Home](' || home || ') · [Feed](' || self || ')' FROM feeds) """
+    + v.parts_sql(),
 )
 def _(spark, d):
-    return _doc(markdown.write_markdown(*_paged(spark, d)))
+    return _doc(markdown.write_markdown(*_sources(spark, d)))
 
 
 # ---- compact format ----
@@ -170,9 +176,9 @@ DICT = """
 mention AS (
   SELECT feed_id, 'A' AS kind, -1 AS entry_ord, 0 AS idx,
     'Desk & Co' || chr(31) || 'https://desk.example/' || chr(31) || 'desk@example.org' AS cell FROM feeds
-  UNION ALL SELECT feed_id, 'A', entry_ord, generate_subscripts(authors, 1), unnest(authors) FROM paged
-  UNION ALL SELECT feed_id, 'T', entry_ord, generate_subscripts(tags, 1), unnest(tags) FROM paged
-  UNION ALL SELECT feed_id, 'S', entry_ord, 0, source_name || chr(31) || source_url FROM paged),
+  UNION ALL SELECT feed_id, 'A', entry_ord, generate_subscripts(authors, 1), unnest(authors) FROM entries
+  UNION ALL SELECT feed_id, 'T', entry_ord, generate_subscripts(tags, 1), unnest(tags) FROM entries
+  UNION ALL SELECT feed_id, 'S', entry_ord, 0, source_name || chr(31) || source_url FROM entries),
 dict AS (
   SELECT feed_id, kind, cell, row_number() OVER (PARTITION BY feed_id, kind ORDER BY entry_ord, idx) - 1 AS ref
   FROM (SELECT * FROM mention QUALIFY row_number() OVER (PARTITION BY feed_id, kind, cell ORDER BY entry_ord, idx) = 1))
@@ -181,7 +187,7 @@ dict AS (
 
 @R.query("nwf_dict", P + "," + DICT + "SELECT feed_id, kind, cell, ref FROM dict")
 def _(spark, d):
-    feeds, pages = _paged(spark, d)
+    feeds, pages = _sources(spark, d)
     found = dictionary.mentions(pages).unionByName(dictionary.feed_mentions(feeds))
     return dictionary.intern(found).select("feed_id", "kind", "cell", "ref")
 
@@ -189,13 +195,13 @@ def _(spark, d):
 @R.query(
     "link_base",
     P
-    + """, l AS (SELECT feed_id, CASE WHEN part_ord % 2 = 0 THEN link ELSE replace(link, 'example/', 'example/' || part_ord || '/x') END AS link, part_ord FROM paged)
+    + """, l AS (SELECT feed_id, CASE WHEN part_ord % 2 = 0 THEN link ELSE replace(link, 'example/', 'example/' || part_ord || '/x') END AS link, part_ord FROM entries)
     SELECT feed_id, CASE WHEN count(*) < 2 THEN '' WHEN min(link) = max(link) THEN regexp_replace(min(link), '[^/]*$', '')
       WHEN any_value(part_ord) % 2 = 0 THEN 'https://copy.example/'
       ELSE 'https://copy.example/' || any_value(part_ord) || '/' END AS base FROM l GROUP BY feed_id""",
 )
 def _(spark, d):
-    _, pages = _paged(spark, d)
+    _, pages = _sources(spark, d)
     part = F.col("part_ord")
     moved = F.replace(
         F.col("link"), F.lit("example/"), F.concat(F.lit("example/"), part.cast("string"), F.lit("/x"))
@@ -210,35 +216,31 @@ def _(spark, d):
     + DICT
     + """, refs AS (SELECT m.feed_id, m.entry_ord, m.kind, string_agg(d.ref, ',' ORDER BY m.idx) AS refs
       FROM mention m JOIN dict d ON m.feed_id = d.feed_id AND m.kind = d.kind AND m.cell = d.cell GROUP BY ALL),
-    lines AS (
-      SELECT feed_id, 0 AS section, 0 AS o, 'NWF1' || chr(10) || concat_ws(chr(9), 'F', feed_id, title, home, self,
-        epoch_ms(date_trunc('second', updated)) // 1000, '0') AS line FROM feeds
-      UNION ALL SELECT feed_id, CASE kind WHEN 'A' THEN 1 WHEN 'T' THEN 2 ELSE 3 END, 0,
-        kind || chr(9) || string_agg(cell, chr(9) ORDER BY ref) FROM dict GROUP BY feed_id, kind
-      UNION ALL SELECT feed_id, 4, 0, 'B' || chr(9) || 'https://copy.example/' FROM paged GROUP BY feed_id HAVING count(*) > 1
-      UNION ALL SELECT p.feed_id, 10, p.entry_ord, concat_ws(chr(9), 'E', id,
+    frag AS (
+      SELECT feed_id, 0 AS section, 0 AS a, 0 AS b, 'NWF1' || chr(10) || concat_ws(chr(9), 'F', feed_id, title, home, self,
+        epoch_ms(date_trunc('second', updated)) // 1000, '0') AS text FROM feeds
+      UNION ALL SELECT feed_id, CASE kind WHEN 'A' THEN 1 WHEN 'T' THEN 2 ELSE 3 END, 0, ref,
+        CASE WHEN ref = 0 THEN chr(10) || kind ELSE '' END || chr(9) || cell FROM dict
+      UNION ALL SELECT feed_id, 4, 0, 0, chr(10) || 'B' || chr(9) || 'https://copy.example/' FROM entries GROUP BY feed_id HAVING count(*) > 1
+      UNION ALL SELECT feed_id, 20, 0, 0, chr(10) FROM feeds
+      UNION ALL SELECT p.feed_id, 10, 0, p.entry_ord, chr(10) || concat_ws(chr(9), 'E', id,
         coalesce(CAST(epoch_ms(date_trunc('second', f.updated)) // 1000
           - epoch_ms(date_trunc('second', coalesce(p.updated, published))) // 1000 AS VARCHAR), '-'),
         CASE WHEN n > 1 THEN '~' || replace(link, 'https://copy.example/', '') ELSE link END, a.refs, coalesce(t.refs, ''),
         p.title, coalesce(replace(summary, chr(10), '\\n'), ''), '0')
-      FROM paged p JOIN feeds f ON p.feed_id = f.feed_id
-        JOIN (SELECT feed_id, count(*) AS n FROM paged GROUP BY feed_id) c ON c.feed_id = p.feed_id
+      FROM entries p JOIN feeds f ON p.feed_id = f.feed_id
+        JOIN (SELECT feed_id, count(*) AS n FROM entries GROUP BY feed_id) c ON c.feed_id = p.feed_id
         JOIN refs a ON a.feed_id = p.feed_id AND a.entry_ord = p.entry_ord AND a.kind = 'A'
-        LEFT JOIN refs t ON t.feed_id = p.feed_id AND t.entry_ord = p.entry_ord AND t.kind = 'T')
-    SELECT feed_id, 0 AS chunk_no, string_agg(line, chr(10) ORDER BY section, o) || chr(10) AS body FROM lines GROUP BY feed_id""",
+        LEFT JOIN refs t ON t.feed_id = p.feed_id AND t.entry_ord = p.entry_ord AND t.kind = 'T') """
+    + v.parts_sql(),
 )
 def _(spark, d):
-    return _doc(compact.write_compact(*_paged(spark, d)))
+    return _doc(compact.write_compact(*_sources(spark, d)))
 
 
 # ---- subscription lists and payloads ----
 
 
-def _blocks(spark, d):
-    block = F.floor(F.col("source_ord") / 100).cast("string")
-    return v.meshes(spark, d).withColumn("mesh_name", F.concat("mesh_name", F.lit("-"), block))
-
-
 OUTLINE = """'<outline type="rss" text="' || source_name || '" title="' || source_name || '" xmlUrl="' || source_url || '" htmlUrl="' || source_url || '"/>
 '"""
 OPML_HEAD = """'<?xml version="1.0" encoding="utf-8"?>
@@ -257,39 +259,42 @@ OPML_END = """'  </body>
     "opml_export",
     "WITH "
     + v.MESHES
-    + f"""SELECT mesh_name || '-' || (source_ord // 100) AS mesh_name, {OPML_HEAD.format("mesh_name || '-' || (source_ord // 100)")}
-      || string_agg('    ' || {OUTLINE}, '' ORDER BY source_ord) || {OPML_END} AS body FROM mesh GROUP BY mesh_name, source_ord // 100""",
+    + f""", frag AS (SELECT DISTINCT mesh_name, 0 AS section, 0 AS a, 0 AS b, {OPML_HEAD.format("mesh_name")} AS text FROM mesh
+      UNION ALL SELECT DISTINCT mesh_name, 20, 0, 0, {OPML_END} FROM mesh
+      UNION ALL SELECT mesh_name, 10, source_ord, 0, '    ' || {OUTLINE} FROM mesh) {v.parts_sql("mesh_name")}""",
 )
 def _(spark, d):
-    sources = _blocks(spark, d)
-    return opml.mesh_opml(sources.select("mesh_name").distinct(), sources).select("mesh_name", "body")
+    sources = v.meshes(spark, d)
+    return opml.mesh_opml(sources.select("mesh_name").distinct(), sources)
 
 
 @R.query(
     "opml_construct",
     "WITH "
     + v.MESHES
-    + f""", b AS (SELECT construct || '-' || (source_ord // 100) AS construct, mesh_ord, mesh_name, source_ord, source_name, source_url FROM mesh),
-    cat AS (SELECT construct, mesh_ord, CASE WHEN mesh_ord % 5 = 2 THEN '    <outline text="' || mesh_name || '" title="' || mesh_name || '"/>
-' ELSE '    <outline text="' || mesh_name || '" title="' || mesh_name || '">
-' || string_agg('      ' || {OUTLINE}, '' ORDER BY source_ord) || '    </outline>
-' END AS cat FROM b GROUP BY construct, mesh_ord, mesh_name)
-    SELECT construct, {OPML_HEAD.format("construct")} || string_agg(cat, '' ORDER BY mesh_ord) || {OPML_END} AS body FROM cat GROUP BY construct""",
+    + f""", cat AS (SELECT DISTINCT construct, mesh_ord, mesh_name FROM mesh),
+    frag AS (SELECT DISTINCT construct, 0 AS section, 0 AS a, 0 AS b, {OPML_HEAD.format("construct")} AS text FROM mesh
+      UNION ALL SELECT DISTINCT construct, 20, 0, 0, {OPML_END} FROM mesh
+      UNION ALL SELECT construct, 10, mesh_ord, -1, '    <outline text="' || mesh_name || '" title="' || mesh_name
+        || CASE WHEN mesh_ord % 5 = 2 THEN '"/>
+' ELSE '">
+' END FROM cat
+      UNION ALL SELECT construct, 10, mesh_ord, source_ord, '      ' || {OUTLINE} FROM mesh WHERE mesh_ord % 5 <> 2
+      UNION ALL SELECT construct, 10, mesh_ord, 4611686018427387904, '    </outline>
+' FROM cat WHERE mesh_ord % 5 <> 2) {v.parts_sql("construct")}""",
 )
 def _(spark, d):
-    block = F.floor(F.col("source_ord") / 100).cast("string")
-    rows = v.meshes(spark, d).withColumn("construct", F.concat("construct", F.lit("-"), block))
+    rows = v.meshes(spark, d)
     members = rows.select("construct", "mesh_ord", "mesh_name").distinct()
     inline = rows.filter(F.col("mesh_ord") % 5 != 2)
-    out = opml.construct_opml(rows.select("construct").distinct(), members, inline)
-    return out.select("construct", "body")
+    return opml.construct_opml(rows.select("construct").distinct(), members, inline)
 
 
 @R.query(
     "sink_payloads",
     P
     + """, top AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY entry_ord) AS k,
-        count(*) OVER (PARTITION BY feed_id) AS n FROM paged),
+        count(*) OVER (PARTITION BY feed_id) AS n FROM entries),
     txt AS (SELECT f.feed_id, any_value(f.title) || ': ' || any_value(n) || ' new' || chr(10)
         || string_agg('• ' || t.title || ' - ' || link, chr(10) ORDER BY entry_ord) FILTER (k <= 10)
         || CASE WHEN any_value(n) > 10 THEN chr(10) || '…and ' || (any_value(n) - 10) || ' more' ELSE '' END AS text
@@ -298,7 +303,7 @@ def _(spark, d):
     UNION ALL SELECT feed_id, 'discord', '{"content":' || to_json(substr(text, 1, 2000)) || '}' FROM txt""",
 )
 def _(spark, d):
-    feeds, pages = _paged(spark, d)
+    feeds, pages = _sources(spark, d)
     return payloads.chat_payloads(feeds, pages).select("feed_id", "kind", "body")
 
 

@@ -16,10 +16,12 @@ from feedspark.sinks import compact as compact_sink
 from feedspark.sinks import jsonfeed as jsonfeed_sink
 from feedspark.sinks import opml as opml_sink
 from feedspark.sinks import xmlfeeds as xml_sink
+from feedspark.sinks.assemble import whole
 from feedspark.sources import compact, dispatch, opml, raw
 
 R = Registry()
-P = "WITH " + ",".join([v.ENTRIES, v.PAGED, v.PAGED_FEEDS])
+P = "WITH " + ",".join([v.ENTRIES, v.PAGED, v.headers_sql("paged")])
+W = "WITH " + ",".join([v.ENTRIES, v.headers_sql("entries")])
 STRIP = "trim(regexp_replace(summary, '\\s+', ' ', 'g'))"
 FILLED = f"CASE WHEN id = '' THEN 'urn:nwf:' || {v.fnv_sql('link || chr(10) || title')} ELSE id END"
 POS = "row_number() OVER (PARTITION BY feed_id ORDER BY entry_ord) - 1"
@@ -29,11 +31,16 @@ PEOPLE = "array_to_string(authors, '|')"
 
 def _paged(spark, d):
     pages = v.paged(v.entries(spark, d))
-    return v.paged_feeds(pages), pages
+    return v.headers(pages), pages
+
+
+def _sources(spark, d):
+    entries = v.entries(spark, d)
+    return v.headers(entries), entries
 
 
 def _docs(written):
-    return written.select(F.col("feed_id").alias("final_url"), "body", F.lit("").alias("content_type"))
+    return whole(written).select(F.col("feed_id").alias("final_url"), "body", F.lit("").alias("content_type"))
 
 
 def _read(fmt, docs):
@@ -181,7 +188,7 @@ def _mixed(spark, d):
         _docs(xml_sink.write_atom(pick(feeds, 1), pick(pages, 1))),
         _docs(jsonfeed_sink.write_jsonfeed(pick(feeds, 2), pick(pages, 2))),
         _rdf(pick(pages, 3)),
-        _docs(pick(feeds, 4).withColumn("body", F.concat(F.lit("plain text of "), "title"))),
+        _docs(pick(feeds, 4).withColumn("body", F.concat(F.lit("plain text of "), "title")).withColumn("part_no", F.lit(0))),
     ]
     out = written[0]
     for df in written[1:]:
@@ -224,7 +231,7 @@ def _(spark, d):
 
 @R.query(
     "nwf_roundtrip",
-    P
+    W
     + _flat_sql(
         "NULL::TIMESTAMP",
         "date_trunc('second', coalesce(updated, published))",
@@ -233,11 +240,10 @@ def _(spark, d):
         ", source_name, source_url",
         ids="id",
     )
-    + " FROM paged",
+    + " FROM entries",
 )
 def _(spark, d):
-    docs = _docs(compact_sink.write_compact(*_paged(spark, d)))
-    _, entries, _ = compact.read_compact(docs)
+    _, entries, _ = compact.read_compact_parts(compact_sink.write_compact(*_sources(spark, d)))
     return entries.select(
         F.col("source_url").alias("feed_id"),
         F.col("entry_ord").alias("pos"),
@@ -256,12 +262,12 @@ def _(spark, d):
 
 @R.query(
     "nwf_feeds",
-    P
+    W
     + """SELECT feed_id, title, home, self, epoch_ms(date_trunc('second', updated)) AS updated_ms,
       'Desk & Co,https://desk.example/,desk@example.org' AS author FROM feeds""",
 )
 def _(spark, d):
-    feeds, _, _ = compact.read_compact(_docs(compact_sink.write_compact(*_paged(spark, d))))
+    feeds, _, _ = compact.read_compact_parts(compact_sink.write_compact(*_sources(spark, d)))
     a = F.col("authors").getItem(0)
     author = F.concat_ws(",", a["name"], a["url"], a["email"])
     return feeds.select("feed_id", "title", "home", "self", v.ms(F.col("updated")).alias("updated_ms"), author.alias("author"))
@@ -330,15 +336,14 @@ def _(spark, d):
     "opml_import",
     "WITH "
     + v.MESHES
-    + """, b AS (SELECT *, construct || '-' || (source_ord // 100) AS doc FROM mesh)
-    SELECT doc AS mesh_name, row_number() OVER (PARTITION BY doc ORDER BY mesh_ord, source_ord) - 1 AS source_ord, source_name, source_url FROM b""",
+    + """SELECT construct AS mesh_name, row_number() OVER (PARTITION BY construct ORDER BY mesh_ord, source_ord) - 1 AS source_ord,
+      source_name, source_url FROM mesh""",
 )
 def _(spark, d):
-    block = F.floor(F.col("source_ord") / 100).cast("string")
-    rows = v.meshes(spark, d).withColumn("construct", F.concat("construct", F.lit("-"), block))
+    rows = v.meshes(spark, d)
     members = rows.select("construct", "mesh_ord", "mesh_name").distinct()
     written = opml_sink.construct_opml(rows.select("construct").distinct(), members, rows)
-    docs = written.select(F.col("construct").alias("final_url"), "body")
+    docs = whole(written, ["construct"]).withColumnRenamed("construct", "final_url")
     sources, _ = opml.read_opml(docs)
     return sources.select("mesh_name", F.col("source_ord").cast("long").alias("source_ord"), "source_name", "source_url")
 

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from feedspark.functions.dates import millis
 from feedspark.model import PERSON
 from feedspark.session import utc
+from feedspark.sinks.assemble import PART_BYTES
 
 NOW = datetime(2024, 2, 1, 12, 0, tzinfo=timezone.utc)
 NOW_SQL = "TIMESTAMP '2024-02-01 12:00:00'"
 PAGE_IDS = 500
-"""A feed document covers one source and this many consecutive ids, so its size is bounded."""
+"""A fetched document is one row, so it covers one source and this many consecutive ids.
+
+Written documents cover whole sources: they come in numbered parts.
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +91,8 @@ paged AS (SELECT * REPLACE (feed_id || '/' || (entry_ord // {PAGE_IDS}) AS feed_
 """
 
 
-def paged_feeds(pages: DataFrame) -> DataFrame:
-    """One header per paged feed."""
+def headers(pages: DataFrame) -> DataFrame:
+    """One header per feed."""
     return (
         pages.groupBy("feed_id")
         .agg(F.max(F.coalesce("updated", "published")).alias("updated"))
@@ -110,15 +114,24 @@ def paged_feeds(pages: DataFrame) -> DataFrame:
     )
 
 
-PAGED_FEEDS = f"""
+def headers_sql(entries: str) -> str:
+    return f"""
 feeds AS (
   SELECT feed_id, 'Feed ' || feed_id AS title, 'https://feeds.example/' || feed_id AS home,
     'https://feeds.example/' || feed_id || '/self' AS self,
     coalesce(max(coalesce(updated, published)), {NOW_SQL}) AS updated
-  FROM paged GROUP BY feed_id)
+  FROM {entries} GROUP BY feed_id)
 """
 
 
+def parts_sql(keys: str = "feed_id") -> str:
+    """Documents in numbered parts from ``frag``: the keys, section, a, b and text."""
+    return f"""SELECT {keys}, part_no, string_agg(text, '' ORDER BY section, a, b) AS body FROM (
+      SELECT *, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY {keys} ORDER BY section, a, b
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {PART_BYTES} AS part_no FROM frag)
+      GROUP BY {keys}, part_no"""
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders under customers (sources), nations (meshes) and regions (constructs)."""
     region, nation, customer, orders = (

@@ -1,8 +1,9 @@
 """Documents put together from ordered text fragments.
 
-Every writer emits one fragment per entry (plus heads and tails) with an explicit order.
-Assembly gathers the fragments of a feed into one body; a feed with more fragments than
-one task should hold comes out as numbered chunks whose concatenation is the document.
+Every writer emits one fragment per entry (plus heads and tails) with an explicit order. A
+document is a run of numbered parts: a fragment belongs to the part in whose range of
+``PART_BYTES`` bytes it starts. So a part holds at most that many bytes and one fragment
+more, and a document of any size has one shape. The parts in order are the document.
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.operators.ranking import peak_size, spread_positions
-from feedspark.session import materialize
+from feedspark.operators.ranking import running_sums
 
-CHUNK_ROWS = 50_000
+PART_BYTES = 64 << 10
 HEAD, ITEMS, TAIL = 0, 10, 20
 ORDER = ["section", "a", "b"]
 
@@ -35,44 +35,54 @@ def assemble(
     keys: list[str],
     separator: str = "",
     peak: int | None = None,
-    chunk_rows: int | None = None,
+    part_bytes: int | None = None,
 ) -> DataFrame:
-    """``keys``, ``chunk_no`` and ``body``; ``separator`` goes between items only.
+    """``keys``, ``part_no`` and ``body``; ``separator`` goes between items only.
 
-    Group sizes are checked first (``peak`` is a known bound on them). Groups beyond
-    ``chunk_rows`` are numbered by the spread ranking and cut into chunks, so no task
-    ever holds more than one chunk.
+    ``peak`` is a known bound on the fragments of a document.
     """
-    chunk_rows = chunk_rows or CHUNK_ROWS
-    whole = fragments.withColumn("chunk_no", F.lit(0).cast("long"))
-    if (peak_size(fragments, keys) if peak is None else peak) > chunk_rows:
-        sizes = fragments.groupBy(*keys).agg(F.count("*").alias("_n"))
-        large = materialize(sizes.filter(F.col("_n") > chunk_rows).select(*keys))
-        numbered = spread_positions(
-            fragments.join(large, keys, "left_semi"), keys, [F.col(c) for c in ORDER], "_pos"
-        )
-        cut = numbered.withColumn("chunk_no", F.floor(F.col("_pos") / chunk_rows)).drop("_pos")
-        whole = whole.join(large, keys, "left_anti").unionByName(cut)
-
-    grouped = whole.groupBy(*keys, "chunk_no").agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, "text"))).alias("_parts")
-    )
+    text, start = F.col("text"), F.col("_start")
+    sums = {"_start": F.octet_length("text")}
+    if separator:
+        item = F.col("section") == ITEMS
+        sums["_items"] = item.cast("long")
+        text = F.when(item & (F.col("_items") > 0), F.concat(F.lit(separator), "text")).otherwise(text)
+        start = start + F.greatest(F.col("_items") - 1, F.lit(0)) * len(separator.encode())
+    placed = running_sums(fragments, keys, [F.col(c) for c in ORDER], sums, peak)
+    part = F.floor(start / (part_bytes or PART_BYTES)).cast("long").alias("part_no")
+    parts = placed.select(*keys, part, F.struct(*ORDER, text.alias("text")).alias("_f"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("_f")), lambda f: f["text"]), "")
+    return parts.groupBy(*keys, "part_no").agg(body.alias("body"))
+
+
+def whole(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Put the parts of documents together again: ``keys`` and ``body``.
+
+    A reader that needs a document in one row is bound to what a row can hold; readers by
+    lines take the parts as they are.
+    """
+    keys = keys or ["feed_id"]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "body"))), lambda p: p["body"]), "")
+    return parts.groupBy(*keys).agg(body.alias("body"))
+
 
-    def joined(keep, sep: str) -> Column:
-        return F.array_join(F.transform(F.filter("_parts", keep), lambda p: p["text"]), sep)
-
-    is_item = lambda p: p["section"] == ITEMS
-    lead = F.when(
-        (F.col("chunk_no") > 0) & F.exists("_parts", is_item), F.lit(separator)
-    ).otherwise(F.lit(""))
-    body = (
-        F.concat(
-            joined(lambda p: p["section"] < ITEMS, ""),
-            lead,
-            joined(is_item, separator),
-            joined(lambda p: p["section"] > ITEMS, ""),
-        )
-        if separator
-        else joined(lambda p: F.lit(True), "")
+def lines(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, line_no, line`` of documents given as parts, of any size.
+
+    Breaks are counted per part, and only the first and the last piece of a part can belong
+    to a line that others share; those alone are grouped.
+    """
+    split = parts.select(*keys, "part_no", F.split("body", "\n").alias("_pieces"))
+    counted = parts.select(*keys, "part_no", F.regexp_count("body", F.lit("\n")).cast("long").alias("_breaks"))
+    before = running_sums(counted, keys, [F.col("part_no")], {"_before": F.col("_breaks")})
+    pieces = split.join(before, [*keys, "part_no"]).select(*keys, "part_no", "_before", "_breaks", F.posexplode("_pieces").alias("_i", "line"))
+    line_no = (F.col("_before") + F.col("_i")).alias("line_no")
+    shared = (F.col("_i") == 0) | (F.col("_i") == F.col("_breaks"))
+    own = pieces.filter(~shared).select(*keys, line_no, "line")
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "line")))
+    joined = (
+        pieces.filter(shared)
+        .groupBy(*keys, line_no)
+        .agg(F.array_join(F.transform(ordered, lambda p: p["line"]), "").alias("line"))
     )
-    return grouped.select(*keys, "chunk_no", body.alias("body"))
+    return own.unionByName(joined)

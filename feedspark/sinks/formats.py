@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.sinks.assemble import PART_BYTES
+from feedspark.sinks.feedfiles import NAME, FeedFiles
+
 # Format keys with media types and file extensions.
 MEDIA_TYPES = {
     "atom": "application/atom+xml; charset=utf-8",
@@ -22,7 +25,7 @@ def is_format(name: str) -> bool:
 
 
 def serialize(feeds: DataFrame, entries: DataFrame, fmt: str) -> DataFrame:
-    """Documents of one format: feed_id, chunk_no, media_type, extension, body."""
+    """Documents of one format: feed_id, part_no, media_type, extension, body."""
     from feedspark.sinks import compact, jsonfeed, markdown, xmlfeeds
 
     writers = {
@@ -36,13 +39,25 @@ def serialize(feeds: DataFrame, entries: DataFrame, fmt: str) -> DataFrame:
         raise ValueError(f'unknown format "{fmt}". Use one of: {", ".join(FORMATS)}')
     return writers[fmt](feeds, entries).select(
         "feed_id",
-        "chunk_no",
+        "part_no",
         F.lit(MEDIA_TYPES[fmt]).alias("media_type"),
         F.lit(EXTENSIONS[fmt]).alias("extension"),
         "body",
     )
 
 
-def save(documents: DataFrame, path: str) -> None:
-    """Write documents as a table, one folder per extension."""
-    documents.write.mode("overwrite").partitionBy("extension").parquet(path)
+def save(documents: DataFrame, path: str, overwrite: bool = True) -> None:
+    """Write documents as files, one per feed, whatever their size.
+
+    A feed is streamed by one task, part by part.
+    """
+    documents.sparkSession.dataSource.register(FeedFiles)
+    parts = documents.select("feed_id", "extension", "part_no", "body")
+    dealt = parts.repartition("feed_id", "extension").sortWithinPartitions("feed_id", "extension", "part_no")
+    dealt.write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
+
+
+def load(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The files of a folder as documents in numbered parts: ``feed_id``, ``part_no``, ``body``."""
+    spark.dataSource.register(FeedFiles)
+    return spark.read.format(NAME).option("part_bytes", part_bytes).load(path)

@@ -55,8 +55,7 @@ def item(indent: str = "    ") -> Column:
     return F.concat(F.lit(f"{indent}{{\n"), _members(inner, fields), F.lit(f"\n{indent}}}"))
 
 
-def write_jsonfeed(feeds: DataFrame, entries: DataFrame, keys: list[str] = KEYS, most: int | None = None) -> DataFrame:
-    """One document for each value of ``keys``; with ``most``, a bound on its entries, it is one row."""
+def write_jsonfeed(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     c = F.col
     given = lambda name, value: F.when(value.isNotNull(), _pair("  ", name, value))
     fields = [
@@ -67,7 +66,7 @@ def write_jsonfeed(feeds: DataFrame, entries: DataFrame, keys: list[str] = KEYS,
         _list("  ", "authors", c("authors"), _author("    ")),
     ]
     counted = feeds.join(
-        entries.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left"
+        entries.groupBy(*KEYS).agg(F.count("*").alias("_n")), KEYS, "left"
     )
     filled = c("_n").isNotNull()
     head = F.concat(
@@ -77,9 +76,8 @@ def write_jsonfeed(feeds: DataFrame, entries: DataFrame, keys: list[str] = KEYS,
         F.when(filled, "\n").otherwise(""),
     )
     tail = F.when(filled, "\n  ]\n}\n").otherwise("]\n}\n")
-    heads = counted.select(*fragment(keys, HEAD, head))
-    tails = counted.select(*fragment(keys, TAIL, tail))
-    items = entries.select(*fragment(keys, ITEMS, item(), c("part_ord"), c("entry_ord")))
-    bound = peak(entries) if most is None else most + 2
+    heads = counted.select(*fragment(KEYS, HEAD, head))
+    tails = counted.select(*fragment(KEYS, TAIL, tail))
+    items = entries.select(*fragment(KEYS, ITEMS, item(), c("part_ord"), c("entry_ord")))
     rows = heads.unionByName(items).unionByName(tails)
-    return assemble(rows, keys, separator=SEPARATOR, peak=bound, chunk_rows=None if most is None else bound)
+    return assemble(rows, KEYS, separator=SEPARATOR, peak=peak(entries))

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.text import json_string
 from feedspark.model import ORDINALS
-from feedspark.operators.ranking import positions
 from feedspark.sinks.jsonfeed import write_jsonfeed
 
 SHOWN = 10
 # The content limit of one chat service.
 CONTENT_LIMIT = 2000
-MOST_ENTRIES = 10_000
-"""Entries in one webhook body."""
 
 
 def sink_kind(url: Column) -> Column:
@@ -72,18 +69,15 @@ def chat_payloads(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def webhook_payloads(feeds: DataFrame, entries: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
-    """The new entries as JSON Feed documents; feeds without entries send nothing.
+def webhook_payloads(feeds: DataFrame, entries: DataFrame) -> DataFrame:
+    """The new entries of a feed as one JSON Feed document; feeds without entries send nothing.
 
-    ``chunk_no`` numbers the bodies of a feed: each is a complete document of at most
-    ``most`` entries, and together they hold all entries in order.
+    A body comes in numbered parts, like every written document.
     """
-    placed = positions(entries, ["feed_id"], [F.col(c) for c in ORDINALS], "_pos")
-    numbered = placed.withColumn("body_no", F.floor(F.col("_pos") / most)).drop("_pos")
-    active = feeds.join(numbered.select("feed_id", "body_no").distinct(), "feed_id")
-    return write_jsonfeed(active, numbered, ["feed_id", "body_no"], most).select(
+    active = feeds.join(entries.select("feed_id").distinct(), "feed_id")
+    return write_jsonfeed(active, entries).select(
         "feed_id",
-        F.col("body_no").alias("chunk_no"),
+        "part_no",
         F.lit("webhook").alias("kind"),
         F.lit("application/feed+json").alias("content_type"),
         "body",

@@ -97,8 +97,8 @@ class Watch:
             body = webhook_payloads(feeds, entries)
         else:
             body = chat_payloads(feeds, entries).filter(F.col("kind") == kind)
-            body = body.withColumn("chunk_no", F.lit(0).cast("long"))
-        outbox = body.select(F.lit(url).alias("sink"), "kind", "content_type", "chunk_no", "body")
+            body = body.withColumn("part_no", F.lit(0).cast("long"))
+        outbox = body.select(F.lit(url).alias("sink"), "kind", "content_type", "part_no", "body")
         outbox.write.mode("overwrite").parquet(self.part(f"outbox/sink={folder}", batch_id))
 
     def start(

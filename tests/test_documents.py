@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedspark.plans.extraction import BROKEN
@@ -146,14 +147,87 @@ def test_markdown_of_bare_entries(spark):
 
 
 @pytest.mark.parametrize("fmt", formats.FORMATS)
-def test_large_feeds_come_in_chunks(spark, rich, fmt, monkeypatch):
-    rows = entries(spark, *[{"tags": [f"t{i % 5}"], "summary": f"s{i}"} for i in range(57)])
+def test_large_feeds_come_in_parts(spark, rich, fmt, monkeypatch):
+    rows = entries(spark, *[{"tags": [f"t{i % 5}"], "summary": f"s{i} é"} for i in range(57)])
     whole = formats.serialize(rich[0], rows, fmt).first()
-    monkeypatch.setattr(assemble, "CHUNK_ROWS", 10)
-    parts = formats.serialize(rich[0], rows, fmt).orderBy("chunk_no").collect()
+    monkeypatch.setattr(assemble, "PART_BYTES", 300)
+    parts = formats.serialize(rich[0], rows, fmt).orderBy("part_no").collect()
     assert len(parts) > 5
     assert "".join(p["body"] for p in parts) == whole["body"]
     assert (parts[0]["media_type"], parts[0]["extension"]) == (formats.MEDIA_TYPES[fmt], formats.EXTENSIONS[fmt])
+    again = assemble.whole(formats.serialize(rich[0], rows, fmt)).first()
+    assert again["body"] == whole["body"]
+
+
+@pytest.fixture(scope="module")
+def long_feed(spark):
+    """120,000 entries, with letters of one to four bytes and breaks inside fields."""
+    n, k = F.col("id"), F.col("id").cast("string")
+    given = spark.range(120_000).select(
+        F.lit("f/ö").alias("feed_id"),
+        (n % 3).cast("int").alias("part_ord"),
+        n.alias("entry_ord"),
+        F.concat(F.lit("urn:"), k).alias("id"),
+        F.concat(F.lit("Title é😀 "), k).alias("title"),
+        F.concat(F.lit("https://h.example/"), k).alias("link"),
+        F.lit(None).cast("timestamp").alias("published"),
+        F.timestamp_seconds(n + 1_700_000_000).alias("updated"),
+        F.when(n % 2 == 0, F.concat(F.lit("first\n\tsecond "), k)).alias("summary"),
+        F.array(F.struct(F.concat(F.lit("a"), (n % 700).cast("string")).alias("name"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("email"))).alias("authors"),
+        F.when(n % 5 != 0, F.array(F.concat(F.lit("t"), (n % 11).cast("string")), F.lit("all"))).alias("tags"),
+        F.struct(F.lit("S").alias("name"), F.lit("https://s.example/").alias("url")).alias("source"),
+    )
+    return feed(spark, feed_id="f/ö"), given
+
+
+@pytest.mark.parametrize("fmt", formats.FORMATS)
+def test_documents_of_any_size_are_files_and_read_back(spark, long_feed, fmt, tmp_path):
+    parts = formats.serialize(*long_feed, fmt)
+    rows = parts.orderBy("part_no").collect()
+    bound = max(len(r["body"].encode()) for r in rows)
+    assert len(rows) > 100 and bound <= assemble.PART_BYTES + 1000 * (20 if fmt == "nwf" else 1)
+    body = "".join(r["body"] for r in rows)
+    formats.save(parts, str(tmp_path))
+    files = [p for p in tmp_path.iterdir() if p.is_file()]
+    assert [p.name for p in files] == [f"f%2F%C3%B6.{formats.EXTENSIONS[fmt]}"]
+    assert files[0].read_text(encoding="utf-8") == body
+    read = formats.load(spark, str(tmp_path), part_bytes=1 << 16)
+    assert assemble.whole(read).first()["body"] == body
+    assert read.select("feed_id").distinct().collect()[0][0] == "f/ö"
+
+
+def test_compact_documents_of_any_size_read_back_by_lines(spark, long_feed, tmp_path):
+    feeds, given = long_feed
+    written = formats.serialize(feeds, given, "nwf")
+    formats.save(written, str(tmp_path))
+    read = formats.load(spark, str(tmp_path), part_bytes=1 << 14)
+    got_feeds, got, rejects = compact_source.read_compact_parts(read)
+    assert rejects.count() == 0 and got_feeds.first()["authors"] is None
+    names = ["id", "title", "link", "updated", "summary", "authors", "tags", "source"]
+    ordered = given.withColumn("entry_ord", F.row_number().over(Window.orderBy("part_ord", "entry_ord")) - 1)
+    assert got.count() == 120_000
+    want = ordered.select("entry_ord", *names)
+    assert got.select(F.col("entry_ord").cast("int"), *names).exceptAll(want).count() == 0
+
+
+def test_both_compact_readers_agree(spark, rich):
+    feeds, rows = rich
+    written = formats.serialize(feeds, rows, "nwf")
+    broken = spark.createDataFrame([("bad", 0, "NWF2\n"), ("odd", 0, "NWF1\nT\tx\nT\ty\tz\nE\ti\tq\t~l\t9,z\t1,0,7\ttitle\nE"), ("empty", 0, "")], "feed_id string, part_no int, body string")
+    parts = written.select("feed_id", "part_no", "body").unionByName(broken)
+    small = parts.select("feed_id", F.posexplode(F.split(F.regexp_replace("body", "(?s)(.{7})", "$1\0"), "\0")).alias("part_no", "body"))
+    docs_ = parts.select(F.col("feed_id").alias("final_url"), "body")
+    for one, two in zip(compact_source.read_compact(docs_), compact_source.read_compact_parts(small), strict=True):
+        two = two.select(*[F.col(c).cast(one.schema[c].dataType) for c in one.columns])
+        assert one.count() == two.count() and one.exceptAll(two).count() == 0
+
+
+def test_parts_that_are_out_of_place_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 0, "a", "md"), ("g", 0, "b", "md"), ("f", 1, "c", "md")], "feed_id string, part_no long, body string, extension string")
+    spark.dataSource.register(formats.FeedFiles)
+    with pytest.raises(Exception, match="not together"):
+        rows.coalesce(1).write.format(formats.NAME).mode("overwrite").save(str(tmp_path))
+    assert [p for p in tmp_path.iterdir() if p.is_file()] == []
 
 
 def test_unknown_format(spark, rich):
@@ -189,13 +263,10 @@ def test_messages(spark):
     assert payloads.webhook_payloads(feed(spark), rows.limit(0)).count() == 0
 
 
-def test_webhook_bodies_are_whole_documents(spark, monkeypatch):
-    monkeypatch.setattr(assemble, "CHUNK_ROWS", 10)
+def test_a_webhook_body_is_one_document(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "PART_BYTES", 500)
     rows = entries(spark, *[{} for _ in range(25)])
-    bodies = payloads.webhook_payloads(feed(spark), rows).collect()
-    assert [len(json.loads(b["body"])["items"]) for b in bodies] == [25]
-    parts = payloads.webhook_payloads(feed(spark), rows, most=10).orderBy("chunk_no").collect()
-    assert [p["chunk_no"] for p in parts] == [0, 1, 2]
-    read = [json.loads(p["body"]) for p in parts]
-    assert {d["title"] for d in read} == {"Feed"}
-    assert [i["id"] for d in read for i in d["items"]] == [f"id{k}" for k in range(25)]
+    parts = payloads.webhook_payloads(feed(spark), rows)
+    assert parts.count() > 3 and {r["content_type"] for r in parts.collect()} == {"application/feed+json"}
+    read = json.loads(assemble.whole(parts).first()["body"])
+    assert read["title"] == "Feed" and [i["id"] for i in read["items"]] == [f"id{k}" for k in range(25)]
