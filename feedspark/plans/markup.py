@@ -239,6 +239,35 @@ def _(spark, d):
     return out.select("origin", F.coalesce("source_url", F.lit("-")).alias("source_url"), F.coalesce("strategy", F.lit("-")).alias("strategy"))
 
 
+CHAIN = 23
+
+
+@R.query(
+    "link_chains",
+    f"""WITH RECURSIVE s AS (SELECT doc_id, 'u' || doc_id AS url,
+        CASE WHEN doc_id % {CHAIN} < {CHAIN - 1} THEN 'u' || (doc_id + 1) WHEN doc_id // {CHAIN} % 3 = 0 THEN 'u' || (doc_id - 15)
+          WHEN doc_id // {CHAIN} % 3 = 1 THEN NULL ELSE 'u' || (doc_id - {CHAIN - 1}) END AS feed_url,
+        CASE WHEN n_chars % 4 = 0 THEN 'o' || (doc_id % 5) END AS outcome FROM documents),
+      walk AS (SELECT url AS origin, url AS at, [url] AS met, outcome, url AS found, feed_url FROM s
+        UNION ALL
+        SELECT w.origin, s.url, list_append(met, s.url), coalesce(s.outcome, w.outcome),
+          CASE WHEN s.outcome IS NOT NULL THEN s.url ELSE found END, s.feed_url
+        FROM walk w JOIN s ON s.url = w.feed_url WHERE NOT list_contains(met, s.url))
+    SELECT origin, len(met) - 1 AS hops, coalesce(CASE WHEN outcome IS NOT NULL THEN found END, '-') AS source_url, coalesce(outcome, '-') AS strategy
+    FROM walk QUALIFY row_number() OVER (PARTITION BY origin ORDER BY len(met) DESC) = 1""",
+)
+def _(spark, d):
+    key, turn = F.col("doc_id"), F.floor(F.col("doc_id") / CHAIN) % 3
+    url = lambda k: F.concat(F.lit("u"), k.cast("string"))
+    state = v.table(spark, d, "documents").select(
+        url(key).alias("source_url"),
+        F.when(key % CHAIN < CHAIN - 1, url(key + 1)).when(turn == 0, url(key - 15)).when(turn == 2, url(key - (CHAIN - 1))).alias("feed_url"),
+        F.when(F.col("n_chars") % 4 == 0, F.concat(F.lit("o"), (key % 5).cast("string"))).alias("outcome"),
+    )
+    out = cascade.follow_links(state, None)
+    return out.select("origin", "hops", F.coalesce("source_url", F.lit("-")).alias("source_url"), F.coalesce("strategy", F.lit("-")).alias("strategy"))
+
+
 def _rss():
     items = F.transform(
         F.filter(F.transform(_lines(), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.trim(s["x"]) != ""),

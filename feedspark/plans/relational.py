@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from feedspark.functions import dates, ids, text
-from feedspark.operators import diff, filters, merge, overview, refine
+from feedspark.operators import diff, filters, merge, overview, refine, search
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
 
@@ -98,6 +98,35 @@ def _(spark, d):
     return brief(filters.filter_by_rules_table(v.entries(spark, d), rules))
 
 
+@R.query(
+    "filter_rules_many",
+    E1
+    + """, rules AS (SELECT DISTINCT CASE WHEN entry_ord % 7 = 3 THEN 'exclude' ELSE 'include' END AS kind,
+        CASE entry_ord % 3 WHEN 0 THEN 'summary' ELSE 'title' END AS field, entry_ord % 5 = 0 AS regex,
+        CASE WHEN entry_ord % 5 = 0 THEN '\\b' || substr(word, 1, 4) || '[a-z]*' || substr(word, 6) || ' ' ELSE upper(word) END AS pattern
+      FROM (SELECT entry_ord, regexp_extract(title, '[A-Za-z]{6,}[ a-z]+', 0) AS word FROM entries) WHERE length(word) >= 6),
+    texts AS (SELECT entry_ord, 'title' AS field, title AS value FROM entries UNION ALL
+      SELECT entry_ord, 'summary', coalesce(summary, '') FROM entries),
+    hits AS (SELECT entry_ord, bool_or(kind = 'include') AS wanted, bool_or(kind = 'exclude') AS unwanted
+      FROM texts JOIN rules ON texts.field = rules.field AND CASE WHEN regex THEN regexp_matches(value, pattern, 'i') ELSE contains(lower(value), lower(pattern)) END
+      GROUP BY entry_ord)
+    SELECT entry_ord, id, title, link FROM entries JOIN hits USING (entry_ord) WHERE wanted AND NOT unwanted""",
+)
+def _(spark, d):
+    entries = v.entries(spark, d)
+    key = F.col("entry_ord")
+    words = entries.select(key, F.regexp_extract("title", "[A-Za-z]{6,}[ a-z]+", 0).alias("word")).filter(F.length("word") >= 6)
+    regex = key % 5 == 0
+    expression = F.concat(F.lit("\\b"), F.substring("word", 1, 4), F.lit("[a-z]*"), F.expr("substring(word, 6)"), F.lit(" "))
+    rules = words.select(
+        F.when(key % 7 == 3, "exclude").otherwise("include").alias("kind"),
+        F.when(key % 3 == 0, "summary").otherwise("title").alias("field"),
+        F.when(regex, expression).otherwise(F.upper("word")).alias("pattern"),
+        regex.alias("regex"),
+    )
+    return brief(filters.filter_by_rules_table(entries, rules))
+
+
 @R.query(
     "filter_tally",
     E1 + f"SELECT feed_id, count(*) FILTER ({RULES_SQL}) AS kept, count(*) AS given FROM entries GROUP BY feed_id",
@@ -123,6 +152,33 @@ def _(spark, d):
     return brief(filters.search_entries(v.entries(spark, d), " Click User", hay))
 
 
+HAY_SQL = "lower(array_to_string(list_concat([title, coalesce(summary, ''), source_name], tags, authors), ' '))"
+
+
+@R.query(
+    "search_many",
+    E1
+    + f""", queries AS (SELECT DISTINCT '  ' || upper(event_type) || ' user ' || (user_id // 4) AS query FROM events
+        UNION ALL SELECT DISTINCT 'r' || substr(n_name, 1, 1) FROM nation)
+    SELECT query, count(*) AS n, min(entry_ord) AS first_entry, max(entry_ord) AS last_entry
+    FROM queries JOIN entries ON contains({HAY_SQL}, lower(trim(query))) GROUP BY query""",
+)
+def _(spark, d):
+    hay = text.haystack(
+        F.col("title"), F.col("summary"), F.col("source.name"), F.col("tags"), F.transform("authors", lambda a: a["name"])
+    )
+    haystacks = v.entries(spark, d).select(F.col("entry_ord").alias("row"), hay.alias("text"))
+    events, nation = v.table(spark, d, "events"), v.table(spark, d, "nation")
+    user = F.floor(F.col("user_id") / 4).cast("string")
+    queries = events.select(F.concat(F.lit("  "), F.upper("event_type"), F.lit(" user "), user).alias("query")).unionByName(
+        nation.select(F.concat(F.lit("r"), F.substring("n_name", 1, 1)).alias("query"))
+    )
+    found = search.search(haystacks, queries)
+    return found.groupBy("query").agg(
+        F.count("*").alias("n"), F.min("row").alias("first_entry"), F.max("row").alias("last_entry")
+    )
+
+
 # ---- windows and sorts ----
 
 WEEK = refine.resolve_window(datetime(2024, 1, 18, 9, tzinfo=timezone.utc), this_week=True)

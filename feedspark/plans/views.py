@@ -36,7 +36,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     users = F.array(person(F.concat(F.lit("user "), F.col("user_id").cast("string"))))
     editors = F.array(person(F.concat(F.lit("editor "), F.col("lang"))))
-    first_line = F.trim(F.substring(F.substring_index("text", "\n", 1), 1, 120))
+    first_line = F.trim(F.substring_index("text", "\n", 1))
     return docs.join(events, docs.doc_id == events.event_id).select(
         F.col("source").alias("feed_id"),
         F.substring("source", 4, 20).cast("int").alias("part_ord"),
@@ -66,7 +66,7 @@ ENTRIES = f"""
 entries AS (
   SELECT source AS feed_id, CAST(substr(source, 4) AS BIGINT) AS part_ord, doc_id AS entry_ord,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'urn:doc:' || doc_id END AS id,
-    coalesce(nullif(trim(substr(split_part(text, chr(10), 1), 1, 120)), ''), 'Untitled') AS title,
+    coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), 'Untitled') AS title,
     'https://copy.example/' || md5(text) AS link,
     CASE WHEN doc_id % 11 <> 0 THEN date_trunc('millisecond', ts) END AS published,
     CASE WHEN doc_id % 3 = 0

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from feedspark.functions.binding import let
 from feedspark.functions.text import decode_text
 from feedspark.model import RAW_DOCUMENT, present
-from feedspark.operators.merge import dedup_first
+from feedspark.operators.ranking import running_sums
+from feedspark.session import materialize
 
 SNIFFED = 2000
+"""Characters of a body that are looked at where the content type does not tell its kind."""
 # Document kinds.
 KINDS = ("atom", "rss", "rdf", "jsonfeed", "html")
 
@@ -37,8 +39,8 @@ def scan_files(spark: SparkSession, path: str, content_type: str = "") -> DataFr
     )
 
 
-def detect_kind(content_type: Column, body: Column) -> Column:
-    """Kind by content type, else by the first 2000 characters."""
+def detect_kind(content_type: Column, body: Column, sniffed: int = SNIFFED) -> Column:
+    """Kind by content type, else by the first ``sniffed`` characters."""
     declared = F.lower(F.coalesce(content_type, F.lit("")))
 
     def sniff(head: Column) -> Column:
@@ -56,28 +58,44 @@ def detect_kind(content_type: Column, body: Column) -> Column:
             .otherwise("html")
         )
 
-    return let(F.lower(F.substring(body, 1, SNIFFED)), sniff)
+    return let(F.lower(F.substring(body, 1, sniffed)), sniff)
+
+
+CARRIED = ["final_url", "content_type", "body", "etag", "last_modified"]
 
 
 def carry_forward(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Fill documents that were not modified from the latest earlier snapshot.
+    """Fill documents that were not modified from the latest snapshot before their own time.
 
-    Status 304 takes body, content type and final URL of the previous document of the
-    same requested URL; other rows stay as fetched. Only documents that are asked for
-    leave the previous snapshots, and each task keeps its latest one before the shuffle.
+    Status 304 takes body, content type and final URL of the document of the same requested
+    URL that was stored last, not after it; both tables may hold many snapshots of a URL.
+    Other rows stay as fetched, also those without a URL. Of several documents of one time
+    the one with the greatest entity tag, then body, counts.
+
+    Questions and stored documents are sorted together by URL and time, with one narrow row
+    for each, and numbered by the documents so far; a question has the number of its answer.
+    So no pairs of snapshots are formed, and a URL with too many rows for one task spans many.
     """
-    kept = ["final_url", "content_type", "body", "etag", "last_modified"]
-    wanted = current.filter(F.col("http_status") == 304).select("requested_url").distinct()
-    stored = previous.filter(F.col("body").isNotNull()).join(wanted, "requested_url", "left_semi")
-    newest = dedup_first(stored, ["requested_url"], [F.col("snapshot_ts").desc()])
-    latest = newest.select("requested_url", F.struct(*kept).alias("_previous"))
-    joined = current.join(latest, "requested_url", "left")
-    unchanged = (F.col("http_status") == 304) & F.col("_previous").isNotNull()
-    filled = [
-        F.when(unchanged, F.col(f"_previous.{c}")).otherwise(F.col(c)).alias(c) for c in kept
-    ]
-    rest = [F.col(c) for c in current.columns if c not in kept]
-    return joined.select(*rest, *filled, unchanged.alias("carried"))
+    rows = materialize(current.withColumn("_row", F.monotonically_increasing_id()))
+    asks = (F.col("http_status") == 304) & F.col("requested_url").isNotNull()
+    wanted = rows.filter(asks).select("requested_url", "snapshot_ts", "_row")
+    stored = previous.filter("body IS NOT NULL AND snapshot_ts IS NOT NULL").join(
+        wanted.select("requested_url").distinct(), "requested_url", "left_semi"
+    )
+    last = F.max_by(F.struct(*CARRIED), F.struct("etag", "body")).alias("_previous")
+    documents = materialize(stored.groupBy("requested_url", "snapshot_ts").agg(last))
+    line = documents.select("requested_url", "snapshot_ts", F.lit(1).cast("long").alias("_stored"), F.lit(-1).cast("long").alias("_row"))
+    line = line.unionByName(wanted.select("requested_url", "snapshot_ts", F.lit(0).cast("long").alias("_stored"), "_row"))
+    order = [F.col("snapshot_ts"), F.col("_stored").desc(), F.col("_row")]
+    numbered = materialize(running_sums(line, ["requested_url"], order, {"_before": F.col("_stored")}))
+    answers = numbered.filter("_stored = 0").select("requested_url", F.col("_before").alias("_number"), "_row")
+    numbers = numbered.filter("_stored = 1").select("requested_url", "snapshot_ts", (F.col("_before") + 1).alias("_number"))
+    found = documents.join(numbers, ["requested_url", "snapshot_ts"]).select("requested_url", "_number", "_previous")
+    joined = rows.join(answers.join(found, ["requested_url", "_number"]).select("_row", "_previous"), "_row", "left")
+    carried = F.col("_previous").isNotNull()
+    filled = [F.when(carried, F.col(f"_previous.{c}")).otherwise(F.col(c)).alias(c) for c in CARRIED]
+    rest = [F.col(c) for c in current.columns if c not in CARRIED]
+    return joined.select(*rest, *filled, carried.alias("carried"))
 
 
 def _first_tag_text(html: Column, tag: str) -> Column:

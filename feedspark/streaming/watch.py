@@ -1,29 +1,37 @@
 """Watch: emit each entry whose key was not seen in an earlier tick, then remember its key.
 
-The exact form keeps the keys in a table. Every tick writes folders of its own, named by
-batch id, so a replayed tick overwrites what it wrote before and sees only the keys of
-earlier ticks. Delivery comes before remembering: a crash between them repeats entries.
+The exact form keeps the keys in a table of buckets (``seen.py``). A tick writes folders of
+its own: what it emits, the payload for each destination, and its keys. One rename of a log
+file then publishes all of it. Readers see published ticks only, so a tick that fails
+anywhere before the rename is simply run again: nothing is lost and nothing is sent twice. A
+destination that fails stops neither the others nor the loop; its payload stays pending in
+the log and is written again, from what the tick emitted, by the ticks after it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from feedspark.functions.dates import parse_duration
 from feedspark.operators.diff import with_key
 from feedspark.operators.filters import FilterSpec
 from feedspark.operators.refine import Select, refine
-from feedspark.session import small_side
 from feedspark.sinks.payloads import chat_payloads, sink_kind, webhook_payloads
+from feedspark.streaming.seen import Part, SeenKeys
 
 DEFAULT_INTERVAL = "5m"
-SEEN = T.StructType([T.StructField("key", T.StringType()), T.StructField("batch_id", T.LongType())])
 IMPORTED = -1
+OUTBOX = "sink string, kind string, content_type string, part_no bigint, body string, batch_id bigint"
+LOG = "batch_id bigint, new bigint, added bigint, buckets_read bigint, buckets bigint, live_parts bigint"
 
 
 @dataclass
@@ -43,42 +51,129 @@ class Watch:
     def part(self, table: str, batch_id: int) -> str:
         return f"{self.path(table)}/batch_id={batch_id}"
 
-    def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-        """A table of the watch, empty before the first tick."""
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(self.path(table))
+    # ---- the log ----
+
+    def _store(self, spark: SparkSession, path: str):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+    def _names(self, spark: SparkSession, path: str) -> list[str]:
+        store, place = self._store(spark, path)
+        return [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+
+    def last(self, spark: SparkSession) -> dict | None:
+        """The newest published entry of the log."""
+        numbers = [int(n.removesuffix(".json")) for n in self._names(spark, self.path("log")) if n.endswith(".json")]
+        if not numbers:
+            return None
+        text = spark.read.text(f"{self.path('log')}/{max(numbers)}.json", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def publish(self, spark: SparkSession, entry: dict) -> None:
+        """Write an entry aside and put it in place by one rename."""
+        store, place = self._store(spark, f"{self.path('log')}/{entry['batch_id']}.json")
+        _, aside = self._store(spark, f"{self.path('log')}/_{entry['batch_id']}-{uuid.uuid4().hex}")
+        out = store.create(aside)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        if not store.rename(aside, place):
+            raise RuntimeError(f"tick {entry['batch_id']} was published by another run")
+
+    def state(self, spark: SparkSession) -> SeenKeys:
+        entry = self.last(spark) or {"parts": []}
+        return SeenKeys(spark, self.path("seen"), [Part(**p) for p in entry["parts"]])
+
+    # ---- what readers see ----
 
     def seen(self, spark: SparkSession) -> DataFrame:
-        return self.read(spark, "seen", SEEN)
+        return self.state(spark).rows()
+
+    def emitted(self, spark: SparkSession) -> DataFrame:
+        """All published entries, with their ``batch_id``."""
+        entry = self.last(spark) or {"batch_id": IMPORTED}
+        rows = spark.read.parquet(self.path("emitted"))
+        return rows.withColumn("batch_id", F.col("batch_id").cast("long")).filter(F.col("batch_id") <= entry["batch_id"])
+
+    def outbox(self, spark: SparkSession) -> DataFrame:
+        """The parts of all published payloads but those still pending."""
+        entry = self.last(spark) or {"batch_id": IMPORTED, "pending": []}
+        if not self._names(spark, self.path("outbox")):
+            return spark.createDataFrame([], OUTBOX)
+        rows = spark.read.schema(OUTBOX).option("recursiveFileLookup", "false").parquet(*[f"{self.path('outbox')}/{n}" for n in self._names(spark, self.path("outbox"))])
+        rows = rows.filter(F.col("batch_id") <= entry["batch_id"])
+        for batch_id, url in entry["pending"]:
+            rows = rows.filter((F.col("batch_id") != batch_id) | (F.col("sink") != url))
+        return rows
+
+    def tallies(self, spark: SparkSession) -> DataFrame:
+        """Per tick that emitted: new rows, and keys seen so far, as observed while they were written."""
+        log = spark.read.schema(LOG).json(f"{self.path('log')}/*.json")
+        # One row per tick is left.
+        so_far = Window.partitionBy(F.lit(0)).orderBy("batch_id")
+        counted = log.withColumn("seen", F.sum("added").over(so_far))
+        return counted.filter("new > 0").select("batch_id", "new", "seen", "buckets_read", "buckets", "live_parts")
+
+    # ---- ticks ----
 
     def import_seen(self, spark: SparkSession, path: str) -> None:
-        """Take over a state file: one JSON list of keys."""
+        """Take over a state file, one JSON list of keys, before the first tick."""
         text = spark.read.text(path, wholetext=True)
-        keys = text.select(F.explode(F.from_json("value", "array<string>")).alias("key"))
-        keys.distinct().write.mode("overwrite").parquet(self.part("seen", IMPORTED))
+        keys = text.select(F.explode(F.from_json("value", "array<string>")).alias("key")).distinct()
+        count = keys.count()
+        state = SeenKeys(spark, self.path("seen"), []).added(keys, count, IMPORTED)
+        self.publish(spark, self._entry(IMPORTED, 0, count, state, state, []))
+
+    def _entry(self, batch_id: int, new: int, added: int, probed: SeenKeys, state: SeenKeys, pending: list) -> dict:
+        return {
+            "batch_id": batch_id,
+            "new": new,
+            "added": added,
+            "buckets_read": len(probed.read_buckets),
+            "buckets": sum(p.buckets for p in probed.parts),
+            "live_parts": len(state.parts),
+            "parts": state.described(),
+            "pending": pending,
+        }
 
     def tick(self, batch: DataFrame, batch_id: int) -> None:
-        """Refine, drop what was seen, emit, deliver, remember."""
+        """Refine, drop what was seen, emit, deliver, remember; then publish."""
         spark = batch.sparkSession
-        earlier = self.seen(spark).filter(F.col("batch_id") < batch_id).select("key")
+        entry = self.last(spark) or {"batch_id": IMPORTED - 1, "parts": [], "pending": []}
+        if entry["batch_id"] >= batch_id:
+            return  # published before: a replay finds its work done
+        state = self.state(spark).compacted(batch_id)
         rows = with_key(refine(batch, self.spec, self.select))
-        # The seen table outgrows any tick: it is probed with the keys of this tick, and
-        # only the hits enter the anti join.
-        hits = earlier.join(small_side(rows.select("key").distinct()), "key", "left_semi")
-        fresh = rows.join(hits, "key", "left_anti")
-        fresh.write.mode("overwrite").parquet(self.part("emitted", batch_id))
-        emitted = spark.read.schema(fresh.schema).parquet(self.part("emitted", batch_id))
-        if emitted.isEmpty():
-            return
-        for url in self.sinks:
-            try:
-                self.deliver(emitted, url, batch_id)
-            except Exception as error:  # one failing sink stops neither the others nor the loop
-                self.failures.append((batch_id, url, str(error)))
-        emitted.select("key").distinct().write.mode("overwrite").parquet(self.part("seen", batch_id))
+        keys = rows.select("key").distinct()
+        fresh = rows.join(state.hits(keys, keys.count()), "key", "left_anti")
+        written = Observation()
+        counted = fresh.observe(written, F.count(F.lit(1)).alias("new"))
+        counted.write.mode("overwrite").parquet(self.part("emitted", batch_id))
+        new, added, after = written.get["new"], 0, state
+        if new:
+            first = spark.read.schema(fresh.schema).parquet(self.part("emitted", batch_id)).select("key").distinct()
+            added = first.count()
+            after = state.added(first, added, batch_id)
+        due = [*entry["pending"], *([[batch_id, url] for url in self.sinks] if new else [])]
+        pending = [[at, url] for at, url in due if not self._delivered(spark, fresh.schema, at, url)]
+        self.publish(spark, self._entry(batch_id, new, added, state, after, pending))
+        self._clean(spark, after)
+
+    def _delivered(self, spark: SparkSession, schema: T.StructType, batch_id: int, url: str) -> bool:
+        try:
+            self.deliver(spark.read.schema(schema).parquet(self.part("emitted", batch_id)), url, batch_id)
+        except Exception as error:  # one failing sink stops neither the others nor the loop
+            self.failures.append((batch_id, url, str(error)))
+            return False
+        return True
+
+    def _clean(self, spark: SparkSession, state: SeenKeys) -> None:
+        """Remove parts that the published entry does not list: merged ones, and those of failed runs."""
+        live = {f"part={p.name}" for p in state.parts}
+        for table in ("seen/keys", "seen/filters"):
+            for name in self._names(spark, self.path(table)):
+                if name not in live:
+                    store, place = self._store(spark, f"{self.path(table)}/{name}")
+                    store.delete(place, True)
 
     def deliver(self, emitted: DataFrame, url: str, batch_id: int) -> None:
         """Write the payload of a tick to the outbox of one destination."""
@@ -98,8 +193,9 @@ class Watch:
         else:
             body = chat_payloads(feeds, entries).filter(F.col("kind") == kind)
             body = body.withColumn("part_no", F.lit(0).cast("long"))
-        outbox = body.select(F.lit(url).alias("sink"), "kind", "content_type", "part_no", "body")
-        outbox.write.mode("overwrite").parquet(self.part(f"outbox/sink={folder}", batch_id))
+        number = F.lit(batch_id).cast("long").alias("batch_id")
+        outbox = body.select(F.lit(url).alias("sink"), "kind", "content_type", "part_no", "body", number)
+        outbox.write.mode("overwrite").parquet(f"{self.path('outbox')}/{folder}-{batch_id}")
 
     def start(
         self, stream: DataFrame, interval: str = DEFAULT_INTERVAL, once: bool = False
@@ -116,23 +212,67 @@ class Watch:
         return writer.trigger(processingTime=f"{span} milliseconds").start()
 
 
-def tallies(emitted: DataFrame, seen: DataFrame) -> DataFrame:
-    """Per tick: new rows, and keys seen so far."""
-    new = emitted.groupBy("batch_id").agg(F.count("*").alias("new"))
-    added = seen.groupBy("batch_id").agg(F.count("*").alias("added"))
-    ticks = new.join(added, "batch_id", "full")
-    # One row per tick is left.
-    so_far = Window.partitionBy(F.lit(0)).orderBy("batch_id")
-    return ticks.select(
-        F.col("batch_id").cast("long").alias("batch_id"),
-        F.coalesce("new", F.lit(0)).alias("new"),
-        F.sum("added").over(so_far).alias("seen"),
-    )
-
-
 def bounded_watch(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """The form with bounded state: keys are forgotten once the watermark has passed them.
 
     Unlike the exact form it also drops repeats inside one tick.
     """
     return with_key(stream).withWatermark(time, delay).dropDuplicatesWithinWatermark(["key"])
+
+
+def expiring_watch(stream: DataFrame, time: str, delay: str, keep: str) -> DataFrame:
+    """A watch whose state is bounded by time: a key not met for ``keep`` is forgotten.
+
+    ``key``, ``first`` and ``n``: per tick the keys that the state does not hold, the time of
+    their earliest row in the tick, and their rows in it. The state is one time per key, and
+    a timer that removes it once the watermark (``delay`` behind the greatest ``time``) has
+    passed its last meeting by ``keep``; a key that comes back after that is emitted again.
+    The session must use the RocksDB state store, in which state may outgrow memory.
+    """
+    kept_ms = parse_duration(keep)
+    if kept_ms is None:
+        raise ValueError(f"{keep!r} is no duration: write a number and a unit")
+    rows = with_key(stream).select("key", F.col(time).alias("at")).withWatermark("at", delay)
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Expiring(kept_ms),
+        outputStructType="key string, first timestamp, n bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+class Expiring(StatefulProcessor):
+    """Holds the time of the last meeting of a key; forgets it by an event-time timer."""
+
+    def __init__(self, kept_ms: int):
+        self.kept_ms = kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        least, most, n = None, None, 0
+        for part in rows:
+            times = part["at"]
+            low, high = times.min(), times.max()
+            least = low if least is None or low < least else least
+            most = high if most is None or high > most else most
+            n += len(times)
+        known = self.last.exists()
+        before = self.last.get()[0] if known else None
+        now = int(most.value // 1_000_000)
+        if before is None or now > before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.kept_ms)
+            self.handle.registerTimer(now + self.kept_ms)
+            self.last.update((now,))
+        if not known:
+            yield pd.DataFrame({"key": [key[0]], "first": [least], "n": [n]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
