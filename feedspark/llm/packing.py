@@ -15,6 +15,8 @@ are not read.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -31,38 +33,93 @@ MOST_DOCUMENTS = 1024
 ATTENTION = CAPACITY * CAPACITY
 BLOCK_TOKENS = 8_000_000
 BLOCK_PIECES = 60_000
-CACHE = 700_000
+WORDS_KEPT = 500_000
+STEMS_KEPT = 1_500_000
+"""Words and stems that a process remembers; beyond that it starts anew, which costs time only."""
 WORDS_AT_ONCE = 4_000
+CHARS_AT_ONCE = 1 << 20
+MARKS = (".", ",", ";", ":", "!", "?", "%%%", "...", "!?", "'", "\"", ")", "$")
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+
 
 class Tokenizer:
     """Encodes a text word by word and remembers the ids of the words.
 
     The tokenizer drops white space before it merges, so the ids of a text are those of its
-    words. Words that are not remembered are encoded by the tokenizer itself.
+    words. Words that are not remembered are encoded by the tokenizer itself. A word of Latin
+    letters and a run of ASCII marks behind them needs no normalizing but lower case and no
+    splitting but before the marks, so its letters go to the merges at once; spellings that
+    differ in case or marks share them. The constructor tries whether that holds for the file.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as File
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.file = File.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        words = text.split(" ")
+        self.stems: dict[str, bytes] = {}
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.marks = {"": b""}
+        letters = [chr(k) for k in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(k).isalpha()]
+        probes = [a + b + mark for a, b, mark in zip(letters, letters[7:] + letters[:7], MARKS * len(letters), strict=False)]
+        self.plain = all(self._simple(p) == self._encoded(p) for p in [*probes, "Wordlike", "Ähnliches,", "ÉCOLE"])
+
+    def _encoded(self, text: str) -> bytes:
+        return np.asarray(self.file.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _simple(self, word: str) -> bytes | None:
+        """The ids of a word of letters and a run of marks; None for other words."""
+        found = _SIMPLE.fullmatch(word)
+        if found is None:
+            return None
+        stem = found[1].lower()
+        ids = self.stems.get(stem)
+        if ids is None:
+            merged = [t.id for t in self.file.model.tokenize(stem.translate(self.spelled))]
+            ids = self.stems[stem] = struct.pack(f"<{len(merged)}I", *merged)
+        marks = self.marks.get(found[2])
+        if marks is None:
+            marks = self.marks[found[2]] = self._encoded(found[2])
+        return ids + marks
+
+    @classmethod
+    def of_process(cls, path: str) -> "Tokenizer":
+        """One tokenizer per worker process: later tasks find the file read and the words known."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; the words that none of them shares with earlier texts are encoded together."""
+        # Python takes four control characters for white space, which the tokenizer does not.
+        split = [text.split(" ") if _SEPARATORS.search(text) else text.split() for text in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) > CACHE:
+        if len(known) > WORDS_KEPT:
             known.clear()
-            new = list(set(words))
+        if len(self.stems) > STEMS_KEPT:
+            self.stems.clear()
+            self.marks = {"": b""}
+        new = list(set().union(*split).difference(known))
+        if self.plain:
+            rest = []
+            for word in new:
+                ids = self._simple(word)
+                if ids is None:
+                    rest.append(word)
+                else:
+                    known[word] = ids
+            new = rest
         for at in range(0, len(new), WORDS_AT_ONCE):
             self.learn(new[at : at + WORDS_AT_ONCE])
-        return b"".join([known[w] for w in words])
+        return [b"".join([known[w] for w in words]) for words in split]
 
     def learn(self, words: list[str]) -> None:
         """Encode many words in one call; each takes the tokens that start within it."""
@@ -82,11 +139,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     last = np.array([end], "<u4").tobytes()
 
     def encode(batches):
-        tokenizer = Tokenizer(path)
+        tokenizer = Tokenizer.of_process(path)
+
+        def encoded(batch):
+            rows, size = [], 0
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append(row)
+                size += len(row[1] or "")
+                if size >= CHARS_AT_ONCE:
+                    yield from zip([r[0] for r in rows], tokenizer.ids([r[1] or "" for r in rows]), strict=True)
+                    rows, size = [], 0
+            yield from zip([r[0] for r in rows], tokenizer.ids([r[1] or "" for r in rows]), strict=True)
+
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = (tokenizer.ids(text) if text else b"") + last
+            for doc_id, codes in encoded(batch):
+                codes += last
                 for number, at in enumerate(range(0, len(codes), 4 * capacity)):
                     part = codes[at : at + 4 * capacity]
                     row = (doc_id, number, at // 4, len(part) // 4, zlib.crc32(part))
