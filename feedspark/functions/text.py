@@ -52,11 +52,22 @@ def _decode_named(bodies: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _decode_all(texts: pd.Series) -> pd.Series:
+def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_decode_all = F.pandas_udf(_unescaped, T.StringType())
+
+
+# Not merged into later expressions, so that its result can be used inside a lambda.
+_decode_apart = F.pandas_udf(_unescaped, T.StringType()).asNondeterministic()
+
+
+def decode_apart(markup: Column) -> Column:
+    """``decode_text`` for a column that later steps use inside higher-order functions."""
+    return F.coalesce(_decode_apart(F.when(F.contains(markup, F.lit("&")), markup)), markup)
+
+
 def decode_text(markup: Column) -> Column:
     """Decode every HTML entity of a text; rows without one stay out of Python."""
     return F.coalesce(_decode_all(F.when(F.contains(markup, F.lit("&")), markup)), markup)
