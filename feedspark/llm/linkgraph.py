@@ -154,11 +154,20 @@ def judged_hosts(pages: DataFrame) -> DataFrame:
     return scored.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") > THRESHOLD))
 
 
+RESULTS = ("host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def filtered(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``host, path, rule, verdict, trust, distrust`` to ``pages`` (``url``, ``html``)."""
-    marked = ruled(pages, rules)
+    """``pages`` (``url``, ``html``) with ``host, path, rule, verdict, trust, distrust`` behind their columns.
+
+    Columns of other names pass through untouched; one named like a result is replaced by it.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row")
+    marked = ruled(pages.select(whole, "url", "html"), rules)
     hosts = judged_hosts(marked.select("host", "rule_verdict", "html"))
     scores = hosts.select(F.col("host").alias("_host"), "trust", "distrust", "blocked")
     out = marked.join(scores, marked.host == scores._host, "left")
     walked = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", walked)).drop("_host", "blocked", "rule_verdict")
+    out = out.withColumn("verdict", F.coalesce("rule_verdict", walked))
+    kept = [F.col("_row").getField(c).alias(c) for c in pages.columns if c not in RESULTS]
+    return out.select(*kept, *RESULTS)

@@ -325,6 +325,19 @@ def test_url_rules_and_walks(spark):
     assert linkgraph.filtered(pages.drop("trust").limit(0)).count() == 0
 
 
+def test_url_filters_with_clashing_columns(spark):
+    rows = [(1, "http://a.example.org/es/1", None, "x", "y", 1), (2, "http://b.example.com/", "<p>", "x", "y", 2)]
+    names = "page_id bigint, url string, html string"
+    plain = spark.createDataFrame([r[:3] for r in rows], names)
+    want = sorted(tuple(r) for r in linkgraph.filtered(plain).select("page_id", *linkgraph.RESULTS).collect())
+    for other in ("trust", "distrust", "blocked", "_host", "host", "path", "rule", "verdict", "rule_verdict", "walk", "weight", "a.b"):
+        given = spark.createDataFrame([(*r[:4],) for r in rows], f"{names}, `{other}` string")
+        got = linkgraph.filtered(given)
+        assert sorted(tuple(r) for r in got.select("page_id", *linkgraph.RESULTS).collect()) == want
+        if other not in linkgraph.RESULTS:
+            assert {r[other] for r in got.collect()} == {"x"}
+
+
 def test_language(spark, docs, none):
     rows = [r["lang_pred"] for r in langmix.identified(docs).collect()]
     assert len(rows) == len(ROWS) and rows.count(langmix.UNKNOWN) == 3
