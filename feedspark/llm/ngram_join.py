@@ -178,9 +178,10 @@ def _place(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def _prefix_grams(docs: DataFrame, n: int, percent: int, frequent, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``gram, sig, n, at, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
+    """``gram, sig, n, at, often, rare, part, rank``: the first n-grams of every set in the global order, those with a bit if a bitmap is given.
 
-    ``at`` is the n-gram's place in its set, from 0.
+    ``at`` is the n-gram's place in its set, from 0, ``often`` whether it is one of the frequent
+    ones, ``rare`` how many of the set are not, and ``part`` the signature of those that are.
 
     ``rank`` tells how many of a thousand have a bit: an original shares more with its altered
     copies than they share with each other.
@@ -190,18 +191,23 @@ def _prefix_grams(docs: DataFrame, n: int, percent: int, frequent, bitmap: np.nd
 
     def cut(batches):
         for _, sets in _cut(batches, n):
-            firsts, spots, counts, ranks = [], [], [], []
+            firsts, spots, counts, ranks, often, rares, parts = [], [], [], [], [], [], []
             sets = [grams for grams in sets if len(grams)]
             for grams in sets:
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
-                first = grams[np.argsort(_place(grams, sent.value), kind="stable")[:keep]]
+                place = _place(grams, sent.value)
+                chosen = np.argsort(place, kind="stable")[:keep]
+                first, common = grams[chosen], place[chosen] >= 0
+                parts.append(_signature(grams[place >= 0]))
+                rares.append(int((place < 0).sum()))
                 whole = len(first)
                 spot = np.arange(whole, dtype=np.int32)
                 if bits.value is not None:
                     hit = _has_bit(bits.value, first.view(np.int64))
-                    first, spot = first[hit], spot[hit]
+                    first, spot, common = first[hit], spot[hit], common[hit]
                 firsts.append(first)
                 spots.append(spot)
+                often.append(common)
                 counts.append(len(first))
                 ranks.append(1000 * len(first) // whole)
             marks = np.array([_signature(grams) for grams in sets], np.int64)
@@ -213,12 +219,16 @@ def _prefix_grams(docs: DataFrame, n: int, percent: int, frequent, bitmap: np.nd
                     pa.array(np.repeat(marks, counts)),
                     pa.array(np.repeat(sizes, counts)),
                     pa.array(np.concatenate(spots) if spots else np.empty(0, np.int32)),
+                    pa.array(np.concatenate(often) if often else np.empty(0, bool)),
+                    pa.array(np.repeat(np.array(rares, np.int32), counts)),
+                    pa.array(np.repeat(np.array(parts, np.int64), counts)),
                     pa.array(np.repeat(np.array(ranks, np.int32), counts)),
                 ],
-                ["gram", "sig", "n", "at", "rank"],
+                ["gram", "sig", "n", "at", "often", "rare", "part", "rank"],
             )
 
-    return _texts(docs).mapInArrow(cut, "gram bigint, sig bigint, n int, at int, rank int")
+    schema = "gram bigint, sig bigint, n int, at int, often boolean, rare int, part bigint, rank int"
+    return _texts(docs).mapInArrow(cut, schema)
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -241,7 +251,7 @@ def _has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _shared(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """``gram, sig, n, at, hub`` of the prefix n-grams that two or more sets have in their prefixes.
+    """``gram, sig, n, at, often, rare, part, hub`` of the prefix n-grams that two or more sets have in their prefixes.
 
     The hub of an n-gram is the one of its sets whose prefix is shared most.
 
@@ -343,43 +353,67 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough of their prefixes to reach the threshold.
+    """Pairs of different components that may reach the threshold, as many as connectedness needs.
 
-    Of each n-gram's texts, those outside its largest component are compared with all.
+    Of each n-gram's texts, those outside its largest component are compared with others.
+
+    A link rests on a rare n-gram in both prefixes, or on frequent n-grams alone: rare ones
+    come first, so prefixes that hold frequent ones hold all rare ones. Few texts share a rare
+    n-gram, and all of these are compared. The frequent part of a set is the same for many.
+    Of the sets with one frequent part the smallest stands for all of them: let x and y be
+    linked by frequent n-grams alone, m and k stand for their parts, and m be no larger than
+    k. Then m is no larger than y either, and shares all that x and y share with both, so
+    both are linked with m. So by frequent n-grams only pairs with such a set are formed.
     """
     placed = prefixes.join(roots, prefixes.sig == roots.node, "left").select(
-        "gram", "sig", "n", "at", F.coalesce("root", "sig").alias("root")
+        "gram", "sig", "n", "at", "often", "rare", "part", F.coalesce("root", "sig").alias("root")
     )
     sizes = placed.groupBy("gram", "root").count()
     mains = sizes.groupBy("gram").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")
     )
     live = placed.join(mains.filter("parts > 1").drop("parts"), "gram")
+    smallest = prefixes.groupBy("part").agg(F.min(F.struct("n", "sig")).alias("least")).select("part", F.col("least.sig").alias("stands"))
+    live = materialize(live.join(smallest, "part").withColumn("stands", F.col("stands") == F.col("sig")))
     x = live.filter("root <> main").select(
-        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx")
+        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"), "often", F.col("rare").alias("fx"), F.col("stands").alias("sx")
     )
     y = live.select(
-        "gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry")
+        "gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), "often", F.col("rare").alias("fy"), F.col("stands").alias("sy")
     )
     overlap, needed = _overlap("nx", "ny", percent), _needed(percent, "nx", "ny")
     # What stands before and behind the common n-gram bounds the overlap of both sets.
     most = F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-    met = x.join(y, "gram").filter(
-        (F.col("rx") != F.col("ry"))
-        & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y")))
-        & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        & (F.col("ax") < F.col("nx") - overlap + needed)
-        & (F.col("ay") < F.col("ny") - overlap + needed)
-        & (most >= overlap)
-    )
-    first = F.col("x") < F.col("y")
-    pairs = met.groupBy(
-        F.least("x", "y").alias("a"),
-        F.greatest("x", "y").alias("b"),
-        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-        F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-    ).count()
-    return pairs.filter(F.col("count") >= _needed(percent)).drop("count")
+
+    def met(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
+        """Pairs that share an n-gram early enough; ``once`` leaves one of the two orders."""
+        found = left.drop("often").join(right.drop("often"), "gram").filter(
+            (F.col("rx") != F.col("ry"))
+            & once
+            & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+            & (F.col("ax") < F.col("nx") - overlap + needed)
+            & (F.col("ay") < F.col("ny") - overlap + needed)
+            & (most >= overlap)
+        )
+        first = F.col("x") < F.col("y")
+        no_frequent = (F.col("nx") - overlap + needed <= F.col("fx")) | (F.col("ny") - overlap + needed <= F.col("fy"))
+        return found.select(
+            F.least("x", "y").alias("a"),
+            F.greatest("x", "y").alias("b"),
+            F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+            F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
+            (F.col("sx") | F.col("sy") | no_frequent).alias("whole"),
+        )
+
+    ordered = (F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))
+    rare = met(x.filter("NOT often"), y.filter("NOT often"), ordered)
+    # With one that stands for its part, from either side; two such ones meet once.
+    one = met(x.filter("often"), y.filter("often AND sy"), ~F.col("sx") | ordered)
+    two = met(x.filter("often AND sx"), y.filter("often AND NOT sy"), F.col("ry") == F.col("main"))
+    pairs = rare.unionByName(one).unionByName(two).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.bool_or("whole").alias("whole"))
+    # The count is that of all common n-grams where one of the two stands for its part, or where
+    # one has no frequent n-gram among the places that matter.
+    return pairs.filter(~F.col("whole") | (F.col("count") >= _needed(percent))).drop("count", "whole")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
