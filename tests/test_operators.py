@@ -50,7 +50,6 @@ def test_rules_table_agrees_with_the_spec(spark, mixed):
         "kind string, field string, pattern string, regex boolean",
     )
     assert column(filters.filter_by_rules_table(mixed, rules), "entry_ord") == [3]
-    assert column(filters.filter_by_rules_table(mixed, rules, block_rules=1), "entry_ord") == [3]
     assert filters.filter_by_rules_table(mixed, rules.limit(0)).count() == 4
 
 
