@@ -153,7 +153,7 @@ def plain_groups(rows):
 SPELLED = [
     (1, "Elephant elephant ÉLÉPHANT×÷ elefant elephants, " * 30),
     (2, "elephan elephan elephent elephent eelephant eelephant elephaant elephaant"),
-    (10, "elephantsss " * 2 + "elephants " * 400 + "elephantss " * 25),
+    (20, "elephantsss " * 2 + "elephants " * 400 + "elephantss " * 25),
     (None, "banana-bananas bananas' bananas bananaß bananaß " * 12),
     (4, None),
     (5, ""),
