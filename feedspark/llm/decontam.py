@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import let, row_key, text_of
+from feedspark.llm.common import let, row_key, stored, text_of
 
 # The masks; 1 looks at a token, 0 ignores it.
 MASKS = ("1110101011", "11010001101", "110011000011")
@@ -110,6 +110,42 @@ def _reach(agree: Column) -> Column:
     return F.aggregate(agree, start, add, lambda state: state["at"])
 
 
+OVERLAPS = "array<struct<doc_from:int,doc_to:int,item_from:int,item_to:int,held:array<int>>>"
+
+
+def _local(agree: Column, hits: Column, skip: Column, origin: Column) -> Column:
+    """The local overlaps of one alignment: its seeds extended, from left to right.
+
+    A seed that lies in an overlap found before is passed over. It would extend to the same
+    end, as the best place of an extension is the best for every later start, and no further
+    to the left. ``origin`` is the text's place of the first token of ``agree``.
+    """
+    start = F.struct(F.lit(-1).alias("to"), F.array().cast(OVERLAPS).alias("out"))
+
+    def extended(first: Column, wide: Column) -> Column:
+        left = _reach(F.reverse(F.slice(agree, F.lit(1), first)))
+        right = _reach(F.slice(agree, first + wide + 1, F.size(agree)))
+        return F.struct((first - left).alias("begin"), (first + wide - 1 + right).alias("end"))
+
+    def with_new(state: Column, ends: Column) -> Column:
+        places = F.filter(F.sequence(ends["begin"], ends["end"]), lambda k: F.get(agree, k) == 1)
+        overlap = F.struct(
+            (origin + ends["begin"]).alias("doc_from"),
+            (origin + ends["end"]).alias("doc_to"),
+            (skip + ends["begin"]).alias("item_from"),
+            (skip + ends["end"]).alias("item_to"),
+            F.transform(places, lambda k: k + skip).alias("held"),
+        )
+        return F.struct(ends["end"].alias("to"), F.concat(state["out"], F.array(overlap)).alias("out"))
+
+    def add(state: Column, hit: Column) -> Column:
+        first = hit["item_pos"] - skip
+        inside = first + hit["wide"] - 1 <= state["to"]
+        return F.when(inside, state).otherwise(let(extended(first, hit["wide"]), lambda ends: with_new(state, ends)))
+
+    return F.aggregate(hits, start, add, lambda state: state["out"])
+
+
 CHAIN = "struct<doc_to:int,item_to:int,held:array<int>,longest:int>"
 
 
@@ -144,56 +180,56 @@ def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) ->
     """
     tested = items.select(F.col("item_id").cast("bigint").alias("item_id"), token_hashes(text_of("text")).alias("hashes"))
     tested = tested.withColumn("len", F.size("hashes")).filter("len > 0")
+    tested = tested.withColumn("item", F.xxhash64("item_id", "hashes")).dropDuplicates(["item"])
     masks = _masks_for(tested)
     own_length = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
     seeds = (
         _windows(tested, masks)
         .filter((F.col("mask") < len(MASKS)) | (F.col("len") == own_length))
-        .select("item_id", F.col("hashes").alias("item"), "len", F.col("pos").alias("item_pos"), "mask", "seed")
+        .select("item", F.col("pos").alias("item_pos"), "mask", "seed")
     )
     count = seeds.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (max(1, count) * BITS_PER_SEED - 1).bit_length()))
     bitmap = _bitmap(seeds.select("seed"), bits)
 
-    read = docs.select(
-        row_key().alias("row_key"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        token_hashes(text_of("text")).alias("hashes"),
-    )
-    found = _windows(read, masks).filter(_may_hold(bitmap, F.col("seed"), bits))
-    # The seeds of the items are counted above; beyond the bound the join shuffles.
+    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"))
+    read = rows.select("row_key", "doc_id", token_hashes(F.col("text")).alias("hashes"))
+    found = _windows(read, masks).filter(_may_hold(bitmap, F.col("seed"), bits)).drop("hashes")
+    # A seed is four numbers, and the seeds are counted above; beyond the bound the join shuffles.
     side = F.broadcast(seeds) if count <= BROADCAST_SEEDS else seeds
-    hits = found.join(side, ["mask", "seed"]).withColumn("start", F.col("pos") - F.col("item_pos"))
+    hit = F.struct("item_pos", F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1).alias("wide"))
+    # One row per alignment, with its seeds in order: at most a few for each token of the item.
+    aligned = (
+        found.join(side, ["mask", "seed"])
+        .groupBy("row_key", "doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("start"))
+        .agg(F.sort_array(F.collect_set(hit)).alias("hits"))
+    )
+    # Written, so that its size is known where the texts of the rows with hits are fetched.
+    aligned = stored(aligned)
+    texts = rows.select("row_key", "text").join(aligned.select("row_key").distinct(), "row_key", "left_semi")
+    texts = texts.dropDuplicates(["row_key"]).select("row_key", token_hashes(F.col("text")).alias("hashes"))
+    whole = tested.select("item", "item_id", "len", F.col("hashes").alias("tokens"))
+    along = aligned.join(texts, "row_key").join(whole, "item")
     skip = F.greatest(-F.col("start"), F.lit(0))
     there = F.slice("hashes", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len") - skip)
-    here = F.slice("item", skip + 1, F.col("len") - skip)
+    here = F.slice("tokens", skip + 1, F.col("len") - skip)
     agree = F.zip_with(there, here, lambda a, b: F.when(a == b, 1).otherwise(0))
-    wide = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
-    kept = ("row_key", "doc_id", "item_id", "len", "start")
     # Places count from the first token of the item that lies within the text.
-    along = hits.select(*kept, skip.alias("skip"), (F.col("item_pos") - skip).alias("first"), wide.alias("wide"), agree.alias("agree"))
-    left = _reach(F.reverse(F.slice("agree", F.lit(1), F.col("first"))))
-    right = _reach(F.slice("agree", F.col("first") + F.col("wide") + 1, F.size("agree")))
-    # Seeds of one overlap extend to the same ends as a rule, and are then one element of the set.
-    ends = along.withColumn("begin", F.col("first") - left).withColumn("end", F.col("first") + F.col("wide") - 1 + right)
-    places = F.filter(F.sequence(F.col("begin"), F.col("end")), lambda k: F.get("agree", k) == 1)
-    overlap = F.struct(
-        (F.col("start") + F.col("skip") + F.col("begin")).alias("doc_from"),
-        (F.col("start") + F.col("skip") + F.col("end")).alias("doc_to"),
-        (F.col("skip") + F.col("begin")).alias("item_from"),
-        (F.col("skip") + F.col("end")).alias("item_to"),
-        F.transform(places, lambda k: k + F.col("skip")).alias("held"),
-    )
-    matched = ends.select(
+    matched = along.select(
         "row_key",
         "doc_id",
         "item_id",
         F.col("len").alias("item_tokens"),
-        F.aggregate("agree", F.lit(0), lambda n, x: n + x).alias("aligned"),
-        overlap.alias("overlap"),
-    )
+        let(
+            agree,
+            lambda g: F.struct(
+                F.aggregate(g, F.lit(0), lambda n, x: n + x).alias("aligned"),
+                _local(g, F.col("hits"), skip, F.col("start") + skip).alias("found"),
+            ),
+        ).alias("m"),
+    ).select("row_key", "doc_id", "item_id", "item_tokens", "m.aligned", "m.found")
     best = matched.groupBy("row_key", "doc_id", "item_id", "item_tokens").agg(
-        F.max("aligned").alias("aligned"), F.collect_set("overlap").alias("found")
+        F.max("aligned").alias("aligned"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")
     )
     every = F.size(F.array_distinct(F.flatten(F.transform("found", lambda x: x["held"]))))
     total = best.select(
