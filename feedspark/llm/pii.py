@@ -191,6 +191,34 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+BLOCK = 64
+
+
+def _running(items: Column, zero: Column, step, kind: str) -> Column:
+    """The state of a fold before each item, by blocks.
+
+    A fold copies its state at every step, so a list that grows with the items would cost
+    their square; here no state holds more than a block, or one entry for each block.
+    """
+    state = lambda now: F.struct(now.alias("now"), F.array().cast(f"array<{kind}>").alias("seen"))
+    seen = lambda s: F.concat(s["seen"], F.array(s["now"])).alias("seen")
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def firsts(blocks: Column) -> Column:
+        add = lambda s, block: F.struct(F.aggregate(block, s["now"], step).alias("now"), seen(s))
+        return F.aggregate(blocks, state(zero), add, lambda s: s["seen"])
+
+    def within(blocks: Column, starts: Column) -> Column:
+        add = lambda s, x: F.struct(step(s["now"], x).alias("now"), seen(s))
+        states = F.transform(
+            blocks, lambda block, k: F.aggregate(block, state(F.get(starts, k)), add, lambda s: s["seen"])
+        )
+        return F.flatten(states)
+
+    return let(cut, lambda blocks: let(firsts(blocks), lambda starts: within(blocks, starts)))
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
@@ -214,26 +242,31 @@ def confirmed_of(text: Column, kind: Kind) -> Column:
                 (account(F.concat(hit, F.get(parts["ahead"], k))) if kind.ahead else F.when(confirmed(kind.name, hit), hit)).alias("value"),
             ),
         )
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out"))
+        return let(pairs, lambda p: let(_running(p, start, passed, "struct<at:int,free:int>"), lambda states: chosen(p, states)))
 
-        def add(state: Column, pair: Column) -> Column:
-            begin = state["at"] + F.length(pair["gap"])
-            end = begin + F.length(pair["value"])
-            span = F.struct(
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"))
+
+    def passed(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.length(pair["gap"])
+        new = pair["value"].isNotNull() & (begin >= state["free"])
+        return F.struct(
+            (begin + F.length(pair["hit"])).alias("at"),
+            F.when(new, begin + F.length(pair["value"])).otherwise(state["free"]).alias("free"),
+        )
+
+    def chosen(pairs: Column, states: Column) -> Column:
+        def span(pair: Column, k: Column) -> Column:
+            begin = F.get(states, k)["at"] + F.length(pair["gap"])
+            new = F.struct(
                 F.lit(kind.name).alias("kind"),
                 begin.alias("start"),
-                end.alias("end"),
+                (begin + F.length(pair["value"])).alias("end"),
                 F.lit(kind.certainty).cast("double").alias("score"),
                 pair["value"].alias("value"),
             )
-            new = pair["value"].isNotNull() & (begin >= state["free"])
-            return F.struct(
-                (begin + F.length(pair["hit"])).alias("at"),
-                F.when(new, end).otherwise(state["free"]).alias("free"),
-                F.when(new, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
-            )
+            return F.when(pair["value"].isNotNull() & (begin >= F.get(states, k)["free"]), new)
 
-        return F.aggregate(pairs, start, add, lambda state: state["out"])
+        return F.filter(F.transform(pairs, span), lambda s: s.isNotNull())
 
     return F.when(text.rlike(kind.needs), let(parts, placed)).otherwise(none)
 
@@ -281,15 +314,22 @@ def _areas(spans: Column) -> Column:
     label = lambda s: F.struct(rank[s["kind"]].alias("rank"), F.upper(s["kind"]).alias("name"))
     ordered = F.array_sort(F.transform(spans, lambda s: area(s["start"], s["end"], label(s))))
 
-    def add(areas: Column, x: Column) -> Column:
-        last = F.get(areas, F.size(areas) - 1)
-        wider = area(last["start"], F.greatest(last["end"], x["end"]), F.least(last["label"], x["label"]))
-        return F.when(last["end"] > x["start"], F.concat(F.slice(areas, F.lit(1), F.size(areas) - 1), F.array(wider))).otherwise(
-            F.concat(areas, F.array(x))
-        )
+    def joined(spans: Column, reached: Column) -> Column:
+        """A span that starts where all before it have ended begins an area; what follows it belongs there."""
+        places = F.sequence(F.lit(0), F.size(spans) - 1)
+        begins = F.filter(places, lambda k: F.get(spans, k)["start"] >= F.get(reached, k))
+
+        def whole(at: Column, k: Column, begins: Column) -> Column:
+            own = F.slice(spans, at + 1, F.coalesce(F.get(begins, k + 1), F.size(spans)) - at)
+            ends, labels = F.transform(own, lambda x: x["end"]), F.transform(own, lambda x: x["label"])
+            return area(F.get(spans, at)["start"], F.array_max(ends), F.array_min(labels))
+
+        return let(begins, lambda b: F.transform(b, lambda at, k: whole(at, k, b)))
 
     empty = F.array().cast("array<struct<start:int,end:int,label:struct<rank:int,name:string>>>")
-    return F.aggregate(ordered, empty, add)
+    furthest = lambda now, x: F.greatest(now, x["end"])
+    areas = let(ordered, lambda o: let(_running(o, F.lit(0), furthest, "int"), lambda r: joined(o, r)))
+    return F.when(F.size(spans) > 0, areas).otherwise(empty)
 
 
 def _hidden(signs: Column, spans: Column) -> Column:
