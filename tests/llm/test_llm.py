@@ -67,6 +67,83 @@ def test_repeated_windows(spark):
     assert got == {1: 24, 2: 50}
 
 
+def plain_decontam(texts, items):
+    """Every pair above the thresholds, by trying all places of every item in every text."""
+
+    def reach(agree):
+        score = best = at = 0
+        for n, one in enumerate(agree, 1):
+            score += 1 if one else -1
+            if score > best:
+                best, at = score, n
+            if score < best - decontam.DROP:
+                break
+        return at
+
+    out = {}
+    for doc, text in texts.items():
+        for name, item in items.items():
+            tokens, sought = ([w for w in re.split(r"[\W_]+", t.lower()) if w] for t in (text, item))
+            fixed = [m for m in decontam.MASKS if len(m) <= len(sought)] or ["1" * len(sought)]
+            found, aligned = [], 0
+            for start in range(1 - len(sought), len(tokens)):
+                same = lambda k: 0 <= start + k < len(tokens) and tokens[start + k] == sought[k]  # noqa: B023, E731
+                lo, hi = max(0, -start), min(len(sought), len(tokens) - start)
+                agree = {k: same(k) for k in range(lo, hi)}
+                ends = []
+                for at in range(lo, hi):
+                    for mask in fixed:
+                        if at + len(mask) <= hi and all(agree[at + j] for j, bit in enumerate(mask) if bit == "1"):
+                            left = reach(agree[k] for k in range(at - 1, lo - 1, -1))
+                            ends.append((at - left, at + len(mask) - 1 + reach(agree[k] for k in range(at + len(mask), hi))))
+                if ends:
+                    aligned = max(aligned, sum(agree.values()))
+                for begin, end in {*ends}:
+                    if not any(b <= begin and end <= e and (b, e) != (begin, end) for b, e in ends):
+                        found.append((start + begin, start + end, begin, end, [k for k in range(begin, end + 1) if agree[k]]))
+            if not found:
+                continue
+            matched = max(aligned, len({k for x in found for k in x[4]}))
+            longest, chain = 0, None
+            for x in sorted(found):
+                near = chain and x[0] <= chain[0] + decontam.GAP + 1 and x[2] <= chain[1] + decontam.GAP + 1
+                chain = (max(chain[0], x[1]), max(chain[1], x[3]), chain[2] | {*x[4]}) if near else (x[1], x[3], {*x[4]})
+                longest = max(longest, len(chain[2]))
+            enough = matched / len(sought) >= decontam.MIN_SHARE and matched >= min(len(sought), decontam.MIN_TOKENS)
+            if enough or longest >= decontam.OVERLAP:
+                out[doc, name] = matched
+    return out
+
+
+def test_decontam_against_all_places(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    items = {k: " ".join(rng.choices(words, k=rng.choice([2, 6, 9, 14, 25, 60]))) for k in range(25)}
+    texts = {}
+    for k in range(60):
+        own = rng.choice(list(items.values())).split()
+        lo = rng.randrange(len(own))
+        part = [w if rng.random() > 0.12 else rng.choice(words) for w in own[lo // 2 : len(own) - lo // 3]]
+        for _ in range(rng.randrange(3)):
+            part.insert(rng.randrange(len(part) + 1), rng.choice(words))
+        texts[k] = " ".join(rng.choices(words, k=rng.randrange(30)) + part + rng.choices(words, k=rng.randrange(30)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    tested = spark.createDataFrame([*items.items(), *items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_tokens"] for r in decontam.contaminated(docs, tested).collect()}
+    assert got == plain_decontam(texts, items) and len(got) > 20
+
+
+def test_decontam_of_a_long_item(spark):
+    item = [f"w{k * 7919 % 5003}" for k in range(8000)]
+    changed = ["zz" if k % 37 == 0 else w for k, w in enumerate(item)]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    rows = [(1, "x y z " + " ".join(changed)), (2, " ".join(item[100:140])), (3, "nothing of it")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    assert {r["doc_id"] for r in got} == {1, 2}
+
+
 def brute_components(rows):
     def grams(text):
         ws = plain_words((text or "").lower())
@@ -233,6 +310,19 @@ def test_pii_context_on_both_sides(spark):
     assert shown == {k: want or text for k, (text, want) in enumerate(texts.items())}
 
 
+def test_pii_many_spans_in_one_text(spark):
+    mails = [f"user{k}@host{k}.example.org" for k in range(6000)]
+    texts = ["mail " + " ".join(mails), ("DE89370400440532013000 Bank GB82WEST12345698765432 1.2.3.4 " * 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.found(docs).collect()}
+    assert [s["value"] for s in rows[0]] == mails
+    assert [(s["start"], s["end"]) for s in rows[0]] == [m.span() for m in re.finditer(r"user\S+", texts[0])]
+    assert len(rows[1]) == 900 and all(texts[1][s["start"] : s["end"]] == s["value"] for s in rows[1])
+    shown = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert shown[0] == "mail " + " ".join(["[EMAIL]"] * len(mails))
+    assert shown[1] == "[IBAN] Bank [IBAN] [IP] " * 300
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
@@ -325,6 +415,32 @@ def test_url_rules_and_walks(spark):
     assert linkgraph.filtered(pages.drop("trust").limit(0)).count() == 0
 
 
+def test_walks_against_a_plain_iteration(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): float(rng.randrange(1, 5)) for _ in range(40)}
+    edges = {(a, b): w for (a, b), w in edges.items() if a != b}
+    seeds = {0: {"h1": 0.5, "h2": 0.5}, 1: {"h3": 1.0}}
+    want = {}
+    for walk, start in seeds.items():
+        steps = {(a, b) if walk == 0 else (b, a): w for (a, b), w in edges.items()}
+        out = Counter()
+        for (a, _), w in steps.items():
+            out[a] += w
+        rank = dict(start)
+        for _ in range(linkgraph.ROUNDS):
+            new = Counter({h: (1 - linkgraph.DAMPING) * r for h, r in start.items()})
+            for (a, b), w in steps.items():
+                new[b] += linkgraph.DAMPING * rank.get(a, 0.0) * w / out[a]
+            rank = new
+        want.update({(walk, h): r for h, r in rank.items() if r})
+    given = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    starts = spark.createDataFrame([(k, h, r) for k, s in seeds.items() for h, r in s.items()], "walk int, host string, rank double")
+    got = {(r["walk"], r["host"]): r["rank"] for r in linkgraph.walks(given, starts).collect() if r["rank"]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_url_filters_with_clashing_columns(spark):
     rows = [(1, "http://a.example.org/es/1", None, "x", "y", 1), (2, "http://b.example.com/", "<p>", "x", "y", 2)]
     names = "page_id bigint, url string, html string"
