@@ -50,7 +50,9 @@ def resolve_members(members: DataFrame, meshes: DataFrame) -> tuple[DataFrame, D
     holds name and mesh.
     """
     known = meshes.select(F.col("name").alias("ref"), F.col("mesh").alias("found"))
-    joined = members.join(known, "ref", "left").withColumn("mesh", F.coalesce("mesh", "found"))
+    named = members.filter("ref IS NOT NULL").join(known, "ref", "left").withColumn("mesh", F.coalesce("mesh", "found"))
+    # Inline members have no reference; as one key of the join they would meet in one task.
+    joined = named.drop("found").unionByName(members.filter("ref IS NULL"))
     resolved = joined.filter(F.col("mesh").isNotNull()).select("construct", "mesh_ord", "mesh")
     rejects = joined.filter(F.col("mesh").isNull()).select(
         F.lit("construct").alias("stage"),

@@ -50,6 +50,24 @@ def _(spark, d):
     return flat.select("construct", "entry_ord", "link", F.col("source.name").alias("source_name"))
 
 
+PER_CONSTRUCT = 25
+
+
+@R.query(
+    "construct_latest",
+    H
+    + GROUPED
+    + f""", flat AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY construct, link
+        ORDER BY mesh_ord, published DESC, part_ord, entry_ord) = 1)
+    SELECT construct, entry_ord, link, mesh_name AS source_name FROM flat
+      QUALIFY row_number() OVER (PARTITION BY construct
+        ORDER BY published DESC, mesh_ord, part_ord, entry_ord) <= {PER_CONSTRUCT}""",
+)
+def _(spark, d):
+    flat = merge.flatten_construct(merge.grouped_construct(v.hierarchy(spark, d), PER_MESH), PER_CONSTRUCT)
+    return flat.select("construct", "entry_ord", "link", F.col("source.name").alias("source_name"))
+
+
 @R.query(
     "topn_per_mesh",
     H
@@ -149,6 +167,20 @@ def _(spark, d):
     return health.withColumn("mesh_ok", F.col("mesh_ok").cast("long"))
 
 
+FAILED_REGION = "AFRICA"
+HEALTH = f"""SELECT construct, count(*) FILTER (ok) AS ok_meshes, CASE WHEN bool_or(ok) THEN 1 ELSE 0 END AS construct_ok
+  FROM (SELECT construct, mesh_name, bool_or(NOT (source_ord % 13 = 0 OR mesh_ord % 7 = 0 OR construct = '{FAILED_REGION}')) AS ok
+    FROM mesh GROUP BY construct, mesh_name) GROUP BY construct"""
+
+
+@R.query("construct_health", M + HEALTH)
+def _(spark, d):
+    bad = (F.col("source_ord") % 13 == 0) | (F.col("mesh_ord") % 7 == 0) | (F.col("construct") == FAILED_REGION)
+    sources = v.meshes(spark, d).withColumn("error", F.when(bad, F.lit("timeout")))
+    health = defs.construct_health(defs.source_health(sources, ["construct", "mesh_name"]))
+    return health.select("construct", "ok_meshes", F.col("construct_ok").cast("long").alias("construct_ok"))
+
+
 @R.query(
     "mesh_fanout",
     """SELECT 'mesh ' || (page_id % 10) AS mesh_name, page_id // 10 AS source_ord, md5(html) AS etag,
@@ -203,6 +235,36 @@ def _(spark, d):
     return df.select("name", F.size("mesh.sources").cast("long").alias("n"), names.alias("names"))
 
 
+# Constructs over ten blocks of each nation; members are names, references and inline meshes.
+@R.query(
+    "construct_scan",
+    "WITH "
+    + BLOCKS
+    + f""", placed AS (SELECT construct || '-' || (first_key // {10 * BLOCK}) AS construct, name, n, first_key % 3 AS kind FROM block)
+    SELECT construct, row_number() OVER (PARTITION BY construct ORDER BY name) - 1 AS mesh_ord,
+      CASE WHEN kind < 2 THEN name END AS ref, CASE WHEN kind = 2 THEN name END AS inline_name,
+      CASE WHEN kind = 2 THEN n END AS n FROM placed""",
+)
+def _(spark, d):
+    kind = F.col("first_key") % 3
+    member = (
+        F.when(kind == 0, F.concat(F.lit('"'), "name", F.lit('"')))
+        .when(kind == 1, F.to_json(F.struct(F.col("name").alias("ref"))))
+        .otherwise(F.to_json("mesh"))
+    )
+    group = F.concat("construct", F.lit("-"), F.floor(F.col("first_key") / (10 * BLOCK)).cast("string"))
+    members = F.array_sort(F.collect_list(F.struct("name", member.alias("member"))))
+    lists = _blocks(spark, d).groupBy(group.alias("name")).agg(F.transform(members, lambda m: m["member"]).alias("members"))
+    text = F.concat(F.lit('{"name":"'), "name", F.lit('","meshes":['), F.array_join("members", ","), F.lit("]}"))
+    path = f"{shared_dir(spark)}/constructs-{uuid.uuid4().hex}"
+    lists.select(text).write.text(path)
+    df = files.read_constructs(spark, path, lines=True)
+    count = F.when(F.col("mesh").isNotNull(), F.size("mesh.sources").cast("long"))
+    return df.select(
+        "construct", F.col("mesh_ord").cast("long").alias("mesh_ord"), "ref", F.col("mesh.name").alias("inline_name"), count.alias("n")
+    )
+
+
 @R.query(
     "construct_resolve",
     "WITH "
@@ -286,6 +348,22 @@ def _(spark, d):
     return defs.select_themes(_catalog(spark, d), "nation_2, nation_11,nope")
 
 
+# Each customer asks for a theme: that of its nation, or of its market segment, which no catalog has.
+@R.query(
+    "theme_unknown",
+    M
+    + "," + CATALOG
+    + """, wanted AS (SELECT c_custkey, lower(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE n_name END) AS theme
+      FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, theme FROM wanted WHERE theme NOT IN (SELECT theme FROM catalog)""",
+)
+def _(spark, d):
+    customer, nation = v.table(spark, d, "customer"), v.table(spark, d, "nation")
+    theme = F.lower(F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise(F.col("n_name")))
+    wanted = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", theme.alias("theme"))
+    return defs.unknown_themes(_catalog(spark, d), wanted).select("c_custkey", "theme")
+
+
 @R.query(
     "catalog_checks",
     M + "," + CATALOG + """, dup AS (SELECT theme FROM catalog GROUP BY theme, url HAVING count(*) > 1)

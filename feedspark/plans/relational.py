@@ -464,3 +464,44 @@ def _(spark, d):
 )
 def _(spark, d):
     return overview.source_palette(v.entries(spark, d), F.col("source.name"))
+
+
+# Refinements that users saved, one per document: words of its text, its language and its length as arguments.
+@R.query(
+    "select_checks",
+    """WITH saved AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'date' ELSE lang END AS sort,
+        CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) || '.0' WHEN doc_id % 5 = 0 THEN '-' || n_chars
+          ELSE CAST(n_chars / 2 AS VARCHAR) END AS limit_text,
+        n_chars || CASE doc_id % 4 WHEN 0 THEN 'h' WHEN 1 THEN ' d' WHEN 2 THEN 'w' ELSE '' END AS since,
+        CASE WHEN doc_id % 7 < 5 THEN '2024-01-0' || (doc_id % 7) || '..2024-02-' || (20 + doc_id % 13) ELSE source END AS between_text
+      FROM documents)
+    SELECT doc_id, 'sort' AS option, sort AS given, 'one of date, title, source' AS expected FROM saved
+      WHERE sort NOT IN ('date', 'title', 'source')
+    UNION ALL SELECT doc_id, 'limit', limit_text, 'a whole number from 0' FROM saved
+      WHERE limit_text LIKE '-%' OR CAST(limit_text AS DOUBLE) <> floor(CAST(limit_text AS DOUBLE))
+    UNION ALL SELECT doc_id, 'since', since, 'a duration, a number and a unit' FROM saved
+      WHERE NOT regexp_matches(since, '^[0-9]+ *[mhd]$')
+    UNION ALL SELECT doc_id, 'between', between_text, 'two dates joined by two dots' FROM saved
+      WHERE doc_id % 7 >= 5 OR try_cast(split_part(between_text, '..', 1) AS DATE) IS NULL
+        OR try_cast(split_part(between_text, '..', 2) AS DATE) IS NULL""",
+)
+def _(spark, d):
+    doc, size = F.col("doc_id"), F.col("n_chars").cast("string")
+    unit = F.when(doc % 4 == 0, "h").when(doc % 4 == 1, " d").when(doc % 4 == 2, "w").otherwise("")
+    number = lambda c: c.cast("string")
+    saved = v.table(spark, d, "documents").select(
+        "doc_id",
+        F.when(doc % 3 == 0, F.lit("date")).otherwise(F.col("lang")).alias("sort"),
+        F.when(doc % 2 == 0, F.concat(size, F.lit(".0")))
+        .when(doc % 5 == 0, F.concat(F.lit("-"), size))
+        .otherwise(number(F.col("n_chars") / 2))
+        .alias("limit"),
+        F.concat(size, unit).alias("since"),
+        F.when(
+            doc % 7 < 5,
+            F.concat(F.lit("2024-01-0"), number(doc % 7), F.lit("..2024-02-"), number(20 + doc % 13)),
+        )
+        .otherwise(F.col("source"))
+        .alias("between"),
+    )
+    return refine.wrong_options(saved, ["doc_id"])

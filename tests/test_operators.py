@@ -245,3 +245,28 @@ def test_unknown_themes(spark):
 def test_records(spark, kind, json, want):
     df = spark.createDataFrame([("k", json)], "k string, j string")
     assert column(validate.validate_records(df, "j", kind, "k"), "reason", None) == want
+
+
+def test_wrong_options_agree_with_the_arguments(spark):
+    values = {
+        "sort": ["date", "Date", "", None],
+        "order": ["asc", "up", None],
+        "limit": ["0", "5", " 7 ", "5.0", "5.5", "-1", "1e2", "x", "", "5d", "nan", None],
+        "between": ["2024-01-01..2024-02-01", "2024-01-01..", "..", "a..b", "2024-01-01", "2024-01-01..2024-02-30", "2024-01-01T10:00:00..2024-01-02", None],
+        "since": ["24h", "7 d", "x", "", "3w", None],
+        "max_age": ["5m", "m", None],
+    }
+    rows, want = [], set()
+    for name, given in values.items():
+        for value in given:
+            rows.append((len(rows), *[value if n == name else None for n in values]))
+            try:
+                refine.build_select(NOW, **{name: value})
+            except ValueError:
+                want.add((rows[-1][0], name, value))
+    saved = spark.createDataFrame(rows, "k int, " + ", ".join(f"`{n}` string" for n in values))
+    got = refine.wrong_options(saved, ["k"]).collect()
+    assert {(r["k"], r["option"], r["given"]) for r in got} == want and len(got) == len(want)
+    both = spark.createDataFrame([(1, "x", "y")], "k int, sort string, `limit` string")
+    assert refine.wrong_options(both, ["k"]).count() == 2
+    assert refine.wrong_options(both.limit(0), ["k"]).count() == 0
