@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedspark.operators import dictionary
 from feedspark.plans import views as v
 from feedspark.plans.registry import Registry
-from feedspark.sinks import compact, jsonfeed, markdown, opml, payloads, xmlfeeds
+from feedspark.sinks import compact, formats, jsonfeed, markdown, opml, payloads, xmlfeeds
 
 R = Registry()
 P = "WITH " + ",".join([v.ENTRIES, v.headers_sql("entries")])
@@ -320,3 +320,26 @@ def _(spark, d):
         .otherwise(F.col("url"))
     )
     return v.table(spark, d, "pages").select("page_id", payloads.sink_kind(url).alias("kind"))
+
+
+# Each source names its format; every sixth asks for one that does not exist.
+@R.query(
+    "write_mixed",
+    P
+    + """, asked AS (SELECT feed_id, ['atom', 'rss', 'json', 'md', 'nwf', 'pdf'][CAST(substr(feed_id, 4) AS BIGINT) % 6 + 1] AS format FROM feeds)
+    SELECT feed_id, format, CASE format WHEN 'atom' THEN 'xml' WHEN 'rss' THEN 'xml' WHEN 'json' THEN 'json' WHEN 'md' THEN 'md'
+        WHEN 'nwf' THEN 'nwf' END AS extension, CASE format WHEN 'atom' THEN 'application/atom+xml; charset=utf-8'
+        WHEN 'rss' THEN 'application/rss+xml; charset=utf-8' WHEN 'json' THEN 'application/feed+json; charset=utf-8'
+        WHEN 'md' THEN 'text/markdown; charset=utf-8' WHEN 'nwf' THEN 'text/plain; charset=utf-8'
+        ELSE 'unknown format "' || format || '"' END AS media_type FROM asked""",
+)
+def _(spark, d):
+    feeds, entries = _sources(spark, d)
+    names = F.array(*[F.lit(x) for x in (*formats.FORMATS, "pdf")])
+    number = (F.substring("feed_id", 4, 20).cast("int") % 6) + 1
+    documents, rejects = formats.serialize_by(feeds.withColumn("format", F.element_at(names, number)), entries)
+    first = documents.filter("part_no = 0").select("feed_id", "format", "extension", "media_type")
+    unknown = rejects.select(
+        F.col("key").alias("feed_id"), F.lit("pdf").alias("format"), F.lit(None).cast("string").alias("extension"), F.col("reason").alias("media_type")
+    )
+    return first.unionByName(unknown)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,24 @@ def serialize(feeds: DataFrame, entries: DataFrame, fmt: str) -> DataFrame:
     )
 
 
+def serialize_by(feeds: DataFrame, entries: DataFrame, by: str = "format") -> tuple[DataFrame, DataFrame]:
+    """Documents of feeds that each name their format in column ``by``, and rejects of unknown formats.
+
+    Each format reads the feeds and entries that ask for it; a feed is written once.
+    """
+    documents = []
+    for fmt in FORMATS:
+        own = feeds.filter(F.col(by) == fmt).drop(by)
+        asked = entries.join(own.select("feed_id"), "feed_id", "left_semi")
+        documents.append(serialize(own, asked, fmt).withColumn(by, F.lit(fmt)))
+    rejects = feeds.filter(F.col(by).isNull() | ~F.col(by).isin(*FORMATS)).select(
+        F.lit("format").alias("stage"),
+        F.col("feed_id").alias("key"),
+        F.concat(F.lit('unknown format "'), F.coalesce(by, F.lit("")), F.lit('"')).alias("reason"),
+    )
+    return reduce(DataFrame.unionByName, documents), rejects
+
+
 def save(documents: DataFrame, path: str, overwrite: bool = True) -> None:
     """Write documents as files, one per feed, whatever their size.
 

@@ -238,6 +238,25 @@ def test_unknown_format(spark, rich):
         formats.serialize(*rich, "pdf")
 
 
+def test_each_feed_in_its_own_format(rich):
+    feeds, rows = rich
+    names = [*formats.FORMATS, "pdf", None]
+    wanted = F.explode(F.array(*[F.lit(n) for n in names]))
+    ids = F.concat("feed_id", F.lit("-"), F.coalesce("format", F.lit("none")))
+    many = feeds.withColumn("format", wanted).withColumn("feed_id", ids)
+    given = rows.withColumn("format", wanted).withColumn("feed_id", ids).drop("format")
+    documents, rejects = formats.serialize_by(many, given)
+    got = {(r["feed_id"], r["part_no"]): (r["format"], r["extension"], r["body"]) for r in documents.collect()}
+    want = {}
+    for fmt in formats.FORMATS:
+        own = lambda df: df.filter(F.col("feed_id").endswith("-" + fmt))  # noqa: B023, E731
+        for r in formats.serialize(own(many).drop("format"), own(given), fmt).collect():
+            want[r["feed_id"], r["part_no"]] = (fmt, r["extension"], r["body"])
+    assert got == want and {v[0] for v in got.values()} == set(formats.FORMATS)
+    reasons = sorted((r["key"].rsplit("-", 1)[1], r["reason"]) for r in rejects.collect())
+    assert reasons[0] == ("none", 'unknown format ""') and reasons[-1] == ("pdf", 'unknown format "pdf"')
+
+
 def test_opml_reading(spark):
     nested = '<opml><head><title><![CDATA[My list]]></title></head><body><outline text="Cat"><outline text=" A " xmlUrl="https://a.example/f"/><outline title="B" xmlUrl="u2"/></outline><outline xmlUrl="https://c.example/f"/></body></opml>'
     sources, rejects = opml.read_opml(docs(spark, nested, "<opml", "<html/>", "<opml><body/></opml>"))
