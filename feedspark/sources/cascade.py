@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedspark.session import materialize
+from feedspark.session import materialize, stored
 from feedspark.sources import html
 from feedspark.sources.dispatch import entries_of, parse_feeds
 from feedspark.sources.raw import detect_kind
@@ -50,7 +50,7 @@ def _to_the_end(edges: DataFrame) -> DataFrame:
     """Chains of links without a cycle, followed to their ends by doubling the jumps."""
     jumps = edges
     while True:
-        after = materialize(_beyond(jumps, jumps))
+        after = stored(_beyond(jumps, jumps))
         jumps = after.drop("ended")
         if not after.filter(~F.col("ended")).limit(1).count():
             return jumps
@@ -64,12 +64,12 @@ def _cycles(edges: DataFrame) -> DataFrame:
     """
     jumps, reached, links = edges, 1, edges.count()
     while reached < links:
-        after = materialize(_beyond(jumps, jumps))
+        after = stored(_beyond(jumps, jumps))
         jumps, reached = after.drop("ended"), reached * 2
         if not after.filter(~F.col("ended")).limit(1).count():
             return jumps.select("at", "least").limit(0)
     standing = jumps.select(F.col("to").alias("at")).distinct().join(edges.select("at"), "at", "left_semi")
-    return materialize(jumps.select("at", "least").join(standing, "at", "left_semi"))
+    return stored(jumps.select("at", "least").join(standing, "at", "left_semi"))
 
 
 def _chained(pages: DataFrame, hops: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _chained(pages: DataFrame, hops: int) -> DataFrame:
 
 def _unending(pages: DataFrame) -> DataFrame:
     """``at, steps, best`` of whole chains; one that comes back to a page ends before it."""
-    edges = materialize(_edges(pages))
+    edges = stored(_edges(pages))
     cycles = _cycles(edges)
     on_cycle = cycles.select("at")
     own = pages.select(
@@ -96,12 +96,12 @@ def _unending(pages: DataFrame) -> DataFrame:
     )
     # A cycle is opened before its least page. Behind its end come the pages before the start.
     opened = edges.join(cycles.select("at", F.col("least").alias("first")), "at").filter("to <> first").drop("first")
-    ends = _to_the_end(opened)
+    ends = _to_the_end(stored(opened))
     ring = cycles.join(own, "at").join(ends.select("at", "steps", "best"), "at", "left")
     place = Window.partitionBy("least").orderBy(F.coalesce("steps", F.lit(0)).desc())
     wrapped = F.last("own", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1))
     size = F.count("*").over(Window.partitionBy("least"))
-    rings = ring.select("at", (size - 1).alias("steps"), F.coalesce(wrapped, "best", "own").alias("best"))
+    rings = stored(ring.select("at", (size - 1).alias("steps"), F.coalesce(wrapped, "best", "own").alias("best")))
     # Chains outside of cycles, up to their last page or the last before a cycle.
     outside = edges.join(on_cycle, "at", "left_anti")
     straight = outside.join(on_cycle.withColumnRenamed("at", "to"), "to", "left_anti").select(*edges.columns)
@@ -109,7 +109,7 @@ def _unending(pages: DataFrame) -> DataFrame:
     doors = enters.select(F.col("at").alias("to"), (F.col("_steps") + 1).alias("_steps"), "_best")
     none = F.lit(None).cast(edges.schema["best"].dataType)
     start = own.join(on_cycle, "at", "left_anti").select("at", F.col("at").alias("to"), F.lit(0).cast("long").alias("steps"), none.alias("best"), F.lit(None).cast("string").alias("least"))
-    walked = _beyond(start, _to_the_end(straight)).join(doors, "to", "left")
+    walked = _beyond(start, _to_the_end(stored(straight))).join(doors, "to", "left")
     tails = walked.select("at", (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_best", "best").alias("best"))
     return tails.unionByName(rings)
 

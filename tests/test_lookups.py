@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,20 @@ def test_carried_documents_of_many_snapshots(spark):
     want = [("u", h, 304, b, b is not None) for h, b in ((0, None), (1, "body 1"), (2, "body 1"), (4, "body 3"), (9, "body 5"), (9, "body 5"))]
     want += [("u", 2, 200, "new", False), (None, 2, 304, None, False), ("v", 2, 304, None, False), ("w", 1, 304, "w2", True)]
     assert got == sorted(want, key=str)
+
+
+def test_planning_of_cycles_does_not_grow_with_the_rounds(spark):
+    """Tails into rings of 16, rings of 23 and open ends; rounds over checkpoints took minutes of planning."""
+    n, size = 23 * 2175, 23
+    key, turn = F.col("id"), F.floor(F.col("id") / size) % 3
+    url = lambda k: F.concat(F.lit("u"), k.cast("string"))
+    pages = spark.range(n).select(
+        url(key).alias("source_url"),
+        F.when(key % size < size - 1, url(key + 1)).when(turn == 0, url(key - 15)).when(turn == 2, url(key - (size - 1))).alias("feed_url"),
+        F.when(key % 4 == 0, "o").alias("outcome"),
+    )
+    start = time.monotonic()
+    got = cascade.follow_links(pages, None).agg(F.count("*"), F.sum("hops"), F.count("strategy")).first()
+    tail, ring, straight = sum(range(16, 23)) + 16 * 15, 23 * 22, sum(range(23))
+    assert tuple(got)[:2] == (n, n // size // 3 * (tail + ring + straight)) and got[2] > 0
+    assert time.monotonic() - start < 90
