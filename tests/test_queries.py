@@ -30,3 +30,12 @@ def test_entry(spark):
 
 def test_twins_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_payloads_grow_with_the_entries(spark, con):
+    """One pair of messages for each source and run of ids, not one for each source at any size."""
+    from feedspark.plans import views as v
+
+    feeds = v.paged(v.entries(spark, SF_DIR)).select("feed_id").distinct().count()
+    bodies = queries()["sink_payloads"](spark, SF_DIR)
+    assert bodies.count() == 2 * feeds and bodies.filter("feed_id LIKE '%/%'").count() == 2 * feeds
