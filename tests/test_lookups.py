@@ -129,3 +129,32 @@ def test_planning_of_cycles_does_not_grow_with_the_rounds(spark):
     tail, ring, straight = sum(range(16, 23)) + 16 * 15, 23 * 22, sum(range(23))
     assert tuple(got)[:2] == (n, n // size // 3 * (tail + ring + straight)) and got[2] > 0
     assert time.monotonic() - start < 90
+
+
+def test_occurrences_are_those_of_a_plain_search(spark):
+    """What is found is what is there, though all needles share their rarest trigrams."""
+    from feedspark.operators import occurrences
+
+    rand = random.Random(5)
+    texts = ["", "a", None] + ["".join(rand.choice("abé😀 ") for _ in range(rand.randrange(1, 300))) for _ in range(60)]
+    texts += [f"signup user {k} of user {k * 7 % 500}" for k in range(300)]
+    needles = {t[i : i + n] for t in texts[3:63] for i, n in [(rand.randrange(len(t)), rand.randrange(1, 200))]} | {f"user {k} of" for k in range(100, 400)} | {"none of these", "😀"}
+    hay = spark.createDataFrame([(i, "x" if i % 2 else "y", t) for i, t in enumerate(texts)], "row long, side string, text string")
+    asked = spark.createDataFrame([(n, s) for n in needles for s in ("x", "z")], "needle string, side string")
+    want = {(i, n) for i, t in enumerate(texts) for n in needles if t and n in t}
+    plain = asked.filter("side = 'x'").drop("side")
+    found = [tuple(r) for r in occurrences.held(hay, ["row"], plain).select("row", "needle").collect()]
+    assert len(found) == len(want) and set(found) == want
+    grouped = [tuple(r) for r in occurrences.held(hay, ["row", "side"], asked, F.col("side")).select("row", "needle").collect()]
+    assert len(grouped) == len(set(grouped)) and set(grouped) == {w for w in want if w[0] % 2}
+    once = [tuple(r) for r in occurrences.held(hay, ["row"], plain, once=True).select("row", "needle").collect()]
+    # A false hit may take the place of a true one, so a few texts are left to be tried again.
+    assert len(once) == len({r for r, _ in once}) > 200 and set(once) <= want
+
+
+def test_expressions_with_letters_folded_otherwise(spark):
+    rules = spark.createDataFrame([("include", "title", "spar[a-z]*iti ks", True), ("exclude", "title", "no[a-z]+ones", True)], "kind string, field string, pattern string, regex boolean")
+    rows = entries(spark, {"title": "ſparkıti Ks"}, {"title": "SPARkiti KS, nobones"}, {"title": "spariti ks none"}, {"title": "park iti ks"})
+    got = filters.filter_by_rules_table(rows, rules)
+    want = filters.filter_entries(rows, filters.parse_spec(["title:/spar[a-z]*iti ks/"], ["title:/no[a-z]+ones/"]))
+    assert sorted(r["entry_ord"] for r in got.collect()) == sorted(r["entry_ord"] for r in want.collect()) == [0, 2]
