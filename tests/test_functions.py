@@ -156,3 +156,32 @@ def test_python_functions_travel_by_value(tmp_path):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert run.returncode == 0, run.stderr
     assert run.stdout.startswith("['af63dc4c8601ec8c'] (1, 4) ['a & b'] [(-1")
+
+
+def test_entities_are_decoded_once_and_bodies_stay_out_of_python(spark):
+    import html
+    import re
+
+    from feedspark.functions import text
+
+    named = re.compile(r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z][A-Za-z0-9]*;")
+    bodies = ["", "no name", "&middot;", "a&middot;b&middot;&eacute;&lt;&amp;middot;", "&AMP;middot; &ampAMP; &AMP;AMP;", "&notit; &foo; & &;&&middot", "&#183;&middot;\n&hellip;&", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "n int, body string").withColumn("got", text.decode_entities(F.col("body")))
+    got = [r["got"] for r in df.orderBy("n").collect()]
+    assert got == [b and named.sub(lambda m: html.unescape(m.group(0)), b) for b in bodies]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "_decode_named(" in plan and not re.search(r"_decode_named\([^\n]*THEN body#\d+ END\)#", plan)
+
+
+def test_python_batches_are_bounded(spark):
+    from feedspark.session import PYTHON_ROWS, spread
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", PYTHON_ROWS), ("0", PYTHON_ROWS), ("5", 5)):
+            spark.conf.set(name, given)
+            spread(spark.range(3)).count()
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
