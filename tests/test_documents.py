@@ -291,3 +291,11 @@ def test_a_webhook_body_is_one_document(spark, monkeypatch):
     assert parts.count() > 3 and {r["content_type"] for r in parts.collect()} == {"application/feed+json"}
     read = json.loads(assemble.whole(parts).first()["body"])
     assert read["title"] == "Feed" and [i["id"] for i in read["items"]] == [f"id{k}" for k in range(25)]
+
+
+def test_kept_documents_are_parsed_once(spark):
+    given = docs(spark, "hello", '{"version":"https://jsonfeed.org/version/1","title":"t","items":[{"id":"1","url":"u","title":"x"}]}')
+    feeds, rows, rejects = dispatch.read_feeds(given, keep=True)
+    for df in (feeds, rows, rejects):
+        assert "from_json" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert (feeds.count(), rows.count(), rejects.count()) == (1, 1, 1)
