@@ -528,3 +528,19 @@ def test_pipeline_stages(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF_DIR)
     assert empty.count() == 0
+
+
+def test_language_model_batches_are_bounded(spark):
+    """Workers get at most a megabyte of text at once, not 10,000 texts with all their rare words."""
+    from feedspark.llm import brown_lm
+    from feedspark.session import PYTHON_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        docs = spark.range(40).selectExpr("id AS doc_id", "concat('a b c w', id) AS text")
+        assert brown_lm.scored(docs).count() == 40
+        assert spark.conf.get(name) == str(PYTHON_BYTES)
+    finally:
+        spark.conf.set(name, before)
