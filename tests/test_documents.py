@@ -1,15 +1,18 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from feedspark.plans import views
 from feedspark.plans.extraction import BROKEN
 from feedspark.sinks import assemble, compact, formats, jsonfeed, markdown, payloads, xmlfeeds
 from feedspark.sources import compact as compact_source
 from feedspark.sources import dispatch, opml, raw
 from helpers import at, column, docs, entries, feed
 
+SF_DIR = "/root/testdata/sf0.001"
 AUTHORS = [("Ann", "https://ann.example", "a@x.org"), ("Bo", None, None)]
 
 
@@ -57,6 +60,27 @@ def test_compact_text(rich):
     assert lines[-1] == ""
 
 
+def shuffles_of(df, column):
+    """How many shuffles carry a column, as planned without broadcasts that only small tables get."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return len(re.findall(rf"\) Exchange\nInput \[\d+\]: \[[^\]]*\b{column}#", text))
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_compact_writing_shuffles_texts_for_references_alone(rich, no_small_tables):
+    assert shuffles_of(compact.write_compact(*rich), "summary") == 1
+
+
+def test_links_need_no_shuffled_texts(spark, no_small_tables):
+    assert shuffles_of(views.entries(spark, SF_DIR).select("feed_id", "link"), "text") == 0
+
+
 def test_compact_bad_references_are_dropped(spark):
     text = "NWF1\nF\tid\tt\t\t\t100\t5\nA\tann\nB\thttps://b.example/\nE\te\t-5\t~x\t0,7,z\t1\ttitle\ts\t9\nZ\t?\n"
     feeds, rows, rejects = compact_source.read_compact(docs(spark, text, "NWF2\n"))
