@@ -77,6 +77,11 @@ def test_compact_writing_shuffles_texts_for_references_alone(rich, no_small_tabl
     assert shuffles_of(compact.write_compact(*rich), "summary") == 1
 
 
+def test_compact_reading_shuffles_lines_once(rich, no_small_tables):
+    _, rows, _ = compact_source.read_compact_parts(compact.write_compact(*rich))
+    assert shuffles_of(rows, "line") + shuffles_of(rows, "cells") == 1
+
+
 def test_links_need_no_shuffled_texts(spark, no_small_tables):
     assert shuffles_of(views.entries(spark, SF_DIR).select("feed_id", "link"), "text") == 0
 
