@@ -37,6 +37,7 @@ FREQUENT_AT = 8
 FREQUENT_MOST = 500_000
 """Only the most frequent ones are sent to the tasks; the order of the rest changes no result."""
 CHUNK = 1_000_000
+FIRST_COLUMNS = ["row_key", "doc_id", "n_shingles", "sig", "gram", "texts"]
 WORDS_CACHED = 200_000
 ROWS_AT_ONCE = 1_000
 FILTER_BITS = 1 << 26
@@ -90,22 +91,49 @@ def _cut(batches, n: int, at: int = 0):
         yield batch, [_grams(text, n, cache) for text in batch.column(at).to_pylist()]
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, id, set size and the set's signature; null for an empty set."""
+def _first_pass(docs: DataFrame, n: int) -> DataFrame:
+    """Rows of two kinds from one reading of the texts, stored.
+
+    Per row of ``docs``: key, id, set size and the set's signature, null for an empty set. And
+    ``gram, texts`` of n-grams that texts of one task share: each task counts its own rows, every
+    different text once, and passes on what two or more of them share.
+    """
 
     def cut(batches):
-        for batch, held in _cut(batches, n, 2):
-            sizes = [len(g) for g in held]
-            marks = [_signature(g) if len(g) else None for g in held]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())],
-                ["row_key", "doc_id", "n_shingles", "sig"],
-            )
+        seen, held, size = set(), [], 0
+
+        def rows_of(batch, sizes, marks):
+            nulls = pa.nulls(batch.num_rows, pa.int64())
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), nulls, nulls]
+            return pa.RecordBatch.from_arrays(columns, FIRST_COLUMNS)
+
+        def shared():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = counts > 1
+            nulls = pa.nulls(int(keep.sum()), pa.int64())
+            columns = [nulls] * 4 + [pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, FIRST_COLUMNS)
+
+        for batch, sets in _cut(batches, n, 2):
+            marks = [_signature(grams) if len(grams) else None for grams in sets]
+            yield rows_of(batch, [len(grams) for grams in sets], marks)
+            for mark, grams in zip(marks, sets, strict=True):
+                if mark is None or mark in seen:
+                    continue
+                seen.add(mark)
+                held.append(grams)
+                size += len(grams)
+                if size >= CHUNK:
+                    yield shared()
+                    held, size = [], 0
+                    seen.clear()
+        if held:
+            yield shared()
 
     rows = docs.select(
         row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").cast("binary")
     )
-    return rows.mapInArrow(cut, "row_key bigint, doc_id bigint, n_shingles bigint, sig bigint")
+    return stored(rows.mapInArrow(cut, ", ".join(f"{name} bigint" for name in FIRST_COLUMNS)))
 
 
 def _sliced(batches):
@@ -121,41 +149,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that many texts share, sorted, and the place of each by its count, least first.
 
-    Only texts of one task are seen to share an n-gram.
-
-    Each task counts its own rows, every different text once, and passes on what two or more
-    of them share. The counts steer the order only, never the result.
+    Only texts of one task are seen to share an n-gram (``_first_pass``). The counts steer the
+    order only, never the result.
     """
-
-    def count(batches):
-        seen, held, size = set(), [], 0
-
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["gram", "texts"]
-            )
-
-        for _, sets in _cut(batches, n):
-            for grams in sets:
-                mark = _signature(grams)
-                if mark in seen or not len(grams):
-                    continue
-                seen.add(mark)
-                held.append(grams)
-                size += len(grams)
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
-                    seen.clear()
-        if held:
-            yield flush()
-
-    counted = _texts(docs).mapInArrow(count, "gram bigint, texts bigint")
     top = (
         counted.groupBy("gram")
         .agg(F.sum("texts").alias("texts"))
@@ -270,23 +269,28 @@ def _shared(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return out
 
 
-def _segments(docs: DataFrame, n: int, pairs: DataFrame, frequent) -> DataFrame:
+def _segments(docs: DataFrame, n: int, pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     """The sets of some pairs, cut by fragments of the global order: rare n-grams by hash range, then frequent ones.
 
-    The bitmap of the pairs' ends has a fixed size; what it lets through beyond them is not joined.
+    Only one text of each set that a pair names is cut again. They are known by a bitmap of their
+    rows' keys, which has a fixed size; what it lets through beyond them is not joined.
     """
     context = docs.sparkSession.sparkContext
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-    sent, bits = context.broadcast(frequent), context.broadcast(_bitmap(ends, FILTER_BITS))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    keys = sets.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key"))
+    sent, bits = context.broadcast(frequent), context.broadcast(_bitmap(keys.select("row_key"), FILTER_BITS))
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_has_bit(bits.value, batch.column(0).to_numpy())))
 
     def cut(batches):
-        for _, sets in _cut(batches, n):
-            marks = np.array([_signature(grams) for grams in sets], np.int64)
-            hit = _has_bit(bits.value, marks)
+        for _, held in _cut(wanted(batches), n, 1):
             out, numbers, parts = [], [], []
-            for mark, wanted, grams in zip(marks.tolist(), hit.tolist(), sets, strict=True):
-                if not wanted or not len(grams):
+            for grams in held:
+                if not len(grams):
                     continue
+                mark = _signature(grams)
                 zone = (grams >> np.uint64(56)).astype(np.int64) * (FRAGMENTS - 1) // 256
                 zone[_place(grams, sent.value) >= 0] = FRAGMENTS - 1
                 for k in np.unique(zone).tolist():
@@ -297,8 +301,9 @@ def _segments(docs: DataFrame, n: int, pairs: DataFrame, frequent) -> DataFrame:
                 [pa.array(out, pa.int64()), pa.array(numbers, pa.int32()), _lists(parts)], ["sig", "fragment", "grams"]
             )
 
-    rows = _texts(docs).mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
-    return rows.groupBy("sig", "fragment").agg(F.first("grams").alias("grams"))
+    rows = docs.select(row_key().alias("row_key"), text_of("text").cast("binary").alias("text"))
+    cuts = rows.mapInArrow(cut, "sig bigint, fragment int, grams array<bigint>")
+    return cuts.groupBy("sig", "fragment").agg(F.first("grams").alias("grams"))
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -357,9 +362,14 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
 
     Of each n-gram's texts, those outside its largest component are compared with others.
 
-    A link rests on a rare n-gram in both prefixes, or on frequent n-grams alone: rare ones
-    come first, so prefixes that hold frequent ones hold all rare ones. Few texts share a rare
-    n-gram, and all of these are compared. The frequent part of a set is the same for many.
+    Two linked sets share an n-gram among the first ``n - overlap + 1`` of each. Few texts share a
+    rare n-gram, and all of these are compared; among some more places they share ``k``, and
+    where these places hold rare ones only, fewer are not enough. A frequent n-gram is met among
+    the first ``n - overlap + 1`` places only: near copies that differ too much to be linked
+    have their own, rare n-grams there, while a few more places would make pairs of all of them.
+
+    Rare n-grams come first, so two sets that meet there by frequent ones alone have no other
+    in common. The frequent part of a set is the same for many.
     Of the sets with one frequent part the smallest stands for all of them: let x and y be
     linked by frequent n-grams alone, m and k stand for their parts, and m be no larger than
     k. Then m is no larger than y either, and shares all that x and y share with both, so
@@ -372,64 +382,66 @@ def _open_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     mains = sizes.groupBy("gram").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")
     )
-    live = placed.join(mains.filter("parts > 1").drop("parts"), "gram")
-    smallest = prefixes.groupBy("part").agg(F.min(F.struct("n", "sig")).alias("least")).select("part", F.col("least.sig").alias("stands"))
-    live = materialize(live.join(smallest, "part").withColumn("stands", F.col("stands") == F.col("sig")))
-    x = live.filter("root <> main").select(
-        "gram", "main", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"), "often", F.col("rare").alias("fx"), F.col("stands").alias("sx")
-    )
-    y = live.select(
-        "gram", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), "often", F.col("rare").alias("fy"), F.col("stands").alias("sy")
-    )
+    live = materialize(placed.join(mains.filter("parts > 1").drop("parts"), "gram"))
+    common = live.filter("often")
+    smallest = common.groupBy("part").agg(F.min(F.struct("n", "sig")).alias("least")).select("part", F.col("least.sig").alias("stands"))
+    common = common.join(smallest, "part").withColumn("stands", F.col("stands") == F.col("sig"))
     overlap, needed = _overlap("nx", "ny", percent), _needed(percent, "nx", "ny")
     # What stands before and behind the common n-gram bounds the overlap of both sets.
     most = F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
 
-    def met(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, once: Column, k: Column) -> DataFrame:
         """Pairs that share an n-gram early enough; ``once`` leaves one of the two orders."""
-        found = left.drop("often").join(right.drop("often"), "gram").filter(
-            (F.col("rx") != F.col("ry"))
-            & once
-            & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-            & (F.col("ax") < F.col("nx") - overlap + needed)
-            & (F.col("ay") < F.col("ny") - overlap + needed)
-            & (most >= overlap)
+        names = {"sig": "", "n": "n", "at": "a", "root": "r", "rare": "f", "stands": "s"}
+        side = lambda rows, end: rows.select(
+            "gram", *["main"] * (end == "x"), *[F.col(c).alias(short + end) for c, short in names.items() if c in rows.columns]
         )
         first = F.col("x") < F.col("y")
-        no_frequent = (F.col("nx") - overlap + needed <= F.col("fx")) | (F.col("ny") - overlap + needed <= F.col("fy"))
-        return found.select(
-            F.least("x", "y").alias("a"),
-            F.greatest("x", "y").alias("b"),
-            F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-            F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-            (F.col("sx") | F.col("sy") | no_frequent).alias("whole"),
+        return (
+            side(left.filter("root <> main"), "x").join(side(right, "y"), "gram").filter(
+                (F.col("rx") != F.col("ry"))
+                & once
+                & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+                & (F.col("ax") < F.col("nx") - overlap + k)
+                & (F.col("ay") < F.col("ny") - overlap + k)
+                & (most >= overlap)
+            )
+            .withColumn("only_rare", (F.col("nx") - overlap + needed <= F.col("fx")) | (F.col("ny") - overlap + needed <= F.col("fy")))
+            .select(
+                F.least("x", "y").alias("a"),
+                F.greatest("x", "y").alias("b"),
+                F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+                F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
+                "only_rare",
+            )
         )
 
     ordered = (F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))
-    rare = met(x.filter("NOT often"), y.filter("NOT often"), ordered)
+    seldom, ends = live.filter("NOT often"), ["a", "b", "na", "nb"]
+    rare = met(seldom, seldom, ordered, needed).groupBy(*ends).agg(F.count("*").alias("count"), F.bool_or("only_rare").alias("only_rare"))
+    rare = rare.filter(~F.col("only_rare") | (F.col("count") >= _needed(percent))).select(*ends)
     # With one that stands for its part, from either side; two such ones meet once.
-    one = met(x.filter("often"), y.filter("often AND sy"), ~F.col("sx") | ordered)
-    two = met(x.filter("often AND sx"), y.filter("often AND NOT sy"), F.col("ry") == F.col("main"))
-    pairs = rare.unionByName(one).unionByName(two).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.bool_or("whole").alias("whole"))
-    # The count is that of all common n-grams where one of the two stands for its part, or where
-    # one has no frequent n-gram among the places that matter.
-    return pairs.filter(~F.col("whole") | (F.col("count") >= _needed(percent))).drop("count", "whole")
+    one = met(common, common.filter("stands"), ~F.col("sx") | ordered, F.lit(1))
+    two = met(common.filter("stands"), common.filter("NOT stands"), F.col("ry") == F.col("main"), F.lit(1))
+    return rare.unionByName(one.unionByName(two).select(*ends)).distinct()
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``row_key, doc_id, n_shingles, sig`` of all rows, and ``node, root`` of the signatures that are linked.
 
     The n-grams of all texts take more room than the texts. They are cut anew for each of
-    the five passes and never stored; ``docs`` should be a table that is cheap to read.
+    three passes, and those of the sets in question for two more, and never stored; ``docs``
+    should be a table that is cheap to read.
     """
-    sets = materialize(_sets(docs, n))
-    frequent = _frequent(docs, n)
+    passed = _first_pass(docs, n)
+    sets = passed.filter("gram IS NULL").select("row_key", "doc_id", "n_shingles", "sig")
+    frequent = _frequent(passed.filter("gram IS NOT NULL").select("gram", "texts"))
     prefixes = _shared(docs, n, percent, frequent)
     hubs = materialize(_hub_pairs(prefixes, percent))
-    first = materialize(_linked(hubs, _segments(docs, n, hubs, frequent), percent))
+    first = materialize(_linked(hubs, _segments(docs, n, hubs, sets, frequent), percent))
     roots = materialize(components(first))
     others = materialize(_open_pairs(prefixes, roots, percent))
-    second = materialize(_linked(others, _segments(docs, n, others, frequent), percent))
+    second = materialize(_linked(others, _segments(docs, n, others, sets, frequent), percent))
     dropped(prefixes)
     return sets, components(first.unionByName(second))
 

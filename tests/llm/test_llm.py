@@ -1,6 +1,7 @@
 """The operators on small tables of awkward rows, against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -179,6 +180,45 @@ def test_ngram_join_of_altered_copies(spark):
     assert got == brute_components(rows)
 
 
+def join_rows(df, key):
+    """Rows that the joins on a column make."""
+
+    def walk(node):
+        name = node.nodeName()
+        if "Join" in name and f"[{key}#" in node.simpleString(1000):
+            yield node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        for k in range(children.size()):
+            yield from walk(children.apply(k))
+
+    df.collect()
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_ngram_join_makes_no_pairs_of_all_near_copies(spark, monkeypatch):
+    base, draw = [f"w{k}" for k in range(100)], random.Random(7)
+    rows = []
+    for k in range(80):
+        at = set(draw.sample(range(5, 95, 5), 3))
+        rows.append((k, " ".join(f"x{k}y{i}" if i in at else w for i, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made, open_pairs = [], ngram_join._open_pairs
+
+    def counted(prefixes, roots, percent):
+        out = open_pairs(prefixes, roots, percent)
+        made.append(join_rows(out, "gram"))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_open_pairs", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((tuple(r) for r in ngram_join.jaccard_components(docs).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == brute_components(rows)
+    assert made[0] <= 5 * len(rows)
+
+
 def test_deduplicated(docs, none):
     got = ngram_join.deduplicated(docs)
     assert got.columns == docs.columns
