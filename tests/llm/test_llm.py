@@ -584,3 +584,68 @@ def test_language_model_batches_are_bounded(spark):
         assert spark.conf.get(name) == str(PYTHON_BYTES)
     finally:
         spark.conf.set(name, before)
+
+
+def test_brown_classes_take_every_word(spark, monkeypatch):
+    """No word outside the most frequent ones is left to its ending: none gains by another class."""
+    import numpy as np
+
+    monkeypatch.setattr(brown_lm, "START", 3)
+    monkeypatch.setattr(brown_lm, "KNOWN", 5)
+    monkeypatch.setattr(brown_lm, "CLASSES", 5)
+    monkeypatch.setattr(brown_lm, "ONE_BY_ONE", 2)
+    picks = np.random.default_rng(3).integers(0, 8, (300, 6))
+    texts = [" ".join(f"{'nv'[k % 2]}{p}ing" for k, p in enumerate(row)) for row in picks] + [None, "n1ing n1ing", "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    kept = {}
+    real = brown_lm.trained
+    monkeypatch.setattr(brown_lm, "trained", lambda blocks, words: kept.setdefault("model", real(blocks, words)))
+    numbers = brown_lm.numbered
+    monkeypatch.setattr(brown_lm, "numbered", lambda counts: kept.setdefault("words", numbers(counts)))
+    dropped = brown_lm.dropped
+    monkeypatch.setattr(brown_lm, "dropped", lambda df: kept.setdefault("ids", {bytes(r["word"]): r["id"] for r in df.collect()}) if "id" in df.columns else dropped(df))
+    rows = {r["doc_id"]: r for r in brown_lm.scored(docs).collect()}
+    ids = {w: k for k, w in enumerate(kept["words"][0])} | kept["ids"]
+    model = kept["model"]
+    given = {i: [w.encode() for w in plain_words(texts[i])] + [b""] for i in range(len(texts))}
+    counts = Counter(w for i in learned for w in given[i])
+    assert set(ids) == set(counts) and sorted(ids.values()) == list(range(len(counts))) and len(kept["ids"]) == len(counts) - 5
+    label = {w: int(model.label[k]) for w, k in ids.items()}
+    pairs = Counter(p for i in learned for p in zip([b"", *given[i][:-1]], given[i]))
+
+    def likelihood(label):
+        table = np.zeros((5, 5))
+        for (a, b), n in pairs.items():
+            table[label[a], label[b]] += n
+        entropy = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+        return entropy(table) - entropy(table.sum(0)) - entropy(table.sum(1)), table
+
+    best, table = likelihood(label)
+    assert max(likelihood(label | {w: c})[0] for w in label if w for c in range(1, 5)) <= best + 1e-6
+    assert not {label[w] for w in label if w.startswith(b"n")} & {label[w] for w in label if w.startswith(b"v")}
+    mass, members = table.sum(0), Counter(label.values())
+    prior = (mass + 0.5) / (mass + 0.5).sum()
+    step = (table + 20 * prior) / (table.sum(1, keepdims=True) + 20)
+    unseen = min(range(5), key=lambda c: (-members[c], c))
+    for i, ws in given.items():
+        at = [label.get(w, unseen) for w in ws]
+        want = sum(np.log10(step[a, b]) for a, b in zip([0, *at[:-1]], at))
+        want += sum(np.log10((counts[w] + 0.5) / (mass[c] + 0.5 * (members[c] + 1))) for w, c in zip(ws, at, strict=True))
+        assert rows[i]["score"] == pytest.approx(want)
+        assert rows[i]["perplexity"] == pytest.approx(10 ** (-want / len(ws)))
+
+
+def test_gains_of_a_move():
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    pairs = dice.integers(0, 30, (40, 40)) * (dice.random((40, 40)) < 0.3) * 9.0
+    label = np.append(0, dice.integers(1, 6, 39))
+    table = lambda label: np.eye(6)[label].T @ pairs @ np.eye(6)[label]
+    away = pairs - np.diag(np.diagonal(pairs))
+    got = brown_lm.gains(away @ np.eye(6)[label], away.T @ np.eye(6)[label], np.diagonal(pairs), label, table(label), brown_lm._levels(table(label)))
+    for w in range(1, 40):
+        for c in range(1, 6):
+            moved = np.where(np.arange(40) == w, c, label)
+            assert got[w, c] == pytest.approx(brown_lm.likelihood(table(moved)) - brown_lm.likelihood(table(label)), abs=1e-7)
