@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from feedspark.operators import filters, rule_index, search
+from feedspark.operators import filters, occurrences, rule_index, search
 from feedspark.sources import cascade, raw
 from helpers import at, entries
 
@@ -72,6 +72,28 @@ def test_search(spark, tmp_path):
     assert {tuple(r) for r in search.search(hay, asked, spark.read.parquet(str(tmp_path / "p"))).collect()} == want
 
 
+def test_long_needles_are_hashed_where_short_beginnings_stand(spark, monkeypatch):
+    """Each place of a text is hashed about once, not once for each size of needles, and all needles are found."""
+    import numpy as np
+    import pyarrow as pa
+
+    rand = random.Random(9)
+    word = lambda size: "".join(rand.choice("abcdefgh ") for _ in range(size))
+    asked = [word(size) for size in (4, 9, 17, 33, 70, 300) for _ in range(20)]
+    texts = [word(500) + asked[k] + word(500) for k in range(len(asked))] + ["", "ab"]
+    hay = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    kept, real = {}, occurrences._scan
+    monkeypatch.setattr(occurrences, "_scan", lambda filters, keys, once: kept.setdefault("task", real(filters, keys, once)))
+    needles = spark.createDataFrame([(n,) for n in asked], "needle string")
+    got = {(r["row"], r["needle"]) for r in occurrences.held(hay, ["row"], needles).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in asked if n in t}
+    counted, hashed = [], occurrences._Hashes.at
+    monkeypatch.setattr(occurrences._Hashes, "at", lambda *a: counted.append(len(got_ := hashed(*a))) or got_)
+    batch = pa.record_batch({"row": pa.array(range(len(texts))), "text": texts, "salt": pa.array(np.zeros(len(texts), np.int64))})
+    assert sum(b.num_rows for b in kept["task"]([batch])) >= len(got)
+    assert sum(counted) < 2 * sum(map(len, texts))
+
+
 def plain_chain(pages, origin, most):
     """The pages met from an origin; without a limit, each once."""
     at_, met, best = origin, [origin], None
